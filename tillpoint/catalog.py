@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillpoint.functions.exprs import to_output
 from tillpoint.params import TESTDATA_PARAMS as P
 from tillpoint.plans import audit as A
+from tillpoint.plans import customers as C
 from tillpoint.plans import sales as S
 from tillpoint.sources.warehouse import warehouse
 
@@ -65,15 +66,36 @@ def _sales() -> dict[str, Job]:
     }
 
 
+def _customers() -> dict[str, Job]:
+    def metrics(w):
+        return C.customer_metrics(w["clean_transactions"], w["dim_customers"], P.as_of)
+
+    def qcut(w):
+        return C.rfm_scores_qcut(w["clean_transactions"], P.as_of, P.rfm_buckets)
+
+    return {
+        "customer_metrics": _job(metrics),
+        "rfm_scores_ntile": _job(lambda w: C.rfm_scores_ntile(metrics(w), P.rfm_buckets)),
+        "rfm_segments": _job(lambda w: C.rfm_segments(C.rfm_scores_ntile(metrics(w), P.rfm_buckets),
+                                                      P.integer_avg)),
+        "rfm_scores_qcut": _job(qcut),
+        "rfm_segment_table": _job(lambda w: C.rfm_segment_table(qcut(w), w["dim_customers"])),
+        "rfm_segment_summary": _job(lambda w: C.rfm_segment_summary(qcut(w))),
+        "churn_risk": _job(lambda w: C.churn_risk(w["clean_transactions"], w["dim_customers"], P)),
+        "churn_customers": _job(lambda w: C.churn_scored(w["clean_transactions"], w["dim_customers"], P)),
+    }
+
+
 def queries() -> dict[str, Job]:
     out: dict[str, Job] = {}
-    for part in (_audit, _sales):
+    for part in (_audit, _sales, _customers):
         out.update(part())
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from tillpoint.oracle import sql_audit_sales
+    from tillpoint.oracle import sql_audit_sales, sql_customers
     out: dict[str, str] = {}
     out.update(sql_audit_sales.SQL)
+    out.update(sql_customers.SQL)
     return out

@@ -17,9 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.functions import labels as L
-from tillpoint.functions.exprs import (count_if, dbl, mean, month_key, nz, pct, ratio, round_up,
-                                       sum_if)
-from tillpoint.operators.scalars import combine_scalars
+from tillpoint.functions.exprs import count_if, dbl, mean, month_key, nz, pct, ratio, round_up, sum_if
 
 UNB = Window.unboundedPreceding
 
@@ -212,6 +210,3 @@ def monthly_trend(tc: DataFrame) -> DataFrame:
               .agg(F.sum("revenue").alias("revenue"), F.count("transaction_id").alias("transactions"))
               .orderBy("month"))
 
-
-def combine(*frames):  # re-export for job modules
-    return combine_scalars(*frames)
