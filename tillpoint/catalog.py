@@ -15,6 +15,10 @@ from tillpoint.functions.exprs import to_output
 from tillpoint.params import TESTDATA_PARAMS as P
 from tillpoint.plans import audit as A
 from tillpoint.plans import customers as C
+from tillpoint.plans import inventory as INV
+from tillpoint.plans import ledger as LG
+from tillpoint.plans import returns as R
+from tillpoint.sources import fixtures as FX
 from tillpoint.plans import sales as S
 from tillpoint.sources.warehouse import warehouse
 
@@ -86,16 +90,47 @@ def _customers() -> dict[str, Job]:
     }
 
 
+def _inventory() -> dict[str, Job]:
+    def ledger(w):
+        # from the raw test tables: weekly units and initial stock, then the ledger
+        weekly, initial = FX.inventory_inputs(FX.read_source(w.spark, w.sf_dir))
+        return LG.stock_ledger(weekly, initial, w["dim_products"], week1_date=FX.INVENTORY_WEEK1)
+
+    return {
+        "inventory_health": _job(lambda w: INV.inventory_health(w["fact_inventory"], w["dim_products"],
+                                                                w["dim_stores"])),
+        "dead_stock": _job(lambda w: INV.dead_stock(w["fact_inventory"], w["dim_products"],
+                                                    P.dead_sell_through, P.dead_min_units)),
+        "sell_through_cohort": _job(lambda w: INV.sell_through_cohort(w["fact_inventory"], w["dim_products"],
+                                                                      P.cohort_max_week)),
+        "first_markdown_event": _job(lambda w: LG.first_markdown_event(w["fact_inventory"], P.nominal_stock)),
+        "stock_ledger": _job(ledger),
+        "target_spine": _job(lambda w: LG.target_spine(w["dim_stores"], w["clean_transactions"],
+                                                       start=FX.TARGET_START, months=FX.TARGET_MONTHS,
+                                                       rule=FX.target_rule)),
+    }
+
+
+def _returns() -> dict[str, Job]:
+    return {
+        "top_return_reason": _job(lambda w: R.top_return_reason(w["fact_returns"])),
+        "return_profitability": _job(lambda w: R.return_profitability(w["clean_transactions"], w["fact_returns"],
+                                                                      w["dim_products"])),
+        "return_loss": _job(lambda w: R.return_loss(w["clean_transactions"], w["fact_returns"])),
+    }
+
+
 def queries() -> dict[str, Job]:
     out: dict[str, Job] = {}
-    for part in (_audit, _sales, _customers):
+    for part in (_audit, _sales, _customers, _inventory, _returns):
         out.update(part())
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from tillpoint.oracle import sql_audit_sales, sql_customers
+    from tillpoint.oracle import sql_audit_sales, sql_customers, sql_inventory_returns
     out: dict[str, str] = {}
     out.update(sql_audit_sales.SQL)
     out.update(sql_customers.SQL)
+    out.update(sql_inventory_returns.SQL)
     return out
