@@ -18,6 +18,7 @@ from tillpoint.plans import customers as C
 from tillpoint.plans import inventory as INV
 from tillpoint.plans import ledger as LG
 from tillpoint.plans import returns as R
+from tillpoint.plans import risk as K
 from tillpoint.sources import fixtures as FX
 from tillpoint.plans import sales as S
 from tillpoint.sources.warehouse import warehouse
@@ -120,17 +121,79 @@ def _returns() -> dict[str, Job]:
     }
 
 
+def model_input(w):
+    return K.model_input(w["clean_transactions"], w["dim_products"], P.label_seed)
+
+
+def model_split(w):
+    return K.stratified_split(K.model_frame(model_input(w)), "is_returned", P.train_fraction, P.label_seed)
+
+
+def rule_scored_test(w):
+    """Test split scored by the rule probability (exact, SQL-checkable)."""
+    from pyspark.sql import functions as F
+    t = model_split(w).filter(F.col("split") == "test")
+    score = F.col("return_prob").cast("double")
+    return t.select("transaction_id", "is_returned", score.alias("score"),
+                    (score >= F.lit(P.predict_threshold)).cast("int").alias("prediction"))
+
+
+def tree_model(w):
+    from pyspark.sql import functions as F
+    split = model_split(w)
+    train = split.filter(F.col("split") == "train")
+    model = K.fit_return_tree(train, depth=P.tree_depth, min_leaf=P.tree_min_leaf, max_bins=P.tree_max_bins,
+                              seed=P.label_seed)
+    return model, split.filter(F.col("split") == "test")
+
+
+def _risk() -> dict[str, Job]:
+    feature_cols = ["transaction_id", "transaction_date", "product_id", "category", "heat_score", "channel",
+                    "quantity", "unit_price", "discount_pct", "price_ratio", "margin_per_unit", "day_of_week",
+                    "is_weekend", "is_festive"]
+
+    def feats(w):
+        return K.return_features(w["clean_transactions"], w["dim_products"])
+
+    def tree_predictions(w):
+        model, test = tree_model(w)
+        return K.predict_return(model, test)
+
+    def tree_importance(w):
+        model, _ = tree_model(w)
+        return K.feature_importance(model, w.spark, k=P.top_features)
+
+    return {
+        "return_features": _job(lambda w: feats(w).select(*feature_cols)),
+        "return_probability": _job(lambda w: K.return_probability(feats(w)).select(*feature_cols, "return_prob")),
+        "return_label": _job(lambda w: K.return_label(K.return_probability(feats(w)), P.label_seed)
+                             .select(*feature_cols, "return_prob", "is_returned")),
+        "categorical_index": _job(lambda w: model_input(w).select(
+            *feature_cols, "return_prob", "is_returned", "cat_encoded", "ch_encoded", "heat_encoded")),
+        "model_frame": _job(lambda w: K.model_frame_stats(K.model_frame(model_input(w)))),
+        "stratified_split": _job(lambda w: model_split(w).select("transaction_id", "is_returned", "split")),
+        "roc_auc": _job(lambda w: K.roc_auc(rule_scored_test(w))),
+        "classification_report": _job(lambda w: K.classification_report(rule_scored_test(w))),
+        "pr_curve": _job(lambda w: K.pr_curve(rule_scored_test(w))),
+        "threshold_table": _job(lambda w: K.threshold_table(rule_scored_test(w), P.thresholds)),
+        "return_risk_tree": _job(tree_predictions),
+        "tree_roc_auc": _job(lambda w: K.roc_auc(tree_predictions(w))),
+        "feature_importance": _job(tree_importance),
+    }
+
+
 def queries() -> dict[str, Job]:
     out: dict[str, Job] = {}
-    for part in (_audit, _sales, _customers, _inventory, _returns):
+    for part in (_audit, _sales, _customers, _inventory, _returns, _risk):
         out.update(part())
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from tillpoint.oracle import sql_audit_sales, sql_customers, sql_inventory_returns
+    from tillpoint.oracle import sql_audit_sales, sql_customers, sql_inventory_returns, sql_risk
     out: dict[str, str] = {}
     out.update(sql_audit_sales.SQL)
     out.update(sql_customers.SQL)
     out.update(sql_inventory_returns.SQL)
+    out.update(sql_risk.SQL)
     return out
