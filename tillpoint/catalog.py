@@ -15,6 +15,7 @@ from tillpoint.functions.exprs import to_output
 from tillpoint.params import TESTDATA_PARAMS as P
 from tillpoint.plans import audit as A
 from tillpoint.plans import customers as C
+from tillpoint.plans import impact as IM
 from tillpoint.plans import inventory as INV
 from tillpoint.plans import ledger as LG
 from tillpoint.plans import returns as R
@@ -182,18 +183,80 @@ def _risk() -> dict[str, Job]:
     }
 
 
+def _impact_inputs(w):
+    tc, p = w["clean_transactions"], w["dim_products"]
+    dead = INV.dead_stock(w["fact_inventory"], p, P.dead_sell_through, P.dead_min_units)
+    segments = C.with_pandas_segment(C.rfm_scores_qcut(tc, P.as_of, P.rfm_buckets))
+    loss = R.return_loss(tc, w["fact_returns"])
+    return dead, segments, loss
+
+
+def impact(w):
+    dead, segments, loss = _impact_inputs(w)
+    return IM.impact_scenarios(dead, segments, loss, P)
+
+
+def summary(w):
+    tc, p = w["clean_transactions"], w["dim_products"]
+    dead, segments, loss = _impact_inputs(w)
+    model, test = tree_model(w)
+    return IM.impact_summary(
+        S.headline_kpis(tc), loss, IM.impact_scenarios(dead, segments, loss, P),
+        K.roc_auc(K.predict_return(model, test)), S.festive_uplift(tc, P.festive_months),
+        S.category_concentration(tc, p, P.top_categories),
+        A.audit_counters(w["fact_transactions"], w["fact_inventory"], p),
+        S.category_revenue(tc, p), C.rfm_segment_summary(segments))
+
+
+def publish(w):
+    from tillpoint.session import staging_root
+    tc, p = w["clean_transactions"], w["dim_products"]
+    segments = C.rfm_scores_qcut(tc, P.as_of, P.rfm_buckets)
+    outputs = {
+        "rfm_segments": C.rfm_segment_table(segments, w["dim_customers"]),
+        "dead_stock_skus": INV.dead_stock(w["fact_inventory"], p, P.dead_sell_through, P.dead_min_units),
+        "monthly_revenue": S.monthly_trend(tc),
+        "category_revenue": S.category_revenue(tc, p),
+        "impact_summary": summary(w),
+    }
+    return IM.publish_outputs(w.spark, outputs, IM.new_output_dir(staging_root(w.spark)), "csv")
+
+
+def csv_roundtrip(w):
+    """Clean transactions written as CSV, read back with the declared
+    schema (dates parsed on read), then the monthly trend over the CSV copy."""
+    import uuid
+
+    from tillpoint.session import staging_root
+    from tillpoint.sources import io as IO
+    d = f"{staging_root(w.spark)}/csv-{uuid.uuid4().hex[:12]}"
+    IO.write_tables({"clean_transactions": w["clean_transactions"]}, d, "csv")
+    back = IO.load_tables(w.spark, d, ["clean_transactions"], "csv")["clean_transactions"]
+    return S.monthly_trend(back)
+
+
+def _impact() -> dict[str, Job]:
+    return {
+        "impact_scenarios": _job(impact),
+        "impact_summary": _job(summary),
+        "publish_outputs": _job(publish),
+        "csv_source_roundtrip": _job(csv_roundtrip),
+    }
+
+
 def queries() -> dict[str, Job]:
     out: dict[str, Job] = {}
-    for part in (_audit, _sales, _customers, _inventory, _returns, _risk):
+    for part in (_audit, _sales, _customers, _inventory, _returns, _risk, _impact):
         out.update(part())
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from tillpoint.oracle import sql_audit_sales, sql_customers, sql_inventory_returns, sql_risk
+    from tillpoint.oracle import sql_audit_sales, sql_customers, sql_impact, sql_inventory_returns, sql_risk
     out: dict[str, str] = {}
     out.update(sql_audit_sales.SQL)
     out.update(sql_customers.SQL)
     out.update(sql_inventory_returns.SQL)
     out.update(sql_risk.SQL)
+    out.update(sql_impact.SQL)
     return out
