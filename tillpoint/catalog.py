@@ -130,22 +130,30 @@ def model_split(w):
     return K.stratified_split(K.model_frame(model_input(w)), "is_returned", P.train_fraction, P.label_seed)
 
 
+def staged_split(w):
+    """The model split, materialised once per session for the jobs downstream of it."""
+    return w.derived("model_split", model_split)
+
+
 def rule_scored_test(w):
     """Test split scored by the rule probability (exact, SQL-checkable)."""
     from pyspark.sql import functions as F
-    t = model_split(w).filter(F.col("split") == "test")
+    t = staged_split(w).filter(F.col("split") == "test")
     score = F.col("return_prob").cast("double")
     return t.select("transaction_id", "is_returned", score.alias("score"),
                     (score >= F.lit(P.predict_threshold)).cast("int").alias("prediction"))
 
 
 def tree_model(w):
+    """Fit once per session on the staged split; every tree job reuses the model."""
     from pyspark.sql import functions as F
-    split = model_split(w)
-    train = split.filter(F.col("split") == "train")
-    model = K.fit_return_tree(train, depth=P.tree_depth, min_leaf=P.tree_min_leaf, max_bins=P.tree_max_bins,
-                              seed=P.label_seed)
-    return model, split.filter(F.col("split") == "test")
+    split = staged_split(w)
+
+    def fit(_):
+        train = split.filter(F.col("split") == "train")
+        return K.fit_return_tree(train, depth=P.tree_depth, min_leaf=P.tree_min_leaf,
+                                 max_bins=P.tree_max_bins, seed=P.label_seed)
+    return w.memo("return_tree", fit), split.filter(F.col("split") == "test")
 
 
 def _risk() -> dict[str, Job]:

@@ -46,6 +46,7 @@ class Warehouse:
         self.sf_dir = sf_dir
         self.stage = stage
         self._tables: dict[str, DataFrame] = {}
+        self._memo: dict[str, object] = {}
         tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
         self.root = os.path.join(staging_root(spark), spark.sparkContext.applicationId, tag)
         self._build()
@@ -57,15 +58,30 @@ class Warehouse:
     def tables(self) -> dict[str, DataFrame]:
         return dict(self._tables)
 
+    def derived(self, name: str, build) -> DataFrame:
+        """A derived table (e.g. the model split) written once per session under
+        the staging folder and read back by every later job that needs it."""
+        if name not in self._memo:
+            self._memo[name] = self._write(name, build(self))
+        return self._memo[name]
+
+    def memo(self, name: str, build):
+        """A driver-side object built once per session (e.g. a fitted model)."""
+        if name not in self._memo:
+            self._memo[name] = build(self)
+        return self._memo[name]
+
     # ------------------------------------------------------------------
-    def _put(self, name: str, df: DataFrame, sort_by: str | None = None) -> DataFrame:
+    def _write(self, name: str, df: DataFrame, sort_by: str | None = None) -> DataFrame:
         if not self.stage:
-            self._tables[name] = df
             return df
         path = f"{self.root}/{name}"
         out = df.sortWithinPartitions(sort_by) if sort_by else df
         out.write.mode("overwrite").parquet(path)
-        staged = self.spark.read.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _put(self, name: str, df: DataFrame, sort_by: str | None = None) -> DataFrame:
+        staged = self._write(name, df, sort_by)
         self._tables[name] = staged
         return staged
 
