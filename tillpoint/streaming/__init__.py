@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analyses this library rebuilds are batch reports: no stream source,
+watermark, event-time window, session or state appears anywhere in them, so
+this package defines no operator. Every job is a plain DataFrame function and
+can be applied per micro-batch from ``foreachBatch`` if a caller ingests
+transactions as a stream.
+"""
