@@ -119,6 +119,8 @@ def _returns() -> dict[str, Job]:
         "return_profitability": _job(lambda w: R.return_profitability(w["clean_transactions"], w["fact_returns"],
                                                                       w["dim_products"])),
         "return_loss": _job(lambda w: R.return_loss(w["clean_transactions"], w["fact_returns"])),
+        "return_candidates": _job(lambda w: R.return_candidates(w["fact_transactions"], w["clean_transactions"],
+                                                                0.11, P.label_seed)),
     }
 
 

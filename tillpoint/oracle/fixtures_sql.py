@@ -168,7 +168,8 @@ SELECT 'INV-' || CAST(product_id AS VARCHAR) || '-' || CAST(store_id AS VARCHAR)
        CAST(units_sold * effective_price AS DECIMAL(12,2)) AS revenue
 FROM inv_ledger2"""),
     ("fact_markdown_events", """
-SELECT 'MD-' || CAST(product_id AS VARCHAR) AS markdown_id, product_id, store_id,
+SELECT 'MD-' || lpad(CAST(ROW_NUMBER() OVER (ORDER BY product_id) AS VARCHAR), 5, '0') AS markdown_id,
+       product_id, store_id,
        week_date AS markdown_date, week_number AS markdown_week, markdown_pct,
        days_on_shelf AS days_on_shelf_at_md, opening_stock AS stock_at_markdown,
        CAST(ROUND(CAST(1.0 - CAST(opening_stock AS DOUBLE) / 150.0 AS DECIMAL(38,6)), 4) AS DECIMAL(7,4)) AS sell_through_at_md,

@@ -255,5 +255,5 @@ def clean_by_first(t: DataFrame, keys=PANDAS_DEDUP_KEYS, order_col: str = "trans
     first = (t.groupBy(*keys)
               .agg(F.min(F.struct(F.col(order_col), *[F.col(c) for c in rest])).alias("_f")))
     return (first.select(*keys, "_f.*")
-                 .filter((F.col("revenue") > 0) & (F.col("quantity") > 0))
+                 .filter("revenue > 0 AND quantity > 0")
                  .select(*CLEAN_COLUMNS))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions.exprs import dbl, idiv, month_key, round_up
 from tillpoint.functions.labels import UNITS_PER_TARGET_INR
+from tillpoint.operators.rank import global_row_number
 
 UNBOUNDED = Window.unboundedPreceding
 
@@ -74,8 +75,10 @@ def first_markdown_event(inventory: DataFrame, nominal_stock: int = 150) -> Data
                       .withColumn("_rn", F.row_number().over(w))
                       .filter(F.col("_rn") == 1))
     st = F.lit(1.0) - dbl("opening_stock") / F.lit(float(nominal_stock))
+    # sequential, zero-padded ids in product order (distributed row number)
+    first = global_row_number(first, [F.col("product_id").asc()], out="_seq")
     return first.select(
-        F.concat(F.lit("MD-"), F.col("product_id").cast("string")).alias("markdown_id"),
+        F.format_string("MD-%05d", F.col("_seq")).alias("markdown_id"),
         "product_id", "store_id",
         F.col("week_date").alias("markdown_date"),
         F.col("week_number").alias("markdown_week"),

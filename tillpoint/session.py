@@ -32,18 +32,40 @@ def build_session(master: str = "local[8]", app: str = "tillpoint",
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    if _context(spark) is not None:
+        spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.applicationId
+    return spark.conf.get("spark.app.id", "app")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset."""
-    sc = spark.sparkContext
+    """Return the session's checkpoint folder (``spark.checkpoint.dir``), creating
+    a local one only when none is configured (local runs and tests)."""
+    sc = _context(spark)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if sc is None:
+        if configured:
+            return configured
+        local = tempfile.mkdtemp(prefix="tillpoint-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", local)
+        return local
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()

@@ -14,11 +14,12 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.session import staging_root
+from tillpoint.session import app_id, staging_root
 from tillpoint.sources import fixtures as fx
 
 TABLES = ("dim_products", "dim_stores", "dim_customers", "fact_transactions", "fact_returns",
@@ -30,7 +31,7 @@ _CACHE: dict[tuple, "Warehouse"] = {}
 
 def warehouse(spark: SparkSession, sf_dir: str, stage: bool = True) -> "Warehouse":
     """Memoised per (application, folder): staging happens once per session."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), stage)
+    key = (app_id(spark), os.path.abspath(sf_dir), stage)
     with _LOCK:
         wh = _CACHE.get(key)
         if wh is None:
@@ -46,8 +47,9 @@ class Warehouse:
         self.stage = stage
         self._tables: dict[str, DataFrame] = {}
         self._memo: dict[str, object] = {}
+        self.timings: dict[str, float] = {}
         tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
-        self.root = os.path.join(staging_root(spark), spark.sparkContext.applicationId, tag)
+        self.root = os.path.join(staging_root(spark), app_id(spark), tag)
         self._build()
 
     # ------------------------------------------------------------------
@@ -57,6 +59,16 @@ class Warehouse:
     def tables(self) -> dict[str, DataFrame]:
         return dict(self._tables)
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Expose the staged tables to ``spark.sql``; the clean table is also
+        registered as ``vw_clean_transactions``."""
+        names = []
+        for name, df in self._tables.items():
+            df.createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        self._tables["clean_transactions"].createOrReplaceTempView(prefix + "vw_clean_transactions")
+        return names + [prefix + "vw_clean_transactions"]
+
     def derived(self, name: str, build) -> DataFrame:
         """A derived table (e.g. the model split) written once per session under
         the staging folder and read back by every later job that needs it."""
@@ -80,7 +92,9 @@ class Warehouse:
         return self.spark.read.parquet(path)
 
     def _put(self, name: str, df: DataFrame, sort_by: str | None = None) -> DataFrame:
+        t0 = time.time()
         staged = self._write(name, df, sort_by)
+        self.timings[name] = round(time.time() - t0, 3)
         self._tables[name] = staged
         return staged
 
