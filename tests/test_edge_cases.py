@@ -169,3 +169,17 @@ def test_threshold_table_zero_denominators(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.2)], "is_returned int, score double")
     r = {x.threshold: (x.precision, x.recall, x.flagged) for x in K.threshold_table(df, (0.5,)).collect()}
     assert r == {0.5: (Dec("0.0000"), Dec("0.0000"), 0)}
+
+
+def test_duplicate_rows_with_a_hot_key_match_the_window_form(spark):
+    from pyspark.sql import Window
+    hot = [(f"H{k:03d}", D0, None, 1, 1, 1, 10, 0, 10, 5) for k in range(100)]      # a third of all rows
+    rest = [(f"R{k:03d}", D0, k % 50, 2 + k % 7, 1, 1, 10, 0, 10, 5) for k in range(200)]
+    t = txn(spark, hot + rest)
+    keys = list(A.DEDUP_KEYS)
+    w = Window.partitionBy(*keys)
+    want = (t.withColumn("occurrence_count", F.count(F.lit(1)).over(w))
+             .withColumn("row_rank", F.row_number().over(w.orderBy("transaction_id")))
+             .filter(F.col("occurrence_count") > 1))
+    cols = ["transaction_id", "occurrence_count", "row_rank"]
+    assert rows(A.duplicate_rows(t), cols) == rows(want, cols)

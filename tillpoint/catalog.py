@@ -38,6 +38,7 @@ def _audit() -> dict[str, Job]:
     return {
         "null_rate_audit": _job(lambda w: A.null_rate_audit(w.tables(), A.AUDITED_NULL_COLUMNS)),
         "duplicate_detection": _job(lambda w: A.duplicate_detection(w["fact_transactions"])),
+        "duplicate_rows": _job(lambda w: A.duplicate_rows(w["fact_transactions"])),
         "negative_stock": _job(lambda w: A.negative_stock(w["fact_inventory"], w["dim_products"])),
         "price_anomalies": _job(lambda w: A.price_anomalies(w["fact_transactions"], w["dim_products"],
                                                             P.max_discount, P.min_cost_ratio)),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions import labels as L
 from tillpoint.functions.exprs import count_if, pct
+from tillpoint.operators.rank import global_row_number
 from tillpoint.operators.scalars import combine_scalars
 from tillpoint.sources import schemas as SC
 
@@ -87,6 +88,31 @@ def duplicate_detection(t: DataFrame, keys=DEDUP_KEYS, value_col: str = "revenue
                     "inflated_revenue_inr")
 
 
+def duplicate_rows(t: DataFrame, keys=DEDUP_KEYS, order_col: str = "transaction_id") -> DataFrame:
+    """Row form of J02: every row of a duplicated business key with its
+    occurrence count and its rank inside the key (by ``order_col``); rows with
+    rank > 1 are the ones the clean view removes.
+
+    COUNT(*) OVER (PARTITION BY key) and ROW_NUMBER() inside a key would put a
+    hot key's whole group in one task. Instead: counts per key (partial
+    aggregation), a NULL-safe join back, a distributed global row number over
+    (key, order_col), and the key's first number (partial aggregation again)."""
+    counts = (t.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrence_count"))
+               .filter(F.col("occurrence_count") > 1))
+    c = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "occurrence_count")
+    cond = reduce(lambda a, b: a & b, [t[k].eqNullSafe(c[f"_k_{k}"]) for k in keys])
+    dup = (t.select(order_col, *keys).join(c, cond)
+            .drop(*[f"_k_{k}" for k in keys]))
+    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(order_col).asc()]
+    ranked = global_row_number(dup, order, out="_g")
+    firsts = ranked.groupBy(*keys).agg(F.min("_g").alias("_first"))
+    f = firsts.select(*[F.col(k).alias(f"_f_{k}") for k in keys], "_first")
+    cond2 = reduce(lambda a, b: a & b, [ranked[k].eqNullSafe(f[f"_f_{k}"]) for k in keys])
+    return (ranked.join(f, cond2)
+                  .select(order_col, *keys, "occurrence_count",
+                          (F.col("_g") - F.col("_first") + 1).alias("row_rank")))
+
+
 # J03 ----------------------------------------------------------------------------
 def negative_stock(i: DataFrame, p: DataFrame) -> DataFrame:
     """Inventory rows whose reported closing stock is negative, with product attributes."""
