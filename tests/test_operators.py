@@ -14,7 +14,7 @@ from tillpoint.operators.rank import global_row_number, ntile, ntile_of, rank_qc
 from tillpoint.operators.scalars import combine_scalars
 
 
-@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 3), (3, 7)])
+@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 3), (3, 7), (4, None)])
 def test_global_row_number_equals_row_number(spark, seed, parts):
     rnd = random.Random(seed)
     data = [(i, rnd.randint(0, 20)) for i in range(300)]  # many ties on v

@@ -20,28 +20,22 @@ bounds Spark samples, because the order is total.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.session import ensure_checkpoint_dir
 
 
-def _parts(spark: SparkSession, n: int | None) -> int:
-    if n:
-        return n
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-
-
 def global_row_number(df: DataFrame, order: list[Column], out: str = "_rn",
                       num_partitions: int | None = None, total_out: str | None = None) -> DataFrame:
     """Add ``out`` = ROW_NUMBER() OVER (ORDER BY order) without a single-task window
     (and, if ``total_out`` is given, the total row count).
     ``order`` must end with a unique key so the numbering is deterministic."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = _parts(spark, num_partitions)
-    ranged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
+    ensure_checkpoint_dir(df.sparkSession)
+    # Without an explicit count, AQE may coalesce adjacent range partitions
+    # (they stay in range order), so tiny inputs do not produce hundreds of files.
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    ranged = (ranged.sortWithinPartitions(*order)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)
