@@ -76,19 +76,34 @@ def return_label(scored: DataFrame, seed: int = 42) -> DataFrame:
 
 
 # J40 ----------------------------------------------------------------------------
+MAX_INLINE_CODES = 10000
+
+
 def categorical_index(df: DataFrame, fills: dict[str, str] | None = None,
-                      suffix: dict[str, str] | None = None) -> DataFrame:
+                      suffix: dict[str, str] | None = None, max_inline: int = MAX_INLINE_CODES) -> DataFrame:
     """Label encoding: each value's 0-based position among the column's sorted
-    distinct values (NULL filled first). The code table has one row per
-    distinct value; its rank window runs over that table only."""
+    distinct values (NULL filled first).
+
+    The distinct values come from one map-side-reduced aggregate. When there
+    are at most ``max_inline`` of them (checked by fetching at most
+    max_inline + 1 values), the codes become a literal map and encoding is a
+    projection: no join, no shuffle of the rows. Above the bound the codes stay
+    a DataFrame and are joined back (AQE broadcasts them if small enough)."""
     fills = fills or dict(L.ENCODER_FILLS)
     names = suffix or {"category": "cat_encoded", "channel": "ch_encoded", "heat_score": "heat_encoded"}
     out = df
     for c, fill in fills.items():
         filled = F.coalesce(F.col(c), F.lit(fill))
-        codes = (out.select(filled.alias("_v")).distinct()
-                    .withColumn(names[c], (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int")))
-        out = (out.withColumn("_v", filled).join(codes, "_v", "left").drop("_v"))
+        values = out.select(filled.alias("_v")).distinct()
+        head = [r["_v"] for r in values.orderBy("_v").limit(max_inline + 1).collect()]
+        if len(head) <= max_inline:
+            pairs = []
+            for i, v in enumerate(head):
+                pairs += [F.lit(v), F.lit(i)]
+            out = out.withColumn(names[c], F.element_at(F.create_map(*pairs), filled).cast("int"))
+        else:
+            codes = values.withColumn(names[c], (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int"))
+            out = out.withColumn("_v", filled).join(codes, "_v", "left").drop("_v")
     return out
 
 
