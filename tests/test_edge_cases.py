@@ -193,3 +193,36 @@ def test_label_encoding_inline_and_join_paths_agree(spark):
     joined = rows(K.categorical_index(df, max_inline=1), cols)
     # sorted distinct: category [Bags, Tops, Unknown]; channel [In-Store, Online, Unknown]; heat [core, dead]
     assert inline == joined == [(1, 1, 2, 1), (2, 2, 1, 0), (3, 0, 0, 0)]
+
+
+def test_inventory_health_last_stock_mode(spark):
+    p = spark.createDataFrame([(1, "P1", "Tops", "B", "Winter", Dec("10"), Dec("30"))],
+                              "product_id long, product_name string, category string, brand string, season string, "
+                              "cost_price decimal(10,2), mrp decimal(10,2)")
+    s = spark.createDataFrame([(1, "R")], "store_id long, region string")
+    # weeks: opening 100 -> 95 -> 90; 'max' reads closing 95 (week 1), 'last' reads 88 (week 3)
+    i = inv_rows(spark, [(1, 1, 1, 100, 95, 0), (1, 1, 2, 95, 90, 0), (1, 1, 3, 90, 88, 0)])
+    mx = INV.inventory_health(i, p, s).collect()[0]
+    last = INV.inventory_health(i, p, s, stock_mode="last").collect()[0]
+    assert (mx.remaining_units, last.remaining_units) == (95, 88)
+    assert float(mx.sell_through_pct) == 5.0 and float(last.sell_through_pct) == 12.0
+
+
+def test_integer_average_option(spark):
+    sc = spark.createDataFrame([(1, 5, 5, 5, 3, 1, Dec("10"), Dec("10")), (2, 5, 5, 5, 4, 2, Dec("10"), Dec("10"))],
+                               "customer_id long, r_score int, f_score int, m_score int, recency_days int, "
+                               "frequency long, monetary_value decimal(12,2), avg_order_value decimal(12,2)")
+    true_mean = C.rfm_segments(sc).collect()[0]
+    t_sql = C.rfm_segments(sc, integer_avg=True).collect()[0]
+    assert float(true_mean.avg_recency_days) == 4.0  # 3.5 rounds half up
+    assert float(t_sql.avg_recency_days) == 3.0      # AVG(int) truncates to 3
+    assert float(t_sql.avg_orders) == 1.0 and float(true_mean.avg_orders) == 1.5
+
+
+def test_approximate_split_is_a_projection(spark):
+    df = spark.range(2000).select(F.col("id").cast("string").alias("transaction_id"), (F.col("id") % 2).alias("is_returned"))
+    s = K.stratified_split(df, exact=False)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    share = s.filter(F.col("split") == "train").count() / 2000
+    assert 0.70 < share < 0.80

@@ -126,9 +126,15 @@ def model_frame_stats(frame: DataFrame, label: str = "is_returned") -> DataFrame
 
 # J42 ----------------------------------------------------------------------------
 def stratified_split(df: DataFrame, label: str = "is_returned", train_fraction: float = 0.75,
-                     seed: int = 42, id_col: str = "transaction_id") -> DataFrame:
+                     seed: int = 42, id_col: str = "transaction_id", exact: bool = True) -> DataFrame:
     """Exact stratified split: inside each class, rows ordered by md5(id:seed)
-    (then id); the first round(fraction x class size) rows train, the rest test."""
+    (then id); the first round(fraction x class size) rows train, the rest test.
+
+    ``exact=False`` trains on rows whose hashed draw is below the fraction: a
+    projection with no shuffle or sort, class sizes within sampling error."""
+    if not exact:
+        u = hash_uniform(F.concat(F.col(id_col).cast("string"), F.lit(":split")), seed)
+        return df.withColumn("split", F.when(u < F.lit(train_fraction), F.lit("train")).otherwise(F.lit("test")))
     key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":split:{seed}")))
     x = df.withColumn("_key", key)
     ranked = global_row_number(x, [F.col(label).asc(), F.col("_key").asc(), F.col(id_col).asc()], out="_g")

@@ -52,15 +52,24 @@ def app_id(spark: SparkSession) -> str:
     return spark.conf.get("spark.app.id", "app")
 
 
+def _local_folder(spark: SparkSession) -> str:
+    """A machine-local folder, allowed only for local-mode sessions (tests)."""
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder: staged tables and reliable "
+                           "checkpoints must survive the loss of an executor")
+    return tempfile.mkdtemp(prefix="tillpoint-ckpt-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder (``spark.checkpoint.dir``), creating
-    a local one only when none is configured (local runs and tests)."""
+    a local one only when none is configured and the session is local (tests)."""
     sc = _context(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc is None:
         if configured:
             return configured
-        local = tempfile.mkdtemp(prefix="tillpoint-ckpt-")
+        local = _local_folder(spark)
         spark.conf.set("spark.checkpoint.dir", local)
         return local
     current = sc.getCheckpointDir()
@@ -69,8 +78,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    local = tempfile.mkdtemp(prefix="tillpoint-ckpt-")
-    sc.setCheckpointDir(local)
+    sc.setCheckpointDir(_local_folder(spark))
     return sc.getCheckpointDir()
 
 
