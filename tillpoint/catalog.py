@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillpoint.functions.exprs import to_output
 from tillpoint.params import TESTDATA_PARAMS as P
@@ -20,8 +21,8 @@ from tillpoint.plans import inventory as INV
 from tillpoint.plans import ledger as LG
 from tillpoint.plans import returns as R
 from tillpoint.plans import risk as K
-from tillpoint.sources import fixtures as FX
 from tillpoint.plans import sales as S
+from tillpoint.sources import fixtures as FX
 from tillpoint.sources.warehouse import warehouse
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -121,7 +122,7 @@ def _returns() -> dict[str, Job]:
                                                                       w["dim_products"])),
         "return_loss": _job(lambda w: R.return_loss(w["clean_transactions"], w["fact_returns"])),
         "return_candidates": _job(lambda w: R.return_candidates(w["fact_transactions"], w["clean_transactions"],
-                                                                0.11, P.label_seed)),
+                                                                P.return_sample_rate, P.label_seed)),
     }
 
 
@@ -140,7 +141,6 @@ def staged_split(w):
 
 def rule_scored_test(w):
     """Test split scored by the rule probability (exact, SQL-checkable)."""
-    from pyspark.sql import functions as F
     t = staged_split(w).filter(F.col("split") == "test")
     score = F.col("return_prob").cast("double")
     return t.select("transaction_id", "is_returned", score.alias("score"),
@@ -149,7 +149,6 @@ def rule_scored_test(w):
 
 def tree_model(w):
     """Fit once per session on the staged split; every tree job reuses the model."""
-    from pyspark.sql import functions as F
     split = staged_split(w)
 
     def fit(_):

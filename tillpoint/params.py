@@ -36,6 +36,7 @@ class RetailParams:
     max_discount: float = 0.70
     min_cost_ratio: float = 0.50
     return_window_days: int = 90
+    return_sample_rate: float = 0.11  # share of clean transactions drawn for returns
     # --- inventory --------------------------------------------------------
     cohort_max_week: int = 16
     dead_sell_through: float = 0.40
