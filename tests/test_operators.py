@@ -92,3 +92,26 @@ def test_segment_counts_and_shares(spark, wh):
     assert abs(sum(r.segment_pct for r in seg) - 100.0) < 0.5
     cats = E.queries()["category_revenue"](spark, SF_SMALL).collect()
     assert sum(r.share_pct for r in cats) <= 100.5
+
+
+@pytest.mark.parametrize("desc", [False, True])
+def test_prefix_sum_equals_running_window(spark, desc):
+    from tillpoint.operators.rank import prefix_sum
+    rnd = random.Random(7)
+    df = spark.createDataFrame([(i, rnd.randint(0, 9)) for i in range(500)], "k long, v long")
+    order = [F.col("k").desc() if desc else F.col("k").asc()]
+    got = rows(prefix_sum(df, order, "v", "cs"), ["k", "cs"])
+    want = rows(df.withColumn("cs", F.sum("v").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))),
+                ["k", "cs"])
+    assert got == want
+
+
+def test_auc_with_one_score_per_row(spark):
+    from tillpoint.plans.risk import roc_auc
+    rnd = random.Random(3)
+    data = [(rnd.randint(0, 1), rnd.random()) for _ in range(400)]
+    df = spark.createDataFrame(data, "is_returned int, score double")
+    pos = [s for y, s in data if y == 1]
+    neg = [s for y, s in data if y == 0]
+    want = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert roc_auc(df).collect()[0].roc_auc == pytest.approx(want, abs=1e-12)

@@ -88,3 +88,23 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     WindowGroupLimit before the shuffle, so a hot key shrinks map-side)."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+
+
+def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
+    """Running SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING) without
+    a single-task window: rows are range-partitioned on the (unique) order and
+    checkpointed; each range partition is summed locally (one window partition
+    per range partition, so no task holds more than one range) and shifted by
+    the totals of the partitions before it (one row per partition, broadcast)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+                .withColumn("_pid", F.spark_partition_id()))
+    ranged = ranged.checkpoint(eager=True)
+    totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_tot"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
+    local = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (ranged.withColumn("_loc", F.sum(value).over(local))
+                  .join(F.broadcast(offsets), "_pid")
+                  .withColumn(out, F.col("_off") + F.col("_loc"))
+                  .drop("_pid", "_loc", "_off"))

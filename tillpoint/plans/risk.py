@@ -11,11 +11,11 @@ Scale notes
 * The stratified split ranks rows inside each class with the distributed
   global ranking (a class holds about half the rows: a per-class window would
   put it in one task).
-* Metrics work from counts per distinct score. A depth-d tree emits at most
-  2^d distinct probabilities and the rule score is DECIMAL(5,2) in [0, 1]
-  (at most 101 values), so the cumulative windows run over a bounded table.
-  Classification counts are one aggregate; threshold sweeps are one scan
-  with one conditional sum per threshold.
+* Metrics work from counts per distinct score (a depth-d tree emits at most
+  2^d distinct probabilities, the rule score at most 101); the cumulative sums
+  over scores use the distributed prefix sum, so a continuous score with one
+  value per row is fine too. Classification counts are one aggregate;
+  threshold sweeps are one scan with one conditional sum per threshold.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions import labels as L
 from tillpoint.functions.exprs import dbl, hash_uniform, nz, ratio, round_up, weekday_mon0
-from tillpoint.operators.rank import global_row_number
+from tillpoint.operators.rank import global_row_number, prefix_sum
+from tillpoint.operators.scalars import attach_one_row
 
 UNB = Window.unboundedPreceding
 
@@ -102,7 +103,9 @@ def categorical_index(df: DataFrame, fills: dict[str, str] | None = None,
                 pairs += [F.lit(v), F.lit(i)]
             out = out.withColumn(names[c], F.element_at(F.create_map(*pairs), filled).cast("int"))
         else:
-            codes = values.withColumn(names[c], (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int"))
+            # distinct values: the distributed row number equals the dense rank
+            codes = global_row_number(values, [F.col("_v").asc()], out="_code")
+            codes = codes.select("_v", (F.col("_code") - 1).cast("int").alias(names[c]))
             out = out.withColumn("_v", filled).join(codes, "_v", "left").drop("_v")
     return out
 
@@ -191,9 +194,8 @@ def score_counts(scored: DataFrame, label: str = "is_returned", score: str = "sc
 def roc_auc(scored: DataFrame, label: str = "is_returned", score: str = "score") -> DataFrame:
     """Area under the ROC curve with tied scores counted half (Mann-Whitney),
     from counts per distinct score."""
-    g = score_counts(scored, label, score)
-    below = Window.orderBy(F.col(score).asc()).rowsBetween(UNB, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    g = prefix_sum(score_counts(scored, label, score), [F.col(score).asc()], "neg", "_neg_upto")
+    g = g.withColumn("neg_below", F.col("_neg_upto") - F.col("neg"))
     a = g.agg(F.sum(dbl("pos") * (dbl("neg_below") + F.lit(0.5) * dbl("neg"))).alias("_u"),
               F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     return a.select("positives", "negatives",
@@ -243,10 +245,10 @@ def pr_curve(scored: DataFrame, label: str = "is_returned", score: str = "score"
     """Precision and recall when flagging every row with score >= threshold,
     for each distinct score."""
     g = score_counts(scored, label, score)
-    top = Window.orderBy(F.col(score).desc()).rowsBetween(UNB, 0)
-    everything = Window.partitionBy()
-    g = (g.withColumn("tp", F.sum("pos").over(top)).withColumn("fp", F.sum("neg").over(top))
-          .withColumn("_p", F.sum("pos").over(everything)))
+    positives = g.agg(F.sum("pos").alias("_p"))  # one row
+    g = prefix_sum(g, [F.col(score).desc()], "pos", "tp")
+    g = prefix_sum(g, [F.col(score).desc()], "neg", "fp")
+    g = attach_one_row(g, positives)
     return g.select(F.col(score).alias("threshold"), "tp", "fp",
                     round_up(ratio("tp", F.col("tp") + F.col("fp")), 6).alias("precision"),
                     round_up(ratio("tp", "_p"), 6).alias("recall"))
