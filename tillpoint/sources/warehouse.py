@@ -47,6 +47,7 @@ class Warehouse:
         self.stage = stage
         self._tables: dict[str, DataFrame] = {}
         self._memo: dict[str, object] = {}
+        self._memo_lock = threading.RLock()
         self.timings: dict[str, float] = {}
         tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
         self.root = os.path.join(staging_root(spark), app_id(spark), tag)
@@ -72,15 +73,17 @@ class Warehouse:
     def derived(self, name: str, build) -> DataFrame:
         """A derived table (e.g. the model split) written once per session under
         the staging folder and read back by every later job that needs it."""
-        if name not in self._memo:
-            self._memo[name] = self._write(name, build(self))
-        return self._memo[name]
+        with self._memo_lock:
+            if name not in self._memo:
+                self._memo[name] = self._write(name, build(self))
+            return self._memo[name]
 
     def memo(self, name: str, build):
         """A driver-side object built once per session (e.g. a fitted model)."""
-        if name not in self._memo:
-            self._memo[name] = build(self)
-        return self._memo[name]
+        with self._memo_lock:
+            if name not in self._memo:
+                self._memo[name] = build(self)
+            return self._memo[name]
 
     # ------------------------------------------------------------------
     def _write(self, name: str, df: DataFrame, sort_by: str | None = None) -> DataFrame:
