@@ -226,3 +226,12 @@ def test_approximate_split_is_a_projection(spark):
     assert "Exchange" not in plan
     share = s.filter(F.col("split") == "train").count() / 2000
     assert 0.70 < share < 0.80
+
+
+def test_approximate_distinct_option_is_close(spark, wh):
+    exact = {r.month: r.unique_customers for r in S.monthly_revenue(wh["clean_transactions"]).collect()}
+    approx = {r.month: r.unique_customers for r in S.monthly_revenue(wh["clean_transactions"], approx_distinct=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
+    plan = S.monthly_revenue(wh["clean_transactions"], approx_distinct=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
