@@ -193,10 +193,11 @@ def _risk() -> dict[str, Job]:
     }
 
 
-def _impact_inputs(w):
+def _impact_inputs(w, scored=None):
     tc, p = w["clean_transactions"], w["dim_products"]
     dead = INV.dead_stock(w["fact_inventory"], p, P.dead_sell_through, P.dead_min_units)
-    segments = C.with_pandas_segment(C.rfm_scores_qcut(tc, P.as_of, P.rfm_buckets))
+    scored = scored if scored is not None else C.rfm_scores_qcut(tc, P.as_of, P.rfm_buckets)
+    segments = C.with_pandas_segment(scored)
     loss = R.return_loss(tc, w["fact_returns"])
     return dead, segments, loss
 
@@ -206,9 +207,9 @@ def impact(w):
     return IM.impact_scenarios(dead, segments, loss, P)
 
 
-def summary(w):
+def summary(w, scored=None):
     tc, p = w["clean_transactions"], w["dim_products"]
-    dead, segments, loss = _impact_inputs(w)
+    dead, segments, loss = _impact_inputs(w, scored)
     model, test = tree_model(w)
     return IM.impact_summary(
         S.headline_kpis(tc), loss, IM.impact_scenarios(dead, segments, loss, P),
@@ -221,13 +222,13 @@ def summary(w):
 def publish(w):
     from tillpoint.session import staging_root
     tc, p = w["clean_transactions"], w["dim_products"]
-    segments = C.rfm_scores_qcut(tc, P.as_of, P.rfm_buckets)
+    scored = C.rfm_scores_qcut(tc, P.as_of, P.rfm_buckets)  # ranked once, shared below
     outputs = {
-        "rfm_segments": C.rfm_segment_table(segments, w["dim_customers"]),
+        "rfm_segments": C.rfm_segment_table(scored, w["dim_customers"]),
         "dead_stock_skus": INV.dead_stock(w["fact_inventory"], p, P.dead_sell_through, P.dead_min_units),
         "monthly_revenue": S.monthly_trend(tc),
         "category_revenue": S.category_revenue(tc, p),
-        "impact_summary": summary(w),
+        "impact_summary": summary(w, scored),
     }
     return IM.publish_outputs(w.spark, outputs, IM.new_output_dir(staging_root(w.spark)), "csv")
 
