@@ -235,3 +235,13 @@ def test_approximate_distinct_option_is_close(spark, wh):
     assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
     plan = S.monthly_revenue(wh["clean_transactions"], approx_distinct=True)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_orphans_count_rows_and_null_keys(spark):
+    child = spark.createDataFrame([(1,), (1,), (2,), (None,), (9,), (9,), (9,)], "k long")
+    parent = spark.createDataFrame([(1,), (1,), (2,)], "k long")
+    with_null = A.orphan_rows(child, "k", parent, "k").collect()[0].orphans
+    fk_style = A.orphan_rows(child, "k", parent, "k", skip_null=True).collect()[0].orphans
+    assert (with_null, fk_style) == (4, 3)
+    none = A.orphan_rows(parent, "k", parent, "k").collect()[0].orphans
+    assert none == 0

@@ -143,16 +143,31 @@ def price_anomalies(t: DataFrame, p: DataFrame, max_discount: float = 0.70,
 
 
 # J05 ----------------------------------------------------------------------------
+def orphan_rows(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str,
+                skip_null: bool = False) -> DataFrame:
+    """One row: how many child rows have no parent row on the key.
+
+    The child is first reduced to (key, rows) by partial aggregation, so the
+    anti join shuffles distinct keys instead of fact rows; the parent is reduced
+    to its distinct keys. A NULL child key never matches, so it counts as an
+    orphan unless ``skip_null`` (SQL foreign keys allow NULL)."""
+    keys = child.select(F.col(child_key).alias("_k"))
+    if skip_null:
+        keys = keys.filter(F.col("_k").isNotNull())
+    per_key = keys.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    parents = parent.select(F.col(parent_key).alias("_k")).distinct()
+    return (per_key.join(parents, "_k", "left_anti")
+                   .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("orphans")))
+
+
 def referential_integrity(checks: list[tuple[str, DataFrame, DataFrame, str]]) -> DataFrame:
     """Orphan counts: child rows with no parent on ``key`` (a NULL child key is an orphan).
 
-    checks: (label, child, parent, key). Written as ``left_anti`` joins; the
-    parent side is reduced to its distinct keys first."""
-    parts = []
-    for label, child, parent, key in checks:
-        orphans = child.select(key).join(parent.select(key).distinct(), key, "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("orphan_count"))
-                            .select(F.lit(label).alias("check_name"), "orphan_count"))
+    checks: (label, child, parent, key); each is an anti join of distinct keys
+    (see ``orphan_rows``)."""
+    parts = [orphan_rows(child, key, parent, key)
+             .select(F.lit(label).alias("check_name"), F.col("orphans").alias("orphan_count"))
+             for label, child, parent, key in checks]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -221,11 +236,10 @@ def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     for t, cols in SC.UNIQUE_KEYS.items():
         parts.append(_key_violations(tables[t], t, "UNIQUE", f"uq_{t}_{'_'.join(cols)}", cols))
     for child, ccol, parent, pcol in SC.FOREIGN_KEYS:
-        keys = tables[child].select(F.col(ccol).alias("_k")).filter(F.col("_k").isNotNull())
-        orphans = keys.join(tables[parent].select(F.col(pcol).alias("_k")).distinct(), "_k", "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("violations")).select(
+        orphans = orphan_rows(tables[child], ccol, tables[parent], pcol, skip_null=True)
+        parts.append(orphans.select(
             F.lit(child).alias("table_name"), F.lit("FOREIGN KEY").alias("constraint_type"),
-            F.lit(f"fk_{child}_{ccol}").alias("constraint_name"), "violations"))
+            F.lit(f"fk_{child}_{ccol}").alias("constraint_name"), F.col("orphans").alias("violations")))
     for t in SC.SCHEMAS:
         cols = SC.not_null_columns(t)
         wide = tables[t].agg(*[F.sum(F.col(c).isNull().cast("long")).alias(f"c{i}") for i, c in enumerate(cols)])
