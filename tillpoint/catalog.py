@@ -28,18 +28,27 @@ from tillpoint.sources.warehouse import warehouse
 Job = Callable[[SparkSession, str], DataFrame]
 
 
-def _job(fn) -> Job:
+def _job(fn, text_ids: tuple[str, ...] = ()) -> Job:
+    """Wrap a job: staged tables in, normalised types out. ``text_ids`` are
+    nullable key columns emitted as text (as the original's VARCHAR ids), so a
+    NULL key reads the same from every engine and client library."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return to_output(fn(warehouse(spark, sf_dir)))
+        out = to_output(fn(warehouse(spark, sf_dir)))
+        for c in text_ids:
+            out = out.withColumn(c, F.col(c).cast("string"))
+        return out
     run.__name__ = getattr(fn, "__name__", "job")
     return run
 
 
+GUEST_KEYS = ("customer_id",)  # NULL for guest checkouts
+
+
 def _audit() -> dict[str, Job]:
     return {
         "null_rate_audit": _job(lambda w: A.null_rate_audit(w.tables(), A.AUDITED_NULL_COLUMNS)),
         "duplicate_detection": _job(lambda w: A.duplicate_detection(w["fact_transactions"])),
-        "duplicate_rows": _job(lambda w: A.duplicate_rows(w["fact_transactions"])),
+        "duplicate_rows": _job(lambda w: A.duplicate_rows(w["fact_transactions"]), GUEST_KEYS),
         "negative_stock": _job(lambda w: A.negative_stock(w["fact_inventory"], w["dim_products"])),
         "price_anomalies": _job(lambda w: A.price_anomalies(w["fact_transactions"], w["dim_products"],
                                                             P.max_discount, P.min_cost_ratio)),
@@ -47,13 +56,13 @@ def _audit() -> dict[str, Job]:
         "date_consistency": _job(lambda w: A.date_consistency(w["fact_returns"], w["fact_transactions"],
                                                               P.return_window_days)),
         # recomputed from the raw table here (not read from the staged copy) so the job itself runs
-        "clean_transactions": _job(lambda w: A.clean_transactions(w["fact_transactions"])),
+        "clean_transactions": _job(lambda w: A.clean_transactions(w["fact_transactions"]), GUEST_KEYS),
         "dq_summary": _job(lambda w: A.dq_summary(w["fact_transactions"], w["clean_transactions"],
                                                   w["fact_inventory"], w["dim_products"])),
         "constraint_audit": _job(lambda w: A.constraint_audit(w.tables())),
         "audit_counters": _job(lambda w: A.audit_counters(w["fact_transactions"], w["fact_inventory"],
                                                           w["dim_products"])),
-        "clean_by_first": _job(lambda w: A.clean_by_first(w["fact_transactions"])),
+        "clean_by_first": _job(lambda w: A.clean_by_first(w["fact_transactions"]), GUEST_KEYS),
     }
 
 
