@@ -21,7 +21,7 @@ def plan_of(df) -> str:
 @pytest.mark.parametrize("name", PLAN_JOBS)
 def test_no_python_udf_and_no_cartesian(spark, wh, name):
     plan = plan_of(E.queries()[name](spark, SF_SMALL))
-    for bad in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct"):
+    for bad in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan, f"{name}: {bad}"
 
 

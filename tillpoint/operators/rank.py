@@ -90,7 +90,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
+def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str,
+               total_out: str | None = None) -> DataFrame:
     """Running SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING) without
     a single-task window: rows are range-partitioned on the (unique) order and
     checkpointed; each range partition is summed locally (one window partition
@@ -102,9 +103,12 @@ def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str) -> Data
     ranged = ranged.checkpoint(eager=True)
     totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_tot"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
+    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_tot").over(Window.partitionBy()).alias("_all"))
     local = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (ranged.withColumn("_loc", F.sum(value).over(local))
-                  .join(F.broadcast(offsets), "_pid")
-                  .withColumn(out, F.col("_off") + F.col("_loc"))
-                  .drop("_pid", "_loc", "_off"))
+    res = (ranged.withColumn("_loc", F.sum(value).over(local))
+                 .join(F.broadcast(offsets), "_pid")
+                 .withColumn(out, F.col("_off") + F.col("_loc")))
+    if total_out:
+        res = res.withColumnRenamed("_all", total_out)
+    return res.drop("_pid", "_loc", "_off", "_all")

@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from tillpoint.functions import labels as L
 from tillpoint.functions.exprs import dbl, hash_uniform, nz, ratio, round_up, weekday_mon0
 from tillpoint.operators.rank import global_row_number, prefix_sum
-from tillpoint.operators.scalars import attach_one_row
 
 UNB = Window.unboundedPreceding
 
@@ -245,10 +244,8 @@ def pr_curve(scored: DataFrame, label: str = "is_returned", score: str = "score"
     """Precision and recall when flagging every row with score >= threshold,
     for each distinct score."""
     g = score_counts(scored, label, score)
-    positives = g.agg(F.sum("pos").alias("_p"))  # one row
-    g = prefix_sum(g, [F.col(score).desc()], "pos", "tp")
+    g = prefix_sum(g, [F.col(score).desc()], "pos", "tp", total_out="_p")
     g = prefix_sum(g, [F.col(score).desc()], "neg", "fp")
-    g = attach_one_row(g, positives)
     return g.select(F.col(score).alias("threshold"), "tp", "fp",
                     round_up(ratio("tp", F.col("tp") + F.col("fp")), 6).alias("precision"),
                     round_up(ratio("tp", "_p"), 6).alias("recall"))
