@@ -115,3 +115,12 @@ def test_auc_with_one_score_per_row(spark):
     neg = [s for y, s in data if y == 0]
     want = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg) / (len(pos) * len(neg))
     assert roc_auc(df).collect()[0].roc_auc == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 300])
+def test_sample_exact_matches_hash_order_limit(spark, n):
+    from tillpoint.operators.sampling import hash_order_key, sample_exact
+    df = spark.createDataFrame([(f"id{i}", i % 5) for i in range(300)], "k string, v int").repartition(7)
+    got = rows(sample_exact(df, n, "k", seed=9), ["k"])
+    want = rows(df.orderBy(hash_order_key("k", 9), "k").limit(n), ["k"])
+    assert got == want and len(got) == n
