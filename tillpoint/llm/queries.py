@@ -10,12 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import exact_dedup, sharding, warc_store
+from tillpoint.llm import cutting_stock, exact_dedup, sharding, warc_store
 from tillpoint.llm.common import shared_folder, table
 
+TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
 N_SHARDS = 16
 
 
+def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = cutting_stock.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packed.digests()
+
+
 def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS)
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -33,6 +39,7 @@ def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_cutting_stock_packing": op3_cutting_stock_packing,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_warc_store": op9_warc_store,
