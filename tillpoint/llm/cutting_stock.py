@@ -82,11 +82,14 @@ def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tupl
     return float(best[capacity]), pattern
 
 
-def first_basis(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[Counter], np.ndarray]:
+def first_basis(lengths: np.ndarray, need: np.ndarray,
+                capacity: int) -> tuple[list[Counter], np.ndarray, np.ndarray]:
     """Sequential patterns: the longest open length with the fullest filling of the
     others, used until one length is exhausted. Pattern k exhausts one length and has
-    no length exhausted before, so the patterns are a feasible basis."""
+    no length exhausted before, so the patterns are a feasible basis, triangular in
+    that order. Returns patterns, amounts and the inverse of the basis."""
     patterns: list[Counter] = [Counter()] * len(lengths)
+    order: list[int] = []
     amount, left = np.zeros(len(lengths)), need.copy()
     is_open = np.ones(len(lengths), bool)
     while is_open.any():
@@ -95,7 +98,7 @@ def first_basis(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[l
         pattern = Counter({int(longest): 1})
         room = capacity - int(lengths[longest])
         if room >= lengths[alive[0]]:
-            plenty = 1 + 0.02 * left[alive] / left[alive].max()
+            plenty = 1 + 0.02 * left[alive] / max(1e-9, left[alive].max())
             _, rest = best_pattern(lengths[alive], lengths[alive] * plenty, room)
             pattern.update({int(alive[i]): n for i, n in rest.items()})
         used = np.array(list(pattern))
@@ -104,7 +107,15 @@ def first_basis(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[l
         for i, n in pattern.items():
             left[i] = max(0.0, left[i] - n * times.min())
         patterns[out], amount[out], is_open[out] = pattern, times.min(), False
-    return patterns, amount
+        order.append(out)
+    inverse = np.eye(len(lengths))
+    for out in order:  # eliminate column by column
+        pattern = patterns[out]
+        inverse[out] /= pattern[out]
+        for i, n in pattern.items():
+            if i != out:
+                inverse[i] -= n * inverse[out]
+    return patterns, amount, inverse
 
 
 def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3,
@@ -118,11 +129,7 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3,
     if not m:
         return []
 
-    def column(pattern: Counter) -> np.ndarray:
-        return np.bincount(list(pattern), weights=list(pattern.values()), minlength=m)
-
-    patterns, amount = first_basis(lengths, need, capacity)
-    inverse = np.linalg.inv(np.column_stack([column(p) for p in patterns]))
+    patterns, amount, inverse = first_basis(lengths, need, capacity)
     bound = float((lengths * need).sum()) / capacity
     for _ in range(max_columns):
         if amount.sum() <= bound * (1 + gap):
@@ -130,7 +137,7 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3,
         value, pattern = best_pattern(lengths, inverse.sum(axis=0), capacity)
         if value <= 1 + 1e-7:
             break
-        step = inverse @ column(pattern)
+        step = (inverse[:, list(pattern)] * np.array(list(pattern.values()))).sum(axis=1)
         rows = np.flatnonzero(step > 1e-9)
         out = rows[np.argmin(amount[rows] / step[rows])]
         entering = max(0.0, amount[out] / step[out])
