@@ -3,9 +3,11 @@
 Both public tokenizers split a text at white space before their merges run, so the
 ids of a text are the ids of its words in order. A task cuts its texts into words,
 has the ``tokenizers`` library encode each distinct word once, and looks the rest
-up. Texts with white space outside ASCII go to the library whole. The result equals
-``Tokenizer.encode(text, add_special_tokens=False)``; strings of special tokens in
-a text are ordinary text (``encode_special_tokens``).
+up. Words of ASCII and Latin-1 letters are cut further, where the tokenizer's own
+pattern cuts, and each distinct part goes straight to the library's merge model;
+other words go through its whole chain, and texts with white space outside ASCII go
+to it whole. The result equals ``Tokenizer.encode(text, add_special_tokens=False)``;
+strings of special tokens in a text are ordinary text (``encode_special_tokens``).
 """
 
 from __future__ import annotations
@@ -14,14 +16,31 @@ import re
 
 import numpy as np
 
-WORD_CACHE = 600_000  # distinct words a task remembers
-TEXT_CHUNK = 4 << 20  # bytes of text encoded at a time
+WORD_CACHE = 300_000  # distinct words a task remembers
+TEXT_CHUNK = 1 << 20  # bytes of text encoded at a time
 
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]"
                         rb"|\xe2\x81\x9f|\xe3\x80\x80")
 _NOT_SINGLE = re.compile(rb"[ \t\n\r\x0b\x0c]{2}|[\t\r\x0b\x0c\x00]|\A[ \n]|[ \n]\Z")
 _SPACED = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 
+# Words of this alphabet need no normalisation beyond str.lower(), and the patterns
+# below cut them where the tokenizers' patterns do (letters, digits, the rest).
+_PLAIN_WORD = re.compile(r"[\n ]?[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_PARTS_SPACED = re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\n")
+_PARTS_WORDS = re.compile(rf"{_SHORT}|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the other
+    bytes, in order, for the characters from U+0100 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 # Keys of the word table: a bare word stands for " word" (byte-level) or "word";
 # these first bytes, which no UTF-8 text starts with, mark the exceptions.
 _AS_IS, _END = b"\xff", b"\xfe"
@@ -37,6 +56,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.spaces_matter, self.end_id, self.cache = spaces_matter, end_id, cache
         self._reset()
 
@@ -44,6 +65,7 @@ class WordEncoder:
         self.known: dict[bytes, int] = {_END: 0}
         self.lengths = np.array([1], np.int64)
         self.ids = np.array([self.end_id or 0], np.uint32)
+        self.parts: dict[str, list[int]] = {}
 
     def _words(self, body: bytes) -> list[bytes]:
         if _ODD_SPACE.search(body):
@@ -61,15 +83,34 @@ class WordEncoder:
             return key[1:].decode()
         return key.decode() if not self.spaces_matter or key[:1] == b"\n" else " " + key.decode()
 
+    def _part_ids(self, part: str) -> list[int]:
+        found = self.parts.get(part)
+        if found is None:
+            mapped = part.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[part] = [t.id for t in self.model.tokenize(mapped)]
+        return found
+
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([self._plain(w) for w in part],
-                                                                     add_special_tokens=False)]
-            first = len(self.lengths)
-            self.known.update(zip(part, range(first, first + len(part))))
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32)])
+        cut = (_PARTS_SPACED if self.spaces_matter else _PARTS_WORDS).findall
+        plain = [self._plain(w) for w in words]
+        found: list = [None] * len(words)
+        odd = []
+        for i, word in enumerate(plain):
+            if _PLAIN_WORD.fullmatch(word):
+                parts = cut(word if self.spaces_matter else word.lower())
+                found[i] = (self._part_ids(parts[0]) if len(parts) == 1
+                            else [t for p in parts for t in self._part_ids(p)])
+            else:
+                odd.append(i)
+        for at in range(0, len(odd), 10_000):
+            part = odd[at:at + 10_000]
+            encoded = self.tokenizer.encode_batch_fast([plain[i] for i in part], add_special_tokens=False)
+            for i, e in zip(part, encoded):
+                found[i] = e.ids
+        first = len(self.lengths)
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32)])
 
     def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
