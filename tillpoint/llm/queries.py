@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import cutting_stock, exact_dedup, sharding, warc_store
+from tillpoint.llm import cutting_stock, exact_dedup, ordinal_quality, sharding, toxicity, warc_store
 from tillpoint.llm.common import shared_folder, table
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
@@ -22,11 +22,28 @@ def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.digests()
 
 
+def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS)
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def ratings(labels: DataFrame) -> DataFrame:
+    """Three grades from the labels: 0 junk, 1 prose that is toxic, 2 clean prose."""
+    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1)
+                         .when(F.col("quality") == 1, 2).alias("grade"))
+
+
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = ordinal_quality.fit(documents, ratings(table(spark, sf_dir, "labels")), grades=3)
+    return ordinal_quality.score(documents, model)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -40,7 +57,9 @@ def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cutting_stock_packing": op3_cutting_stock_packing,
+    "op4_weak_toxicity": op4_weak_toxicity,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
+    "op6_ordinal_quality": op6_ordinal_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_warc_store": op9_warc_store,
 }

@@ -13,24 +13,29 @@ strings of special tokens in a text are ordinary text (``encode_special_tokens``
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 WORD_CACHE = 300_000  # distinct words a task remembers
 TEXT_CHUNK = 1 << 20  # bytes of text encoded at a time
 
-_ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]"
-                        rb"|\xe2\x81\x9f|\xe3\x80\x80")
-_NOT_SINGLE = re.compile(rb"[ \t\n\r\x0b\x0c]{2}|[\t\r\x0b\x0c\x00]|\A[ \n]|[ \n]\Z")
+_CONTROL_SPACES = b"\x00" + bytes(range(0x1C, 0x20))
+_ODD_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_GENERAL_SPACE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+_OTHER_SPACES = b"\t\r\x0b\x0c"
+_SPACE_PAIRS = (b"  ", b"\n\n", b" \n", b"\n ")
 _SPACED = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 
+_CUT = "\x00"  # between words that are cut together
+
 # Words of this alphabet need no normalisation beyond str.lower(), and the patterns
 # below cut them where the tokenizers' patterns do (letters, digits, the rest).
 _PLAIN_WORD = re.compile(r"[\n ]?[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-_PARTS_SPACED = re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\n")
-_PARTS_WORDS = re.compile(rf"{_SHORT}|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
+_PARTS_SPACED = re.compile(rf"{_CUT}|{_SHORT}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_CUT}0-9{_LETTER}]+|\n")
+_PARTS_WORDS = re.compile(rf"{_CUT}|{_SHORT}|[{_LETTER}]+|[0-9]|[^\s{_CUT}0-9{_LETTER}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,6 +51,15 @@ def byte_letters() -> dict[int, str]:
 _AS_IS, _END = b"\xff", b"\xfe"
 
 
+def _has(body: bytes, chars: bytes) -> bool:
+    return len(body.translate(None, chars)) < len(body)
+
+
+def _odd_space(body: bytes) -> bool:
+    found = [p for p in _ODD_SPACES if p in body]
+    return bool(found) and (found != [b"\xe2\x80"] or bool(_GENERAL_SPACE.search(body)))
+
+
 class WordEncoder:
     """Ids of texts for a tokenizer given as its JSON text. ``spaces_matter``: white
     space is part of the tokens (byte-level BPE). ``end_id`` is appended to each text."""
@@ -65,14 +79,17 @@ class WordEncoder:
         self.known: dict[bytes, int] = {_END: 0}
         self.lengths = np.array([1], np.int64)
         self.ids = np.array([self.end_id or 0], np.uint32)
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, int] = {_CUT: 0}
+        self.part_lengths = np.array([0], np.int64)
+        self.part_ids = np.zeros(0, np.uint32)
 
     def _words(self, body: bytes) -> list[bytes]:
-        if _ODD_SPACE.search(body):
+        if _has(body, _CONTROL_SPACES) or not body.isascii() and _odd_space(body):
             return [_AS_IS + body]
         if not self.spaces_matter:
             return body.split()
-        if _NOT_SINGLE.search(body):
+        if (_has(body, _OTHER_SPACES) or any(p in body for p in _SPACE_PAIRS)
+                or body[:1] in (b" ", b"\n") or body[-1:] in (b" ", b"\n")):
             return [_AS_IS + w for w in _SPACED.findall(body)]
         words = body.replace(b"\n", b" \n").split(b" ")
         words[0] = _AS_IS + words[0]
@@ -83,34 +100,43 @@ class WordEncoder:
             return key[1:].decode()
         return key.decode() if not self.spaces_matter or key[:1] == b"\n" else " " + key.decode()
 
-    def _part_ids(self, part: str) -> list[int]:
-        found = self.parts.get(part)
-        if found is None:
-            mapped = part.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[part] = [t.id for t in self.model.tokenize(mapped)]
-        return found
+    def _part_places(self, flat: list[str]) -> np.ndarray:
+        """Place of each part in the part table; new parts go through the merge model."""
+        new = list(set(flat).difference(self.parts))
+        if new:
+            mapped = _CUT.join(new).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+            tokenize = self.model.tokenize
+            found = [[t.id for t in tokenize(m)] for m in mapped]
+            first = len(self.part_lengths)
+            self.parts.update(zip(new, range(first, first + len(new))))
+            self.part_lengths = np.concatenate([self.part_lengths, np.fromiter(map(len, found), np.int64, len(found))])
+            self.part_ids = np.concatenate([self.part_ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        return np.fromiter(map(self.parts.__getitem__, flat), np.int64, len(flat))
 
     def _learn(self, words: list[bytes]) -> None:
-        cut = (_PARTS_SPACED if self.spaces_matter else _PARTS_WORDS).findall
-        plain = [self._plain(w) for w in words]
-        found: list = [None] * len(words)
-        odd = []
-        for i, word in enumerate(plain):
-            if _PLAIN_WORD.fullmatch(word):
-                parts = cut(word if self.spaces_matter else word.lower())
-                found[i] = (self._part_ids(parts[0]) if len(parts) == 1
-                            else [t for p in parts for t in self._part_ids(p)])
-            else:
-                odd.append(i)
-        for at in range(0, len(odd), 10_000):
-            part = odd[at:at + 10_000]
-            encoded = self.tokenizer.encode_batch_fast([plain[i] for i in part], add_special_tokens=False)
-            for i, e in zip(part, encoded):
-                found[i] = e.ids
+        plain = [(w, self._plain(w)) for w in words]
+        simple = [(w, t) for w, t in plain if w[:1] != _AS_IS and t.isascii() or _PLAIN_WORD.fullmatch(t)]
+        if simple:
+            joined = _CUT.join([t for _, t in simple])
+            cut = (_PARTS_SPACED if self.spaces_matter else _PARTS_WORDS).findall
+            flat = cut(joined if self.spaces_matter else joined.lower())
+            at = self._part_places(flat)
+            lengths = self.part_lengths[at]
+            border = np.flatnonzero(at == 0)  # the cut mark is part 0, without ids
+            ends = np.append(np.cumsum(lengths)[border], lengths.sum())
+            self._add([w for w, _ in simple], np.diff(ends, prepend=0), ragged(self.part_ids, self.part_lengths, at))
+        odd = [(w, t) for w, t in plain if not (w[:1] != _AS_IS and t.isascii() or _PLAIN_WORD.fullmatch(t))]
+        for first in range(0, len(odd), 10_000):
+            part = odd[first:first + 10_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)]
+            self._add([w for w, _ in part], np.fromiter(map(len, found), np.int64, len(found)),
+                      np.fromiter(chain.from_iterable(found), np.uint32))
+
+    def _add(self, words: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
         first = len(self.lengths)
         self.known.update(zip(words, range(first, first + len(words))))
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32)])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
@@ -128,11 +154,15 @@ class WordEncoder:
         if new:
             self._learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        starts = np.cumsum(self.lengths) - self.lengths
-        lengths = self.lengths[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.ids[np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return flat, np.diff(ends[bounds])
+        ends = np.concatenate([[0], np.cumsum(self.lengths[at])])
+        return ragged(self.ids, self.lengths, at), np.diff(ends[bounds])
+
+
+def ragged(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs numbered ``at`` one after the other; run k is ``lengths[k]`` values long."""
+    starts, taken = np.cumsum(lengths) - lengths, lengths[at]
+    before = np.cumsum(taken) - taken
+    return values[np.repeat(starts[at] - before, taken) + np.arange(taken.sum())]
 
 
 def chunks(bodies: list[bytes], limit: int = TEXT_CHUNK):
