@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import cutting_stock, exact_dedup, ordinal_quality, sharding, toxicity, warc_store
+from tillpoint.llm import (cutting_stock, exact_dedup, hyperminhash, ordinal_quality, sharding, toxicity,
+                           warc_store)
 from tillpoint.llm.common import shared_folder, table
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
@@ -48,6 +49,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_groups(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
+
+
 def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc_store.write_archive(table(spark, sf_dir, "pages"), path)
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
     "op6_ordinal_quality": op6_ordinal_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_hyperminhash": op8_hyperminhash,
     "op9_warc_store": op9_warc_store,
 }
 
