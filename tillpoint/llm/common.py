@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +65,20 @@ def rank_in_class(df: DataFrame, classes: list[str], key: list[str], out: str,
             .drop("_lane", "_rn", "_off"))
 
 
+def filter_texts(df: DataFrame, text_col: str, keep: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """Rows of ``df`` whose text is kept, with all columns, without a shuffle. ``keep()`` is
+    called once a task and gives a function from texts (null: empty) to a mask."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask_of = keep()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(mask_of(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def drop_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``keep`` (a null id matches a null id)."""
     ids = keep.select(F.col("doc_id").alias("_keep_id"))

@@ -31,15 +31,26 @@ class Sample:
 
 
 def focus(sample: Sample, target: np.ndarray, weight: np.ndarray, buckets: int,
-          min_rows: int = 3) -> np.ndarray:
+          min_rows: int = 3, min_gain: float = 6.0) -> np.ndarray:
     """How far a feature's presence shifts the odds of a 0..1 ``target``: |log ratio| of
-    smoothed rates, 0 for features of fewer than ``min_rows`` rows."""
+    smoothed rates; 0 for features of fewer than ``min_rows`` rows or whose G-test gain
+    (half the G statistic, on row counts) is below ``min_gain``."""
     rows = sample.rows
-    hit1 = np.bincount(sample.ids, weights=(weight * target)[rows], minlength=buckets)
-    hit0 = np.bincount(sample.ids, weights=(weight * (1 - target))[rows], minlength=buckets)
-    n1, n0 = max(1e-9, (weight * target).sum()), max(1e-9, (weight * (1 - target)).sum())
+    hits = np.bincount(sample.ids, minlength=buckets).astype(float)
+
+    def rates(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        hit1 = np.bincount(sample.ids, weights=(w * target)[rows], minlength=buckets)
+        hit0 = np.bincount(sample.ids, weights=(w * (1 - target))[rows], minlength=buckets)
+        n1, n0 = max(1e-9, (w * target).sum()), max(1e-9, (w * (1 - target)).sum())
+        return hit1, hit0, (hit1 + 1e-9) / n1, (hit0 + 1e-9) / n0
+
+    hit1, hit0, rate1, rate0 = rates(np.ones(len(target)))
+    mean = (hits + 2e-9) / max(1, len(target))
+    gain = hit1 * np.log(rate1 / mean) + hit0 * np.log(rate0 / mean)
+    hit1, hit0, _, _ = rates(weight)
+    n1, n0 = (weight * target).sum(), (weight * (1 - target)).sum()
     ratio = np.log((hit1 + 1) / (n1 + 2)) - np.log((hit0 + 1) / (n0 + 2))
-    return np.where(np.bincount(sample.ids, minlength=buckets) >= min_rows, np.abs(ratio), 0.0)
+    return np.where((hits >= min_rows) & (gain >= min_gain), np.abs(ratio), 0.0)
 
 
 def adam(gradient, start: np.ndarray, steps: int, rate: float = 0.1) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import id_text
+from tillpoint.llm.common import filter_texts, id_text
 from tillpoint.llm.features import BUCKETS, Hasher, shapes, terms
 from tillpoint.llm.linear import Sample, fit_ordinal, focus, sigmoid
 
@@ -96,28 +96,56 @@ def fit(df: DataFrame, ratings: DataFrame, grades: int, max_per_grade: int = 150
     return fit_rows(*rated_sample(df, ratings, grades, max_per_grade, id_col, text_col))
 
 
+def _grader(model: OrdinalModel, select_grade: int):
+    """Per task: a function from texts to (expected grades, tail probabilities)."""
+    thresholds, used = model.thresholds, np.flatnonzero(model.weights)
+    used_weights = model.weights[used]
+
+    def start():
+        weights = np.zeros(BUCKETS, np.float32)
+        weights[used] = used_weights
+        hasher = Hasher()
+
+        def grade(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            if not len(thresholds):
+                return np.zeros(len(texts)), np.ones(len(texts))
+            z = np.zeros(len(texts))
+            for i, t in enumerate(texts):
+                ids, values = features(t, hasher)
+                z[i] = weights[ids] @ values
+            above = 1 - sigmoid(thresholds[None, :] - z[:, None])
+            return above.sum(axis=1), above[:, select_grade - 1]
+
+        return grade
+
+    return start
+
+
 def score(df: DataFrame, model: OrdinalModel, select_grade: int = 1, min_tail: float = 0.5,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, expected_grade, tail_probability (of ``select_grade`` or better), kept (tail
     probability at least ``min_tail``) of every row; the text is read once, no shuffle."""
-    weights, thresholds = model.weights, model.thresholds
+    start = _grader(model, select_grade)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        grade = start()
         for batch in batches:
-            z = []
-            for t in batch.column("text").to_pylist():
-                ids, values = features(t, hasher)
-                z.append(float(weights[ids] @ values))
-            z = np.array(z, float)
-            if len(thresholds):
-                above = 1 - sigmoid(thresholds[None, :] - z[:, None])
-                expected, tail = above.sum(axis=1), above[:, select_grade - 1]
-            else:
-                expected, tail = np.zeros(len(z)), np.ones(len(z))
+            expected, tail = grade(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(expected), pa.array(tail)],
                                              names=["doc_id", "expected_grade", "tail_probability"])
 
     scored = id_text(df, id_col, text_col).mapInArrow(
         run, "doc_id long, expected_grade double, tail_probability double")
     return scored.withColumn("kept", F.col("tail_probability") >= min_tail)
+
+
+def select(df: DataFrame, model: OrdinalModel, select_grade: int = 1, min_tail: float = 0.5,
+           text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` whose tail probability suffices, with all columns."""
+    start = _grader(model, select_grade)
+
+    def keep():
+        grade = start()
+        return lambda texts: grade(texts)[1] >= min_tail
+
+    return filter_texts(df, text_col, keep)

@@ -5,14 +5,15 @@
    word beginnings), pattern voters (shouting, exclamation runs, repeated terms) and
    clean voters (no lexicon term at all). A voter says toxic, clean, or abstains.
 2. *Label model.* A generative model of the votes, fitted by EM: each voter's rate
-   under either class, for a given class balance, started from the labelled rows.
-   The votes' correlation inside the classes is estimated too, and a voter's
-   evidence is divided by how much of it other voters repeat.
+   under either class, for a given class balance; a training row's rating is one
+   more voter of fixed accuracy. The votes' correlation inside the classes is
+   estimated too, and a voter's evidence is divided by how much of it other voters
+   repeat.
 3. *Classifier.* A logistic model over hashed words and word beginnings learns the
    label model's posteriors and scores every document.
 
 Labels are read only of rows whose crc32(doc_id as text) mod 4 is not 2, to mine
-lexicon terms, set the class balance and start the EM; at most
+lexicon terms, set the class balance and vote in the label model; at most
 ``max_per_class`` rows of each label are used (a bounded sample, the first by a hash
 of the id). Language, source and id are never inputs of a score.
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import id_text
+from tillpoint.llm.common import filter_texts, id_text
 from tillpoint.llm.features import BUCKETS, Hasher, bucket, shapes, terms
 from tillpoint.llm.linear import Sample, fit_logistic, focus, sigmoid
 
@@ -70,18 +71,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, max_per_class: int, id_col: str, text_col: str,
-                    label_col: str) -> pd.DataFrame:
-    """At most ``max_per_class`` rows of each label with their features, on the driver."""
+                    label_col: str) -> tuple[pd.DataFrame, float]:
+    """At most ``max_per_class`` rows of each label with their features, on the driver,
+    and the share of toxic rows among all that could be drawn."""
     known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
              .filter(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != HELD_OUT))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     known = known.join(id_text(df, id_col, text_col).select("doc_id").distinct(), "doc_id", "left_semi")
+    share = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.col("doc_id")]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(max_per_class).unionByName(
         known.filter("toxic = 0").orderBy(*order).limit(max_per_class))
     # At most 2 x max_per_class rows: the bound of the broadcast.
     rows = id_text(df, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    return rows.mapInArrow(_extract, "toxic int, terms array<int>, patterns array<double>").toPandas()
+    return rows.mapInArrow(_extract, "toxic int, terms array<int>, patterns array<double>").toPandas(), share
 
 
 def mine_terms(sample: Sample, toxic: np.ndarray, count: int = MINED) -> np.ndarray:
@@ -142,14 +145,19 @@ def joint_evidence(voted: np.ndarray, evidence: np.ndarray, repeats: np.ndarray)
     return total
 
 
-def fit_label_model(votes: np.ndarray, balance: float, first: np.ndarray, rounds: int = 15) -> LabelModel:
-    """EM over the votes for a given class balance, from the posteriors ``first``. Rates
+def fit_label_model(votes: np.ndarray, balance: float, rated: np.ndarray, rater: float = 0.97,
+                    rounds: int = 15) -> tuple[LabelModel, np.ndarray]:
+    """EM over the votes for a given class balance; returns the model and the rows'
+    posteriors. The rating of a training row (``rated``, 0 or 1) is one more voter, of
+    fixed accuracy ``rater``: votes alone cannot tell how precise a lone voter is. Rates
     are smoothed, and a voter stays on the side it was built for (its vote is evidence
     for its own class, or none)."""
     voted = (votes >= 0).astype(float)
     side = np.where((votes == 1).any(axis=0), 1, 0)
     toward = np.where(side == 1, 1.0, -1.0)
-    balance, q = float(np.clip(balance, 0.01, 0.99)), first
+    balance = float(np.clip(balance, 0.01, 0.99))
+    prior = np.log(balance / (1 - balance)) + (2 * rated - 1) * np.log(rater / (1 - rater))
+    q = sigmoid(prior)
     rates = evidence = repeats = accuracy = correlation = None
     for _ in range(rounds):
         n1, n0 = q.sum(), (1 - q).sum()
@@ -164,8 +172,8 @@ def fit_label_model(votes: np.ndarray, balance: float, first: np.ndarray, rounds
         evidence = np.where(toward * evidence > 0, evidence, 0.0)
         agree = np.where(side == 1, rates[:, 1] * balance, rates[:, 0] * (1 - balance))
         accuracy = agree / (rates[:, 1] * balance + rates[:, 0] * (1 - balance))
-        q = sigmoid(np.log(balance / (1 - balance)) + joint_evidence(voted, evidence, repeats))
-    return LabelModel(balance, rates, evidence, repeats, accuracy, correlation)
+        q = sigmoid(prior + joint_evidence(voted, evidence, repeats))
+    return LabelModel(balance, rates, evidence, repeats, accuracy, correlation), q
 
 
 @dataclass
@@ -178,10 +186,10 @@ class ToxicityModel:
 def fit(df: DataFrame, labels: DataFrame, max_per_class: int = 2000, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Voters, label model and classifier from at most ``2 x max_per_class`` labelled rows."""
-    return fit_rows(labelled_sample(df, labels, max_per_class, id_col, text_col, label_col))
+    return fit_rows(*labelled_sample(df, labels, max_per_class, id_col, text_col, label_col))
 
 
-def fit_rows(rows: pd.DataFrame) -> ToxicityModel:
+def fit_rows(rows: pd.DataFrame, share: float) -> ToxicityModel:
     toxic = rows["toxic"].to_numpy(float) if len(rows) else np.zeros(0)
     if toxic.sum() == 0:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), -40.0, None)
@@ -189,26 +197,51 @@ def fit_rows(rows: pd.DataFrame) -> ToxicityModel:
     patterns = np.stack([np.asarray(p, float) for p in rows["patterns"]])
     lexicon = np.unique(np.concatenate([mine_terms(sample, toxic), [bucket(t) for t in SEED_TERMS]]).astype(np.int64))
     votes = votes_of(sample, patterns, lexicon)
-    model = fit_label_model(votes, toxic.mean(), 0.02 + 0.96 * toxic)
-    posterior = model.posterior(votes)
-    even = np.ones(len(posterior))
-    weights, intercept = fit_logistic(sample, posterior, even, focus(sample, posterior, even, BUCKETS))
+    model, posterior = fit_label_model(votes, share, toxic)
+    weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / max(1e-9, 1 - toxic.mean()))
+    weights, intercept = fit_logistic(sample, posterior, weight, focus(sample, posterior, weight, BUCKETS))
     return ToxicityModel(weights.astype(np.float32), intercept, model)
 
 
+def _scores(model: ToxicityModel):
+    """Per task: a function from texts to scores."""
+    weights, intercept = model.weights, model.intercept
+    used = np.flatnonzero(weights)
+    used_weights = weights[used]
+
+    def start():
+        dense = np.zeros(BUCKETS, np.float32)
+        dense[used] = used_weights
+        hasher = Hasher()
+        return lambda texts: sigmoid(np.array(
+            [float(dense[np.unique(hasher(terms(t)))].sum(dtype=np.float64)) + intercept for t in texts], float))
+
+    del weights
+    return start
+
+
 def score(df: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; the text is read once, no shuffle."""
-    weights, intercept = model.weights, model.intercept
+    start = _scores(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        scores = start()
         for batch in batches:
-            z = [float(weights[np.unique(hasher(terms(t)))].sum(dtype=np.float64)) + intercept
-                 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(np.array(z, float)))],
-                                             names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(scores(batch.column("text").to_pylist()))], names=["doc_id", "score"])
 
     scored = id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(df: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` that score below the threshold, with all columns."""
+    start = _scores(model)
+
+    def keep():
+        scores = start()
+        return lambda texts: scores(texts) < threshold
+
+    return filter_texts(df, text_col, keep)
