@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import (cutting_stock, exact_dedup, hyperminhash, ordinal_quality, sharding, toxicity,
+from tillpoint.llm import (cutting_stock, exact_dedup, hyperminhash, imatch, ordinal_quality, sharding, toxicity,
                            warc_store)
 from tillpoint.llm.common import shared_folder, table
 
@@ -18,6 +18,10 @@ TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
 N_SHARDS = 16
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = cutting_stock.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
     return packed.digests()
@@ -61,6 +65,7 @@ def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_imatch": op1_imatch,
     "op3_cutting_stock_packing": op3_cutting_stock_packing,
     "op4_weak_toxicity": op4_weak_toxicity,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
