@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import id_text, rank_in_class, staged, text_bytes
-from tillpoint.llm.tokens import WordEncoder, chunks, tokenizer_text
+from tillpoint.llm.tokens import chunks, tokenizer_text, worker_encoder
 
 PIECE_DDL = "piece_id long, doc_id long, doc_tokens long, start long, length int, ids binary"
 
@@ -39,7 +39,7 @@ PIECE_DDL = "piece_id long, doc_id long, doc_tokens long, start long, length int
 def cut_documents(tokenizer: str, spaces_matter: bool, end_id: int, capacity: int):
     """mapInArrow function: (doc_id, body) -> pieces of at most ``capacity`` ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, spaces_matter, end_id)
+        encoder = worker_encoder(tokenizer, spaces_matter, end_id)
         next_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             doc_ids, bodies = batch.column(0), batch.column(1).to_pylist()

@@ -13,11 +13,13 @@ strings of special tokens in a text are ordinary text (``encode_special_tokens``
 from __future__ import annotations
 
 import re
+import sys
+import types
 from itertools import chain
 
 import numpy as np
 
-WORD_CACHE = 300_000  # distinct words a task remembers
+WORD_CACHE = 400_000  # distinct words a Python worker remembers
 TEXT_CHUNK = 1 << 20  # bytes of text encoded at a time
 
 _CONTROL_SPACES = b"\x00" + bytes(range(0x1C, 0x20))
@@ -75,10 +77,20 @@ class WordEncoder:
         self.spaces_matter, self.end_id, self.cache = spaces_matter, end_id, cache
         self._reset()
 
+    def _forget(self) -> None:
+        """Keep the words that were met again, half the cache at most; drop the rest."""
+        order = np.argsort(-self.uses, kind="stable")[:self.cache // 2]
+        kept = np.union1d(order[self.uses[order] >= 2], [0])
+        words, lengths, ids = list(self.known), self.lengths[kept], ragged(self.ids, self.lengths, kept)
+        self._reset()
+        self.known = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.lengths, self.ids, self.uses = lengths, ids, np.ones(len(kept), np.int64)
+
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {_END: 0}
         self.lengths = np.array([1], np.int64)
         self.ids = np.array([self.end_id or 0], np.uint32)
+        self.uses = np.array([2], np.int64)
         self.parts: dict[str, int] = {_CUT: 0}
         self.part_lengths = np.array([0], np.int64)
         self.part_ids = np.zeros(0, np.uint32)
@@ -137,6 +149,7 @@ class WordEncoder:
         self.known.update(zip(words, range(first, first + len(words))))
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
@@ -149,11 +162,12 @@ class WordEncoder:
             bounds[i + 1] = len(words)
         new = set(words).difference(self.known)
         if len(self.known) + len(new) > self.cache:
-            self._reset()
+            self._forget()
             new = set(words).difference(self.known)
         if new:
             self._learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         ends = np.concatenate([[0], np.cumsum(self.lengths[at])])
         return ragged(self.ids, self.lengths, at), np.diff(ends[bounds])
 
@@ -165,6 +179,16 @@ def ragged(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarra
     return values[np.repeat(starts[at] - before, taken) + np.arange(taken.sum())]
 
 
+def worker_encoder(tokenizer_json: str, spaces_matter: bool, end_id: int | None) -> WordEncoder:
+    """The encoder of this Python worker: tasks that run in it one after the other share
+    the words it has learnt."""
+    held = sys.modules.setdefault("_tillpoint_encoders", types.ModuleType("_tillpoint_encoders")).__dict__
+    key = f"{hash(tokenizer_json)}/{spaces_matter}/{end_id}"
+    if key not in held:
+        held[key] = WordEncoder(tokenizer_json, spaces_matter, end_id)
+    return held[key]
+
+
 def chunks(bodies: list[bytes], limit: int = TEXT_CHUNK):
     """(first, last) row ranges of about ``limit`` bytes."""
     first, held = 0, 0
