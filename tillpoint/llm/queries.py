@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.llm import (cutting_stock, exact_dedup, hyperminhash, imatch, ordinal_quality, sharding, toxicity,
-                           warc_store)
+                           unigram, warc_store)
 from tillpoint.llm.common import shared_folder, table
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
@@ -64,6 +64,14 @@ def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = unigram.load_model(f"{TOKENIZERS}/piece_bpe_32k.model", zipf=True)
+    decoded = unigram.decode(unigram.encode(table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_pieces"),
+                          F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                          (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op3_cutting_stock_packing": op3_cutting_stock_packing,
@@ -73,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_hyperminhash": op8_hyperminhash,
     "op9_warc_store": op9_warc_store,
+    "op10_unigram": op10_unigram,
 }
 
 SQL: dict[str, str] = {

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -62,19 +63,13 @@ def _odd_space(body: bytes) -> bool:
     return bool(found) and (found != [b"\xe2\x80"] or bool(_GENERAL_SPACE.search(body)))
 
 
-class WordEncoder:
-    """Ids of texts for a tokenizer given as its JSON text. ``spaces_matter``: white
-    space is part of the tokens (byte-level BPE). ``end_id`` is appended to each text."""
-
-    def __init__(self, tokenizer_json: str, spaces_matter: bool, end_id: int | None = None,
-                 cache: int = WORD_CACHE):
-        from tokenizers import Tokenizer
+class WordTable:
+    """Ids of texts, looked up word by word in a table of the words met so far. A subclass
+    cuts texts (``_words``) and adds new words to the table (``_learn``). ``end_id`` is
+    appended to each text."""
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.spaces_matter, self.end_id, self.cache = spaces_matter, end_id, cache
+    def __init__(self, end_id: int | None, cache: int = WORD_CACHE):
+        self.end_id, self.cache = end_id, cache
         self._reset()
 
     def _forget(self) -> None:
@@ -91,6 +86,52 @@ class WordEncoder:
         self.lengths = np.array([1], np.int64)
         self.ids = np.array([self.end_id or 0], np.uint32)
         self.uses = np.array([2], np.int64)
+
+    def _add(self, words: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.lengths)
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+
+    def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other as uint32, number of ids of each text)."""
+        words: list[bytes] = []
+        bounds = np.zeros(len(bodies) + 1, np.int64)
+        for i, body in enumerate(bodies):
+            words += self._words(body)
+            if self.end_id is not None:
+                words.append(_END)
+            bounds[i + 1] = len(words)
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > self.cache:
+            self._forget()
+            new = set(words).difference(self.known)
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        ends = np.concatenate([[0], np.cumsum(self.lengths[at])])
+        return ragged(self.ids, self.lengths, at), np.diff(ends[bounds])
+
+
+class WordEncoder(WordTable):
+    """Ids of texts for a tokenizer given as its JSON text. ``spaces_matter``: white
+    space is part of the tokens (byte-level BPE)."""
+
+    def __init__(self, tokenizer_json: str, spaces_matter: bool, end_id: int | None = None,
+                 cache: int = WORD_CACHE):
+        from tokenizers import Tokenizer
+
+        super().__init__(end_id, cache)
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.spaces_matter = spaces_matter
+
+    def _reset(self) -> None:
+        super()._reset()
         self.parts: dict[str, int] = {_CUT: 0}
         self.part_lengths = np.array([0], np.int64)
         self.part_ids = np.zeros(0, np.uint32)
@@ -144,33 +185,6 @@ class WordEncoder:
             self._add([w for w, _ in part], np.fromiter(map(len, found), np.int64, len(found)),
                       np.fromiter(chain.from_iterable(found), np.uint32))
 
-    def _add(self, words: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
-        first = len(self.lengths)
-        self.known.update(zip(words, range(first, first + len(words))))
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, ids])
-        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
-
-    def encode(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other as uint32, number of ids of each text)."""
-        words: list[bytes] = []
-        bounds = np.zeros(len(bodies) + 1, np.int64)
-        for i, body in enumerate(bodies):
-            words += self._words(body)
-            if self.end_id is not None:
-                words.append(_END)
-            bounds[i + 1] = len(words)
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > self.cache:
-            self._forget()
-            new = set(words).difference(self.known)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        self.uses += np.bincount(at, minlength=len(self.uses))
-        ends = np.concatenate([[0], np.cumsum(self.lengths[at])])
-        return ragged(self.ids, self.lengths, at), np.diff(ends[bounds])
-
 
 def ragged(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The runs numbered ``at`` one after the other; run k is ``lengths[k]`` values long."""
@@ -179,16 +193,20 @@ def ragged(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarra
     return values[np.repeat(starts[at] - before, taken) + np.arange(taken.sum())]
 
 
-def worker_encoder(tokenizer_json: str, spaces_matter: bool, end_id: int | None) -> WordEncoder:
-    """The encoder of this Python worker: tasks that run in it one after the other share
-    the words it has learnt."""
+def worker_held(key: str, make: Callable[[], WordTable]) -> WordTable:
+    """The encoder ``key`` of this Python worker, made once: tasks that run in the worker
+    one after the other share the words it has learnt."""
     held = sys.modules.setdefault("_tillpoint_encoders", types.ModuleType("_tillpoint_encoders")).__dict__
-    key = f"{hash(tokenizer_json)}/{spaces_matter}/{end_id}"
     if key not in held:
-        held[key] = WordEncoder(tokenizer_json, spaces_matter, end_id)
+        held[key] = make()
     return held[key]
 
 
+def worker_encoder(tokenizer_json: str, spaces_matter: bool, end_id: int | None) -> WordTable:
+    return worker_held(f"{hash(tokenizer_json)} {spaces_matter} {end_id}",
+                       lambda: WordEncoder(tokenizer_json, spaces_matter, end_id))
+
+
 def chunks(bodies: list[bytes], limit: int = TEXT_CHUNK):
     """(first, last) row ranges of about ``limit`` bytes."""
     first, held = 0, 0
