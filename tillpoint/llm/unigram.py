@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillpoint.llm.common import id_text
 from tillpoint.llm.tokens import WordTable, chunks, ragged, worker_held
@@ -266,7 +266,7 @@ def decode_ids(ids: np.ndarray, counts: np.ndarray, model: UnigramModel) -> list
 def decode(df: DataFrame, model: UnigramModel, ids_col: str = "ids") -> DataFrame:
     """``df`` with the column ``decoded``: the text of each row's ids."""
     at = df.columns.index(ids_col)
-    schema = df.schema.add("decoded", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
