@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import (cutting_stock, exact_dedup, hyperminhash, imatch, ordinal_quality, sharding, toxicity,
-                           unigram, warc_store)
+from tillpoint.llm import (context_coder, cutting_stock, exact_dedup, hyperminhash, imatch,
+                           ordinal_quality, sharding, toxicity, unigram, warc_store)
 from tillpoint.llm.common import shared_folder, table
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
@@ -22,6 +22,12 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_context_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-ids")
+    context_coder.write_ids(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    return context_coder.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = cutting_stock.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
     return packed.digests()
@@ -74,6 +80,7 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
+    "op2_context_coder": op2_context_coder,
     "op3_cutting_stock_packing": op3_cutting_stock_packing,
     "op4_weak_toxicity": op4_weak_toxicity,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
