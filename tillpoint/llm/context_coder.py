@@ -240,7 +240,7 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray, bits: int) -> list[np.n
     return out
 
 
-_HEAD = struct.Struct("<4sHHIII")  # magic, version, bits, block length, documents, blocks
+_HEAD = "<4sHHIII"  # magic, version, bits, block length, documents, blocks
 MAGIC = b"CMID"
 
 
@@ -256,7 +256,7 @@ class Segment:
     def pack(self, coded: list[bytes], bits: int) -> bytes:
         blocks = self.blocks()
         head = b"".join([
-            _HEAD.pack(MAGIC, 1, bits, BLOCK, len(self.doc_ids), len(blocks)),
+            struct.pack(_HEAD, MAGIC, 1, bits, BLOCK, len(self.doc_ids), len(blocks)),
             np.array([i is None for i in self.doc_ids], np.uint8).tobytes(),
             np.array([i or 0 for i in self.doc_ids], "<i8").tobytes(), self.counts.astype("<u8").tobytes(),
             np.array([len(c) for c in coded], "<u4").tobytes(),
@@ -266,10 +266,10 @@ class Segment:
 
 def unpack(data: bytes) -> tuple[list, np.ndarray, list[bytes], np.ndarray, np.ndarray, int]:
     """(doc ids, counts, coded blocks, block sizes, block crc32, bits) of a segment."""
-    magic, version, bits, block, docs, blocks = _HEAD.unpack_from(data)
+    magic, version, bits, block, docs, blocks = struct.unpack_from(_HEAD, data)
     if magic != MAGIC or version != 1:
         raise ValueError("not a segment")
-    at = _HEAD.size
+    at = struct.calcsize(_HEAD)
     fields = []
     for dtype, n in (("u1", docs), ("<i8", docs), ("<u8", docs), ("<u4", blocks), ("<u4", blocks)):
         fields.append(np.frombuffer(data, dtype, n, at))
