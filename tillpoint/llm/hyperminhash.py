@@ -7,18 +7,20 @@
    short documents would leave most buckets empty.) Documents with equal sets are one
    class, named by its smallest doc_id; only classes go on.
 2. *Candidates.* ``rows`` registers make a band; classes that agree in a band share a
-   bucket. A bucket never emits all its pairs: its smallest class is paired with the
-   others. After the links are known, buckets of three or more whose members are not
-   yet all connected compare their remaining members in bounded blocks, on registers,
-   and emit only pairs whose estimate passes: so every two classes that share a bucket
-   have been compared or are connected.
+   bucket. A bucket never emits its pairs: its smallest class is paired with the
+   others. After these links are known, buckets of three or more whose members are not
+   yet all connected are compared inside, in blocks of bounded size that are dealt
+   over the tasks: two classes of different components meet in the first band they
+   share, are estimated and verified there, and only links that join components leave
+   the block. So any two classes that share a bucket were compared or are connected,
+   and what is emitted grows with the classes, not with their pairs.
 3. *Estimate.* The share of equal registers, corrected for chance collisions of the
-   compressed values, must reach the threshold less a margin of six standard errors.
+   compressed values, must reach the threshold less a margin of five standard errors.
 4. *Verification.* The full shingle sets of the surviving pairs decide.
 5. *Components* of the verified links (``components.py``).
 
-With 64 bands of 6 registers a pair at similarity 0.8 is missed by all bands with
-probability 4e-9.
+With 48 bands of 6 registers a pair at similarity 0.8 is missed by all bands with
+probability 5e-7.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a
 text with fewer words than a shingle is one shingle; a null doc_id links with nothing
@@ -39,10 +41,10 @@ from pyspark.sql import functions as F
 from tillpoint.llm.common import drop_rows, id_text, staged, text_bytes
 from tillpoint.llm.components import connected_components
 
-BANDS, ROWS = 64, 6
+BANDS, ROWS = 48, 6
 MANTISSA = 10  # bits
-MARGIN = 0.2  # the estimate may be this far below the threshold
-BLOCK = 1000  # classes of a bucket that are compared in one task call
+MARGIN = 0.125  # the estimate may be this far below the threshold
+BLOCK = 400  # classes of a chunk of a bucket; two chunks are compared at a time
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,7 +84,10 @@ def registers(shingles: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Collision-corrected Jaccard estimate of register rows. Two different minima agree
     in their compressed form with probability about 0.72 * 2^-10 * n_a n_b / (n_a + n_b)^2."""
-    equal = (a == b).mean(axis=-1)
+    return estimate_of((a == b).mean(axis=-1), n_a, n_b)
+
+
+def estimate_of(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     chance = 0.72 * 2.0 ** -MANTISSA * n_a * n_b / (n_a + n_b) ** 2
     return (equal - chance) / (1 - chance)
 
@@ -118,25 +123,34 @@ def _passing(threshold: float):
     return run
 
 
-def _block_pairs(threshold: float):
-    """One block of a bucket: pairs of different components whose estimate passes. A
-    block pairs its chunk ``lo`` with its chunk ``hi``; compared in slabs."""
+def _block_links(threshold: float, percent: int, rows: int):
+    """One block of a bucket: verified links between different components. A block pairs
+    its chunk ``lo`` with its chunk ``hi``. A pair is looked at only in the first band
+    that it shares, and not once its components are joined in this block."""
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
         regs = _matrix(block.column("registers").chunk(0), "<u2")
+        sets = [np.frombuffer(s, np.uint64) for s in block.column("set").to_pylist()]
         n, rep = block.column("n_shingles").to_numpy(), block.column("rep").to_numpy()
-        comp, chunk = block.column("comp").to_numpy(), block.column("chunk").to_numpy()
-        lo, hi = int(block.column("lo")[0].as_py()), int(block.column("hi")[0].as_py())
+        _, comp = np.unique(block.column("comp").to_numpy(), return_inverse=True)
+        chunk = block.column("chunk").to_numpy()
+        lo, hi, band = (int(block.column(c)[0].as_py()) for c in ("lo", "hi", "b"))
         left, right = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
-        us, vs = [], []
+        links = []
         for i in left:
-            j = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (lo != hi))]
-            if len(j):
-                j = j[estimate(regs[i], regs[j], n[i], n[j]) >= threshold - MARGIN]
-                us.append(np.minimum(rep[i], rep[j]))
-                vs.append(np.maximum(rep[i], rep[j]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"u": np.concatenate([empty, *us]), "v": np.concatenate([empty, *vs])})
+            others = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (lo != hi))]
+            if not len(others):
+                continue
+            equal = regs[others] == regs[i]
+            shared = equal.reshape(len(others), -1, rows).all(axis=2)
+            likely = estimate_of(equal.mean(axis=1), n[i], n[others]) >= threshold - MARGIN
+            for j in others[likely & (shared.argmax(axis=1) == band)]:
+                if comp[i] != comp[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        links.append((int(rep[i]), int(rep[j])))
+                        comp[comp == comp[j]] = comp[i]
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
     return run
 
 
@@ -161,18 +175,6 @@ def _confirmed(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (u, v): shingle sets of the classes in them are made from the
-    whole texts of their representatives."""
-    pairs = staged(pairs, "pairs")
-    wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = staged(docs.join(wanted, "doc_id", "left_semi").select("doc_id", text_bytes().alias("body"))
-                  .mapInArrow(_sets(words), "rep long, set binary"), "sets")
-    full = (pairs.join(sets.select(F.col("rep").alias("v"), F.col("set").alias("set_v")), "v")
-            .join(sets.select(F.col("rep").alias("u"), F.col("set").alias("set_u")), "u"))
-    return staged(full.mapInArrow(_confirmed(percent), "u long, v long").distinct(), "verified")
-
-
 def near_groups(df: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable
@@ -183,38 +185,46 @@ def near_groups(df: DataFrame, words: int = 5, threshold: float = 0.8, bands: in
         _sketch(words, bands * rows), "doc_id long, n_shingles long, set_id binary, registers binary"), "sketches")
     usable = sketches.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = staged(usable.groupBy("set_id", "n_shingles", "registers").agg(F.min("doc_id").alias("rep")), "classes")
-    keys = (f"explode(transform(sequence(0, {bands - 1}), "
-            f"b -> xxhash64(substring(registers, b * {2 * rows} + 1, {2 * rows}), b))) AS band")
+    keys = (f"inline(transform(sequence(0, {bands - 1}), "
+            f"b -> struct(b, xxhash64(substring(registers, b * {2 * rows} + 1, {2 * rows}), b) AS band)))")
     banded = classes.selectExpr("rep", keys)
-    shared = staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("first"))
-                    .filter("members > 1"), "buckets")
+    shared = (banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("first"))
+              .filter("members > 1"))
     in_bucket = staged(banded.join(shared, "band"), "members")
-    star = in_bucket.filter("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v")).distinct()
     sketch = classes.select("rep", "n_shingles", "registers")
 
+    # Full sets, from the whole texts, of the classes that share a bucket with another.
+    wanted = in_bucket.select(F.col("rep").alias("doc_id")).distinct()
+    sets = staged(docs.join(wanted, "doc_id", "left_semi").select("doc_id", text_bytes().alias("body"))
+                  .mapInArrow(_sets(words), "rep long, set binary"), "sets")
+
     def side(name: str) -> DataFrame:
         return sketch.select(F.col("rep").alias(name), F.col("registers").alias(f"reg_{name}"),
                              F.col("n_shingles").alias(f"n_{name}"))
 
-    passing = (star.join(side("v"), "v").join(side("u"), "u")
-               .mapInArrow(_passing(threshold), "u long, v long").distinct())
-    links = _verified(passing, docs, words, percent)
+    star = in_bucket.filter("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v")).distinct()
+    passing = staged(star.join(side("v"), "v").join(side("u"), "u")
+                     .mapInArrow(_passing(threshold), "u long, v long"), "passing")
+    full = (passing.join(sets.select(F.col("rep").alias("v"), F.col("set").alias("set_v")), "v")
+            .join(sets.select(F.col("rep").alias("u"), F.col("set").alias("set_u")), "u"))
+    links = staged(full.mapInArrow(_confirmed(percent), "u long, v long"), "verified")
     nodes = connected_components(links)
 
     # Buckets of three or more that are not yet one component: compare what is left.
     labelled = (in_bucket.filter("members > 2")
                 .join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
-                .select("band", "members", "rep", F.coalesce("component", "rep").alias("comp")))
-    # Any first/last difference shows more than one component; a map-side aggregate.
-    open_bands = (labelled.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
-                  .filter("a <> b").select("band"))
+                .select("band", "b", "members", "rep", F.coalesce("component", "rep").alias("comp")))
+    # Any difference of least and greatest shows more than one component; a map-side aggregate.
+    open_bands = (labelled.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest"))
+                  .filter("least <> greatest").select("band"))
     chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-    left_over = (labelled.join(open_bands, "band").join(sketch, "rep")
-                 .withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-                 .withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")))
-    more = left_over.groupBy("band", "lo", "hi").applyInArrow(_block_pairs(threshold), "u long, v long").distinct()
-    late = _verified(more, docs, words, percent)
+    blocks = (labelled.join(open_bands, "band")
+              .withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+              .withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
+              .join(sketch, "rep").join(sets, "rep"))
+    late = staged(blocks.groupBy("band", "lo", "hi")
+                  .applyInArrow(_block_links(threshold, percent, rows), "u long, v long").distinct(), "late")
     if not late.isEmpty():
         nodes = connected_components(links.unionByName(late))
 
