@@ -106,8 +106,8 @@ def _customers() -> dict[str, Job]:
 def _inventory() -> dict[str, Job]:
     def ledger(w):
         # from the raw test tables: weekly units and initial stock, then the ledger
-        weekly, initial = FX.inventory_inputs(FX.read_source(w.spark, w.sf_dir))
-        return LG.stock_ledger(weekly, initial, w["dim_products"], week1_date=FX.INVENTORY_WEEK1)
+        weekly = FX.inventory_inputs(FX.read_source(w.spark, w.sf_dir))
+        return LG.stock_ledger(weekly, w["dim_products"], week1_date=FX.INVENTORY_WEEK1)
 
     return {
         "inventory_health": _job(lambda w: INV.inventory_health(w["fact_inventory"], w["dim_products"],
@@ -119,7 +119,6 @@ def _inventory() -> dict[str, Job]:
         "first_markdown_event": _job(lambda w: LG.first_markdown_event(w["fact_inventory"], P.nominal_stock)),
         "stock_ledger": _job(ledger),
         "target_spine": _job(lambda w: LG.target_spine(w["dim_stores"], w["clean_transactions"],
-                                                       start=FX.TARGET_START, months=FX.TARGET_MONTHS,
                                                        rule=FX.target_rule)),
     }
 

@@ -30,8 +30,8 @@ def col(c) -> Column:
 
 
 def idiv(a, b) -> Column:
-    """Integer division truncating toward zero (SQL ``div``)."""
-    return (col(a) / col(b)).cast("long")
+    """Integer division truncating toward zero (SQL ``div``), exact in BIGINT."""
+    return F.call_function("div", col(a), col(b))
 
 
 def money_from_cents(cents, precision: int = 12) -> Column:

@@ -33,8 +33,7 @@ SELECT p_partkey AS product_id,
        CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE 'Vendor ' || CAST(p_partkey % 40 AS VARCHAR) END AS supplier_name,
        CASE WHEN p_partkey % 20 = 0 THEN NULL ELSE split_part(p_name, ' ', 1) END AS color,
        CASE p_size % 5 WHEN 0 THEN 'hero' WHEN 1 THEN 'core' WHEN 2 THEN 'core' WHEN 3 THEN 'slow' ELSE 'dead' END AS heat_score
-FROM part_pricing
-WHERE p_partkey % 400 <> 399"""),
+FROM part_pricing"""),
     ("dim_stores", """
 SELECT s_suppkey AS store_id,
        s_name AS store_name,
@@ -45,8 +44,7 @@ SELECT s_suppkey AS store_id,
        CAST(NULL AS VARCHAR) AS store_manager,
        CAST((8000000 + (s_suppkey * 7919) % 52000000) * 0.01 AS DECIMAL(12,2)) AS monthly_rent_inr,
        CASE WHEN s_suppkey % 12 = 0 THEN NULL ELSE 'store' || CAST(s_suppkey AS VARCHAR) || '@retail.test' END AS contact_email
-FROM supplier_region
-WHERE s_suppkey % 50 <> 49"""),
+FROM supplier_region"""),
     ("dim_customers", """
 SELECT c_custkey AS customer_id,
        c_name AS customer_name,
@@ -81,8 +79,8 @@ SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)
                  CAST(l_suppkey AS VARCHAR), strftime(CAST(l_shipdate AS DATE), '%Y%m%d')) AS transaction_id,
        CAST(o_orderdate AS DATE) AS transaction_date,
        CASE WHEN l_orderkey % 14 = 0 THEN NULL ELSE o_custkey END AS customer_id,
-       l_partkey AS product_id,
-       l_suppkey AS store_id,
+       CASE WHEN l_orderkey % 400 = 399 THEN -l_partkey ELSE l_partkey END AS product_id,
+       CASE WHEN l_orderkey % 60 = 59 THEN -l_suppkey ELSE l_suppkey END AS store_id,
        qty AS quantity,
        CAST(up_c * 0.01 AS DECIMAL(10,2)) AS unit_price,
        CAST(dp * 0.01 AS DECIMAL(5,2)) AS discount_pct,
@@ -118,18 +116,17 @@ SELECT 'R-' || transaction_id AS return_id,
        CAST(((rev_c * 8) // 100) * 0.01 AS DECIMAL(10,2)) AS restocking_cost,
        (l_orderkey % 7 >= 2) AS resaleable
 FROM txn_lines
-WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber <= 4 AND customer_id IS NOT NULL"""),
+WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND customer_id IS NOT NULL"""),
     ("inv_ship", """
 SELECT l_partkey AS product_id, 1 + l_suppkey % 5 AS store_id,
        CAST(1 + (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) // 7) % 26 AS INTEGER) AS week_number,
        SUM(CAST(l_quantity AS INTEGER)) AS units
-FROM lineitem WHERE l_partkey % 10 = 0
+FROM lineitem
 GROUP BY 1, 2, 3"""),
     ("inv_weekly", """
 SELECT g.product_id, g.p_size, g.store_id, g.week_number, CAST(COALESCE(s.units, 0) AS INTEGER) AS units_sold
 FROM (SELECT p_partkey AS product_id, p_size, st.store_id, wk.week_number
-      FROM part, range(1, 6) st(store_id), range(1, 27) wk(week_number)
-      WHERE p_partkey % 10 = 0) g
+      FROM part, range(1, 6) st(store_id), range(1, 27) wk(week_number)) g
 LEFT JOIN inv_ship s ON g.product_id = s.product_id AND g.store_id = s.store_id AND g.week_number = s.week_number"""),
     ("inv_initial", """
 SELECT product_id, store_id,
@@ -195,8 +192,11 @@ SELECT 'TGT-' || CAST(s.store_id AS VARCHAR) || '-' || m.month AS target_id,
                        / CAST(90000 + (s.store_id * 37 + m.m * 13) % 80000 AS DOUBLE) * 100.0 AS DECIMAL(38,6)), 2)
             AS DECIMAL(8,2)) AS attainment_pct
 FROM dim_stores s
-CROSS JOIN (SELECT m, strftime(DATE '1995-01-01' + to_months(CAST(m AS INTEGER)), '%Y-%m') AS month
-            FROM range(0, 80) t(m)) m
+CROSS JOIN (SELECT m, strftime(first_month + to_months(CAST(m AS INTEGER)), '%Y-%m') AS month
+            FROM (SELECT CAST(date_trunc('month', MIN(transaction_date)) AS DATE) AS first_month,
+                         UNNEST(range(0, 1 + date_diff('month', date_trunc('month', MIN(transaction_date)),
+                                                       date_trunc('month', MAX(transaction_date))))) AS m
+                  FROM vw_clean_transactions) span) m
 LEFT JOIN (SELECT store_id, strftime(transaction_date, '%Y-%m') AS month, SUM(revenue) AS actual
            FROM vw_clean_transactions GROUP BY 1, 2) a
        ON a.store_id = s.store_id AND a.month = m.month"""),

@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.functions import labels as L
-from tillpoint.functions.exprs import count_if, pct
-from tillpoint.operators.rank import global_row_number
+from tillpoint.functions.exprs import count_if, idiv, pct
+from tillpoint.operators.rank import keep_first, prefix_sum
 from tillpoint.operators.scalars import combine_scalars
 from tillpoint.sources import schemas as SC
 
+COPIES_PER_CHUNK = 4096  # exact copies that one task expands at a time
 DEDUP_KEYS = ("transaction_date", "product_id", "customer_id", "revenue")
 PANDAS_DEDUP_KEYS = ("transaction_date", "customer_id", "product_id", "revenue")
 CLEAN_COLUMNS = ("transaction_id", "transaction_date", "customer_id", "product_id", "store_id",
@@ -93,24 +94,29 @@ def duplicate_rows(t: DataFrame, keys=DEDUP_KEYS, order_col: str = "transaction_
     occurrence count and its rank inside the key (by ``order_col``); rows with
     rank > 1 are the ones the clean view removes.
 
-    COUNT(*) OVER (PARTITION BY key) and ROW_NUMBER() inside a key would put a
-    hot key's whole group in one task. Instead: counts per key (partial
-    aggregation), a NULL-safe join back, a distributed global row number over
-    (key, order_col), and the key's first number (partial aggregation again)."""
-    counts = (t.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrence_count"))
-               .filter(F.col("occurrence_count") > 1))
-    c = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "occurrence_count")
-    cond = reduce(lambda a, b: a & b, [t[k].eqNullSafe(c[f"_k_{k}"]) for k in keys])
-    dup = (t.select(order_col, *keys).join(c, cond)
-            .drop(*[f"_k_{k}" for k in keys]))
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(order_col).asc()]
-    ranked = global_row_number(dup, order, out="_g")
-    firsts = ranked.groupBy(*keys).agg(F.min("_g").alias("_first"))
-    f = firsts.select(*[F.col(k).alias(f"_f_{k}") for k in keys], "_first")
-    cond2 = reduce(lambda a, b: a & b, [ranked[k].eqNullSafe(f[f"_f_{k}"]) for k in keys])
-    return (ranked.join(f, cond2)
-                  .select(order_col, *keys, "occurrence_count",
-                          (F.col("_g") - F.col("_first") + 1).alias("row_rank")))
+    A hot key is split at every step. Rows are first counted per (key, id), so exact
+    copies shrink map-side to one group; groups are numbered by distributed running
+    sums in (key, id) order (a key's own first number is the running sum over the
+    keys before it); and a group is expanded again in chunks of ``COPIES_PER_CHUNK``
+    rows that are dealt out over the tasks."""
+    groups = t.groupBy(*keys, order_col).agg(F.count(F.lit(1)).alias("_m"))
+    counts = (groups.groupBy(*keys).agg(F.sum("_m").alias("occurrence_count"))
+              .filter(F.col("occurrence_count") > 1))
+    key_order = [F.col(k).asc_nulls_first() for k in keys]
+    counts = prefix_sum(counts, key_order, "occurrence_count", out="_key_end")
+    c = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "occurrence_count",
+                      (F.col("_key_end") - F.col("occurrence_count")).alias("_before"))
+    cond = reduce(lambda a, b: a & b, [groups[k].eqNullSafe(c[f"_k_{k}"]) for k in keys])
+    dup = groups.join(c, cond).drop(*[f"_k_{k}" for k in keys])
+    ranked = prefix_sum(dup, key_order + [F.col(order_col).asc()], "_m", out="_end")
+    first = F.col("_end") - F.col("_m") - F.col("_before")  # rank of the group's first row, from 0
+    chunk = F.col("_chunk") * COPIES_PER_CHUNK
+    dealt = (ranked.select(order_col, *keys, "occurrence_count", first.alias("_first"), "_m")
+             .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), idiv(F.col("_m") - 1, COPIES_PER_CHUNK))))
+             .repartition(F.xxhash64(*keys, order_col, "_chunk")))
+    return (dealt.withColumn("_nth", F.explode(F.sequence(
+                chunk + 1, F.least(chunk + COPIES_PER_CHUNK, F.col("_m")))))
+            .select(order_col, *keys, "occurrence_count", (F.col("_first") + F.col("_nth")).alias("row_rank")))
 
 
 # J03 ----------------------------------------------------------------------------
@@ -181,9 +187,12 @@ def default_integrity_checks(w) -> list:
 
 
 # J06 ----------------------------------------------------------------------------
-def date_consistency(r: DataFrame, t: DataFrame, max_days: int = 90) -> DataFrame:
+def date_consistency(r: DataFrame, t: DataFrame, max_days: int = 90, dedup: bool = False) -> DataFrame:
     """Returns dated before the purchase or more than ``max_days`` after it.
-    Joined to raw transactions, so duplicated purchases repeat the return (as audited)."""
+    Joined to raw transactions, so duplicated purchases repeat the return (as audited);
+    ``dedup`` joins each distinct (transaction, date) once instead."""
+    if dedup:
+        t = t.select("transaction_id", "transaction_date").distinct()
     x = r.select("return_id", "transaction_id", "return_date").join(
         t.select("transaction_id", "transaction_date"), "transaction_id")
     days = F.datediff(F.col("return_date"), F.col("transaction_date"))
@@ -308,12 +317,8 @@ def audit_counters(t: DataFrame, i: DataFrame, p: DataFrame, keys=PANDAS_DEDUP_K
 def clean_by_first(t: DataFrame, keys=PANDAS_DEDUP_KEYS, order_col: str = "transaction_id") -> DataFrame:
     """pandas ``drop_duplicates(keep='first')`` then ``revenue > 0 and quantity > 0``.
 
-    "First" needs an explicit order: the smallest ``order_col``. Written as an
-    aggregate (min of a struct led by the order column) rather than a window,
-    so a hot key is reduced map-side; it must agree with J07 row for row."""
-    rest = [c for c in CLEAN_COLUMNS if c != order_col and c not in keys]
-    first = (t.groupBy(*keys)
-              .agg(F.min(F.struct(F.col(order_col), *[F.col(c) for c in rest])).alias("_f")))
-    return (first.select(*keys, "_f.*")
-                 .filter("revenue > 0 AND quantity > 0")
-                 .select(*CLEAN_COLUMNS))
+    "First" needs an explicit order: the smallest ``order_col``. A window top-1 whose
+    partial limit runs before the shuffle, so a hot key is reduced map-side; it must
+    agree with J07 row for row."""
+    return (keep_first(t.select(*CLEAN_COLUMNS), list(keys), [F.col(order_col).asc()])
+            .filter("revenue > 0 AND quantity > 0"))

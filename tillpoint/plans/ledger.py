@@ -20,23 +20,22 @@ from tillpoint.operators.rank import global_row_number
 UNBOUNDED = Window.unboundedPreceding
 
 
-def stock_ledger(weekly_units: DataFrame, initial_stock: DataFrame, products: DataFrame, *,
+def stock_ledger(weekly_units: DataFrame, products: DataFrame, *,
                  markdown_from_week: int = 9, markdown_below_st: float = 0.35,
                  markdown_depth: float = 0.25, week1_date: dt.date = dt.date(1995, 1, 2)) -> DataFrame:
     """J25 — weekly roll-forward: opening = initial - units sold before the week,
     closing = opening - units; a markdown starts at the first week >= ``markdown_from_week``
     whose sell-through so far is below ``markdown_below_st`` and is kept afterwards.
 
-    weekly_units: (product_id, store_id, week_number, units_sold), one row per week.
-    initial_stock: (product_id, store_id, initial_stock).
+    weekly_units: (product_id, store_id, week_number, units_sold, initial_stock), one row
+    per week; the initial stock is the same in all weeks of a (product, store).
     products: (product_id, mrp, cost_price).
     """
     w = Window.partitionBy("product_id", "store_id").orderBy("week_number")
     st_pct = int(round(markdown_below_st * 100))
     depth = F.lit(markdown_depth).cast("decimal(5,2)")
     prices = products.select("product_id", "mrp", "cost_price")
-    x = (weekly_units.join(initial_stock, ["product_id", "store_id"])
-                     .join(prices, "product_id")
+    x = (weekly_units.join(prices, "product_id")
                      .withColumn("sold_before", F.coalesce(
                          F.sum("units_sold").over(w.rowsBetween(UNBOUNDED, -1)), F.lit(0)).cast("long")))
     trigger = ((F.col("week_number") >= markdown_from_week)
@@ -91,13 +90,28 @@ def first_markdown_event(inventory: DataFrame, nominal_stock: int = 150) -> Data
     )
 
 
-def target_spine(stores: DataFrame, clean_txn: DataFrame, *, start: dt.date, months: int,
-                 rule) -> DataFrame:
+def month_span(clean_txn: DataFrame) -> tuple[dt.date, int]:
+    """First month and number of months of the sales, from one aggregate (one row)."""
+    first, last = clean_txn.agg(F.min("transaction_date"), F.max("transaction_date")).first()
+    if first is None:
+        return dt.date(1970, 1, 1), 0
+    return first.replace(day=1), (last.year - first.year) * 12 + last.month - first.month + 1
+
+
+def target_spine(stores: DataFrame, clean_txn: DataFrame, *, rule, start: dt.date | None = None,
+                 months: int | None = None) -> DataFrame:
     """J26 — store x month grid: target by ``rule(store_id, month_index)``,
     actual revenue from clean transactions (0 where none), units at 900 INR,
-    attainment %. The grid is generated with ``explode(sequence)`` per store."""
+    attainment %. The months are those of the sales; ``start`` and ``months`` override
+    the first month and their number. The grid is generated with ``explode(sequence)``
+    per store."""
+    if start is None or months is None:
+        first, count = month_span(clean_txn)
+        start, months = start or first, count if months is None else months
+    if months <= 0:
+        stores = stores.filter("false")
     grid = (stores.select("store_id")
-                  .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(months - 1))))
+                  .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(max(0, months - 1)))))
                   .withColumn("month", month_key(F.add_months(F.lit(start), F.col("m")))))
     actual = (clean_txn.groupBy("store_id", month_key("transaction_date").alias("month"))
                        .agg(F.sum("revenue").alias("actual")))

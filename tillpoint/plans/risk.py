@@ -8,9 +8,8 @@ Scale notes
   (whole-stage codegen); the product attributes come through one join.
 * The label draw hashes the transaction id, so it is the same on every run,
   partitioning and engine (``rand(seed)`` is not).
-* The stratified split ranks rows inside each class with the distributed
-  global ranking (a class holds about half the rows: a per-class window would
-  put it in one task).
+* The stratified split looks for one cut value per class in the hash order; the
+  rows themselves only get a projection.
 * Metrics work from counts per distinct score (a depth-d tree emits at most
   2^d distinct probabilities, the rule score at most 101); the cumulative sums
   over scores use the distributed prefix sum, so a continuous score with one
@@ -27,9 +26,11 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions import labels as L
 from tillpoint.functions.exprs import dbl, hash_uniform, nz, ratio, round_up, weekday_mon0
-from tillpoint.operators.rank import global_row_number, prefix_sum
+from tillpoint.operators.rank import prefix_sum
+from tillpoint.operators.sampling import cut_values, hash_order_key
 
 UNB = Window.unboundedPreceding
+PACKED = 10 ** 18  # two counts in one decimal: positives x PACKED + negatives
 
 
 # J37 ----------------------------------------------------------------------------
@@ -76,36 +77,28 @@ def return_label(scored: DataFrame, seed: int = 42) -> DataFrame:
 
 
 # J40 ----------------------------------------------------------------------------
-MAX_INLINE_CODES = 10000
+def categorical_codes(df: DataFrame, fills: dict[str, str]) -> DataFrame:
+    """(_c, _v, _code): each column's distinct values (NULL filled first) and their
+    0-based position in sorted order. All columns share one pass and one map-side
+    aggregate; a window numbers the distinct values of a column."""
+    values = F.array(*[F.struct(F.lit(i).alias("_c"), F.coalesce(F.col(c), F.lit(fill)).alias("_v"))
+                       for i, (c, fill) in enumerate(fills.items())])
+    distinct = df.select(F.inline(values)).distinct()
+    return distinct.withColumn("_code", F.row_number().over(Window.partitionBy("_c").orderBy("_v")) - 1)
 
 
 def categorical_index(df: DataFrame, fills: dict[str, str] | None = None,
-                      suffix: dict[str, str] | None = None, max_inline: int = MAX_INLINE_CODES) -> DataFrame:
+                      suffix: dict[str, str] | None = None) -> DataFrame:
     """Label encoding: each value's 0-based position among the column's sorted
-    distinct values (NULL filled first).
-
-    The distinct values come from one map-side-reduced aggregate. When there
-    are at most ``max_inline`` of them (checked by fetching at most
-    max_inline + 1 values), the codes become a literal map and encoding is a
-    projection: no join, no shuffle of the rows. Above the bound the codes stay
-    a DataFrame and are joined back (AQE broadcasts them if small enough)."""
+    distinct values (NULL filled first). The code table is joined back (AQE picks the
+    join by its measured size)."""
     fills = fills or dict(L.ENCODER_FILLS)
     names = suffix or {"category": "cat_encoded", "channel": "ch_encoded", "heat_score": "heat_encoded"}
+    codes = categorical_codes(df, fills)
     out = df
-    for c, fill in fills.items():
-        filled = F.coalesce(F.col(c), F.lit(fill))
-        values = out.select(filled.alias("_v")).distinct()
-        head = [r["_v"] for r in values.orderBy("_v").limit(max_inline + 1).collect()]
-        if len(head) <= max_inline:
-            pairs = []
-            for i, v in enumerate(head):
-                pairs += [F.lit(v), F.lit(i)]
-            out = out.withColumn(names[c], F.element_at(F.create_map(*pairs), filled).cast("int"))
-        else:
-            # distinct values: the distributed row number equals the dense rank
-            codes = global_row_number(values, [F.col("_v").asc()], out="_code")
-            codes = codes.select("_v", (F.col("_code") - 1).cast("int").alias(names[c]))
-            out = out.withColumn("_v", filled).join(codes, "_v", "left").drop("_v")
+    for i, (c, fill) in enumerate(fills.items()):
+        own = codes.filter(F.col("_c") == i).select(F.col("_v").alias(f"_v{i}"), F.col("_code").cast("int").alias(names[c]))
+        out = out.join(own, F.coalesce(F.col(c), F.lit(fill)) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
     return out
 
 
@@ -130,23 +123,24 @@ def model_frame_stats(frame: DataFrame, label: str = "is_returned") -> DataFrame
 def stratified_split(df: DataFrame, label: str = "is_returned", train_fraction: float = 0.75,
                      seed: int = 42, id_col: str = "transaction_id", exact: bool = True) -> DataFrame:
     """Exact stratified split: inside each class, rows ordered by md5(id:seed)
-    (then id); the first round(fraction x class size) rows train, the rest test.
+    (then id, unique); the first round(fraction x class size) rows train, the rest
+    test. Only a cut value per class is looked for (``operators/sampling.py``): the
+    wide frame gets a projection, no sort, shuffle or checkpoint. ``label`` has few
+    values; rows with a NULL label are dropped.
 
     ``exact=False`` trains on rows whose hashed draw is below the fraction: a
     projection with no shuffle or sort, class sizes within sampling error."""
     if not exact:
         u = hash_uniform(F.concat(F.col(id_col).cast("string"), F.lit(":split")), seed)
         return df.withColumn("split", F.when(u < F.lit(train_fraction), F.lit("train")).otherwise(F.lit("test")))
-    key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":split:{seed}")))
-    x = df.withColumn("_key", key)
-    ranked = global_row_number(x, [F.col(label).asc(), F.col("_key").asc(), F.col(id_col).asc()], out="_g")
-    per_class = ranked.groupBy(label).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    within = F.col("_g") - F.col("_first") + 1
-    # per_class has one row per class value: a broadcast with a proven bound
-    return (ranked.join(F.broadcast(per_class), label)
-                  .withColumn("split", F.when(within <= F.round(F.lit(train_fraction) * F.col("_n")), F.lit("train"))
-                                        .otherwise(F.lit("test")))
-                  .drop("_g", "_first", "_n", "_key"))
+    h = hash_order_key(id_col, seed, "split")
+    keys = df.select(F.col(label).alias("_class"), h.alias("_h"), F.col(id_col).alias("_k"))
+    # cuts has one row per value of the label, a class column: a broadcast with a proven bound
+    cuts = cut_values(keys, F.round(F.lit(train_fraction) * F.col("_n")))
+    upto = F.struct(h.alias("h"), F.col(id_col).alias("k")) <= F.struct(F.col("_cut_h").alias("h"), F.col("_cut_k").alias("k"))
+    train = (F.col("_want") >= F.col("_n")) | (F.col("_cut_h").isNotNull() & upto)
+    joined = df.join(F.broadcast(cuts), df[label] == cuts["_class"])
+    return joined.select(*df.columns, F.when(train, F.lit("train")).otherwise(F.lit("test")).alias("split"))
 
 
 # J43 ----------------------------------------------------------------------------
@@ -195,10 +189,11 @@ def roc_auc(scored: DataFrame, label: str = "is_returned", score: str = "score")
     from counts per distinct score."""
     g = prefix_sum(score_counts(scored, label, score), [F.col(score).asc()], "neg", "_neg_upto")
     g = g.withColumn("neg_below", F.col("_neg_upto") - F.col("neg"))
-    a = g.agg(F.sum(dbl("pos") * (dbl("neg_below") + F.lit(0.5) * dbl("neg"))).alias("_u"),
+    a = g.agg(F.sum(F.col("pos").cast("decimal(18,0)")
+                    * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(19,0)")).alias("_u2"),
               F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     return a.select("positives", "negatives",
-                    (F.col("_u") / (dbl(nz("positives")) * dbl(nz("negatives")))).alias("roc_auc"))
+                    (dbl("_u2") / 2 / (dbl(nz("positives")) * dbl(nz("negatives")))).alias("roc_auc"))
 
 
 # J45 ----------------------------------------------------------------------------
@@ -244,8 +239,12 @@ def pr_curve(scored: DataFrame, label: str = "is_returned", score: str = "score"
     """Precision and recall when flagging every row with score >= threshold,
     for each distinct score."""
     g = score_counts(scored, label, score)
-    g = prefix_sum(g, [F.col(score).desc()], "pos", "tp", total_out="_p")
-    g = prefix_sum(g, [F.col(score).desc()], "neg", "fp")
+    # one running sum for both counts: positives in the high digits, negatives in the low
+    both = (F.col("pos").cast("decimal(38,0)") * F.lit(PACKED) + F.col("neg")).cast("decimal(38,0)")
+    g = prefix_sum(g.withColumn("_both", both), [F.col(score).desc()], "_both", "_sum", total_out="_total")
+    high = lambda c: F.call_function("div", F.col(c), F.lit(PACKED).cast("decimal(20,0)"))
+    g = (g.withColumn("tp", high("_sum")).withColumn("_p", high("_total"))
+          .withColumn("fp", (F.col("_sum") % F.lit(PACKED)).cast("long")))
     return g.select(F.col(score).alias("threshold"), "tp", "fp",
                     round_up(ratio("tp", F.col("tp") + F.col("fp")), 6).alias("precision"),
                     round_up(ratio("tp", "_p"), 6).alias("recall"))

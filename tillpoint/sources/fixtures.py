@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.functions.exprs import idiv, money_from_cents
@@ -39,15 +39,15 @@ AGE_GROUPS = ("18-24", "25-34", "35-44", "45-54", "55+")
 # loyalty tier by account-balance band: < 1700 Bronze, < 4300 Silver, < 7350 Gold, else Platinum
 TIER_BOUNDS = ((1700.0, "Bronze"), (4300.0, "Silver"), (7350.0, "Gold"))
 TIER_TOP = "Platinum"
-PRODUCT_EXCLUDE_MOD, PRODUCT_EXCLUDE_REM = 400, 399
-STORE_EXCLUDE_MOD, STORE_EXCLUDE_REM = 50, 49
-INVENTORY_PRODUCT_MOD = 10
+# Orphans are injected on the fact side: lines of these orders carry a negated
+# product / store key, which no dimension holds. The dimensions stay whole.
+ORPHAN_PRODUCT_MOD, ORPHAN_PRODUCT_REM = 400, 399
+ORPHAN_STORE_MOD, ORPHAN_STORE_REM = 60, 59
 INVENTORY_STORES = 5
 INVENTORY_WEEKS = 26
 INVENTORY_EPOCH = dt.date(1995, 1, 1)
 INVENTORY_WEEK1 = dt.date(1995, 1, 2)
-TARGET_START = dt.date(1995, 1, 1)
-TARGET_MONTHS = 80
+LAUNCH_EPOCH = dt.date(1995, 1, 1)
 
 SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -77,7 +77,7 @@ def part_pricing(part: DataFrame) -> DataFrame:
 
 
 def dim_products(src: dict[str, DataFrame]) -> DataFrame:
-    p = part_pricing(src["part"]).filter(F.col("p_partkey") % PRODUCT_EXCLUDE_MOD != PRODUCT_EXCLUDE_REM)
+    p = part_pricing(src["part"])
     cat = None
     for t, c in CATEGORY_BY_TYPE.items():
         cat = F.when(F.col("p_type") == t, F.lit(c)) if cat is None else cat.when(F.col("p_type") == t, F.lit(c))
@@ -92,7 +92,7 @@ def dim_products(src: dict[str, DataFrame]) -> DataFrame:
         money_from_cents("cost_c", 10).alias("cost_price"),
         money_from_cents("mrp_c", 10).alias("mrp"),
         _pick(F.col("p_size"), SEASON_BY_SIZE_MOD4).alias("season"),
-        F.date_add(F.lit(TARGET_START), (key % 180).cast("int")).alias("launch_date"),
+        F.date_add(F.lit(LAUNCH_EPOCH), (key % 180).cast("int")).alias("launch_date"),
         F.concat(F.lit("SUP-"), F.lpad((key % 40).cast("string"), 3, "0")).alias("supplier_code"),
         F.when(key % 8 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("Vendor "), (key % 40).cast("string"))).alias("supplier_name"),
@@ -110,7 +110,7 @@ def _supplier_region(src) -> DataFrame:
 
 
 def dim_stores(src: dict[str, DataFrame]) -> DataFrame:
-    s = _supplier_region(src).filter(F.col("s_suppkey") % STORE_EXCLUDE_MOD != STORE_EXCLUDE_REM)
+    s = _supplier_region(src)
     key = F.col("s_suppkey")
     return s.select(
         key.alias("store_id"),
@@ -153,6 +153,10 @@ def dim_customers(src: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def _orphaned(key: str, order_key, mod: int, rem: int) -> F.Column:
+    return F.when(order_key % mod == rem, -F.col(key)).otherwise(F.col(key))
+
+
 def transaction_lines(src: dict[str, DataFrame]) -> DataFrame:
     """One row per lineitem with the transaction columns in cents plus the
     lineitem fields the returns mapping needs. Not yet duplicated."""
@@ -184,8 +188,8 @@ def transaction_lines(src: dict[str, DataFrame]) -> DataFrame:
                  tid.alias("transaction_id"),
                  F.col("o_orderdate").cast("date").alias("transaction_date"),
                  F.when(ok % 14 == 0, F.lit(None).cast("long")).otherwise(F.col("o_custkey")).alias("customer_id"),
-                 F.col("l_partkey").alias("product_id"),
-                 F.col("l_suppkey").alias("store_id"),
+                 _orphaned("l_partkey", ok, ORPHAN_PRODUCT_MOD, ORPHAN_PRODUCT_REM).alias("product_id"),
+                 _orphaned("l_suppkey", ok, ORPHAN_STORE_MOD, ORPHAN_STORE_REM).alias("store_id"),
                  F.col("qty").alias("quantity"),
                  money_from_cents("up_c", 10).alias("unit_price"),
                  (F.col("dp").cast("decimal(18,0)") / F.lit(100)).cast("decimal(5,2)").alias("discount_pct"),
@@ -216,7 +220,7 @@ def fact_transactions(lines: DataFrame) -> DataFrame:
 def fact_returns(lines: DataFrame) -> DataFrame:
     ok = F.col("l_orderkey")
     r = lines.filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
-                     & (F.col("l_linenumber") <= 4) & F.col("customer_id").isNotNull())
+                     & F.col("customer_id").isNotNull())
     shift = (F.when(ok % 97 == 0, F.lit(-3)).when(ok % 97 == 1, F.lit(120))
               .otherwise(F.col("l_linenumber") * 5))
     return r.select(
@@ -233,35 +237,31 @@ def fact_returns(lines: DataFrame) -> DataFrame:
     )
 
 
-def inventory_inputs(src: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(weekly_units, initial_stock) for the stock ledger (job J25).
-
-    weekly_units is the full product x store x week grid (zeros where nothing
-    shipped), built with ``explode(sequence)`` per product rather than a join.
+def inventory_inputs(src: dict[str, DataFrame]) -> DataFrame:
+    """(product_id, store_id, week_number, units_sold, initial_stock) for the stock
+    ledger (job J25): the full product x store x week grid (zeros where nothing
+    shipped), built with ``explode(sequence)`` per product rather than a join. The
+    initial stock is the location's total over the weeks plus a key-based reserve;
+    the total is a window over the ledger's own (product, store) partitioning, so
+    the shipped units are aggregated once.
     """
-    part = src["part"].filter(F.col("p_partkey") % INVENTORY_PRODUCT_MOD == 0)
     week = (F.lit(1) + (idiv(F.datediff(F.col("l_shipdate").cast("date"), F.lit(INVENTORY_EPOCH)), 7)
                         % INVENTORY_WEEKS)).cast("int")
     shipped = (src["lineitem"]
-               .filter(F.col("l_partkey") % INVENTORY_PRODUCT_MOD == 0)
                .select(F.col("l_partkey").alias("product_id"),
                        (F.lit(1) + F.col("l_suppkey") % INVENTORY_STORES).alias("store_id"),
                        week.alias("week_number"),
                        F.col("l_quantity").cast("int").alias("q"))
                .groupBy("product_id", "store_id", "week_number")
                .agg(F.sum("q").alias("units")))
-    grid = (part.select(F.col("p_partkey").alias("product_id"), "p_size")
-                .withColumn("store_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(INVENTORY_STORES).cast("long"))))
-                .withColumn("week_number", F.explode(F.sequence(F.lit(1), F.lit(INVENTORY_WEEKS)))))
-    weekly = (grid.join(shipped, ["product_id", "store_id", "week_number"], "left")
-                  .select("product_id", "store_id", "week_number", "p_size",
-                          F.coalesce(F.col("units"), F.lit(0)).cast("int").alias("units_sold")))
-    totals = (weekly.groupBy("product_id", "store_id")
-                    .agg(F.sum("units_sold").alias("total"), F.first("p_size").alias("p_size")))
-    initial = totals.select(
-        "product_id", "store_id",
-        (F.col("total") + 5 + (F.col("p_size") * 11 + F.col("store_id") * 17) % 180).cast("int").alias("initial_stock"))
-    return weekly.drop("p_size"), initial
+    grid = (src["part"].select(F.col("p_partkey").alias("product_id"), "p_size")
+            .withColumn("store_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(INVENTORY_STORES).cast("long"))))
+            .withColumn("week_number", F.explode(F.sequence(F.lit(1), F.lit(INVENTORY_WEEKS)))))
+    total = F.sum("units_sold").over(Window.partitionBy("product_id", "store_id"))
+    return (grid.join(shipped, ["product_id", "store_id", "week_number"], "left")
+            .withColumn("units_sold", F.coalesce(F.col("units"), F.lit(0)).cast("int"))
+            .select("product_id", "store_id", "week_number", "units_sold",
+                    (total + 5 + (F.col("p_size") * 11 + F.col("store_id") * 17) % 180).cast("int").alias("initial_stock")))
 
 
 def negative_report_flag(product_id, week_number) -> F.Column:

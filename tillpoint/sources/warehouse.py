@@ -112,14 +112,13 @@ class Warehouse:
 
         # Transactions and returns are two plans over the same line mapping. The
         # lines are not persisted: the returns plan filters on the return flag,
-        # status and line number, which Parquet applies at the lineitem scan, so
+        # and status, which Parquet applies at the lineitem scan, so
         # only that slice reaches the order join (cheaper than caching the fact).
         lines = fx.transaction_lines(src)
         txn = self._put("fact_transactions", fx.fact_transactions(lines), sort_by="transaction_date")
         self._put("fact_returns", fx.fact_returns(lines), sort_by="return_date")
 
-        weekly, initial = fx.inventory_inputs(src)
-        ledger = stock_ledger(weekly, initial, products, week1_date=fx.INVENTORY_WEEK1)
+        ledger = stock_ledger(fx.inventory_inputs(src), products, week1_date=fx.INVENTORY_WEEK1)
         bad = fx.negative_report_flag(F.col("product_id"), F.col("week_number"))
         inventory = ledger.withColumn(
             "closing_stock_reported",
@@ -128,5 +127,4 @@ class Warehouse:
         self._put("fact_markdown_events", first_markdown_event(inventory))
 
         clean = self._put("clean_transactions", clean_transactions(txn), sort_by="transaction_date")
-        self._put("fact_sales_targets", target_spine(stores, clean, start=fx.TARGET_START,
-                                                     months=fx.TARGET_MONTHS, rule=fx.target_rule))
+        self._put("fact_sales_targets", target_spine(stores, clean, rule=fx.target_rule))
