@@ -8,7 +8,6 @@ Spark expressions (no Python UDF). Modules:
 * ``operators`` — composed operators Spark lacks as one call (distributed
                   ranking / NTILE, keep-first, scalar combination)
 * ``plans``     — the jobs: audit, sales, inventory, customers, returns, risk, impact
-* ``streaming`` — micro-batch ingestion that reuses the batch jobs
 """
 
 from tillpoint.params import RetailParams, TESTDATA_PARAMS  # noqa: F401

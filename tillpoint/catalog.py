@@ -83,18 +83,23 @@ def _sales() -> dict[str, Job]:
     }
 
 
+def rfm_scored(w):
+    """Quantile RFM scores, ranked once per session and staged for the jobs that read them."""
+    return w.derived("rfm_scored", lambda x: C.rfm_scores_qcut(x["clean_transactions"], P.as_of, P.rfm_buckets))
+
+
 def _customers() -> dict[str, Job]:
     def metrics(w):
         return C.customer_metrics(w["clean_transactions"], w["dim_customers"], P.as_of)
 
-    def qcut(w):
-        return C.rfm_scores_qcut(w["clean_transactions"], P.as_of, P.rfm_buckets)
+    def ntile(w):  # ranked once per session, read by both jobs
+        return w.derived("rfm_ntile", lambda x: C.rfm_scores_ntile(metrics(x), P.rfm_buckets))
 
+    qcut = rfm_scored
     return {
         "customer_metrics": _job(metrics),
-        "rfm_scores_ntile": _job(lambda w: C.rfm_scores_ntile(metrics(w), P.rfm_buckets)),
-        "rfm_segments": _job(lambda w: C.rfm_segments(C.rfm_scores_ntile(metrics(w), P.rfm_buckets),
-                                                      P.integer_avg)),
+        "rfm_scores_ntile": _job(ntile),
+        "rfm_segments": _job(lambda w: C.rfm_segments(ntile(w), P.integer_avg)),
         "rfm_scores_qcut": _job(qcut),
         "rfm_segment_table": _job(lambda w: C.rfm_segment_table(qcut(w), w["dim_customers"])),
         "rfm_segment_summary": _job(lambda w: C.rfm_segment_summary(qcut(w))),
@@ -138,6 +143,10 @@ def model_input(w):
     return K.model_input(w["clean_transactions"], w["dim_products"], P.label_seed)
 
 
+def labelled(w):
+    return K.return_label(K.return_probability(K.return_features(w["clean_transactions"], w["dim_products"])), P.label_seed)
+
+
 def model_split(w):
     return K.stratified_split(K.model_frame(model_input(w)), "is_returned", P.train_fraction, P.label_seed)
 
@@ -197,17 +206,17 @@ def _risk() -> dict[str, Job]:
         "threshold_table": _job(lambda w: K.threshold_table(rule_scored_test(w), P.thresholds)),
         "return_risk_tree": _job(tree_predictions),
         "tree_roc_auc": _job(lambda w: K.roc_auc(tree_predictions(w))),
+        "tree_classification_report": _job(lambda w: K.classification_report(tree_predictions(w))),
+        "tree_pr_curve": _job(lambda w: K.pr_curve(tree_predictions(w))),
+        "tree_threshold_table": _job(lambda w: K.threshold_table(tree_predictions(w), P.thresholds)),
         "feature_importance": _job(tree_importance),
     }
 
 
-def _impact_inputs(w, scored=None):
+def _impact_inputs(w):
     tc, p = w["clean_transactions"], w["dim_products"]
     dead = INV.dead_stock(w["fact_inventory"], p, P.dead_sell_through, P.dead_min_units)
-    scored = scored if scored is not None else C.rfm_scores_qcut(tc, P.as_of, P.rfm_buckets)
-    segments = C.with_pandas_segment(scored)
-    loss = R.return_loss(tc, w["fact_returns"])
-    return dead, segments, loss
+    return dead, C.with_pandas_segment(rfm_scored(w)), R.return_loss(tc, w["fact_returns"])
 
 
 def impact(w):
@@ -215,28 +224,33 @@ def impact(w):
     return IM.impact_scenarios(dead, segments, loss, P)
 
 
-def summary(w, scored=None):
+def summary(w, auc):
     tc, p = w["clean_transactions"], w["dim_products"]
-    dead, segments, loss = _impact_inputs(w, scored)
-    model, test = tree_model(w)
+    dead, segments, loss = _impact_inputs(w)
+    categories = w.derived("category_revenue", lambda x: S.category_revenue(x["clean_transactions"], x["dim_products"]))
     return IM.impact_summary(
-        S.headline_kpis(tc), loss, IM.impact_scenarios(dead, segments, loss, P),
-        K.roc_auc(K.predict_return(model, test)), S.festive_uplift(tc, P.festive_months),
-        S.category_concentration(tc, p, P.top_categories),
+        S.headline_kpis(tc), loss, IM.impact_scenarios(dead, segments, loss, P), auc,
+        S.festive_uplift(tc, P.festive_months), S.category_concentration(tc, p, P.top_categories),
         A.audit_counters(w["fact_transactions"], w["fact_inventory"], p),
-        S.category_revenue(tc, p), C.rfm_segment_summary(segments))
+        categories, C.rfm_segment_summary(segments))
+
+
+def checked_summary(w):
+    """The summary with the AUC of the rule score, which SQL can rebuild, and JSON maps."""
+    return IM.maps_as_json(summary(w, K.roc_auc(rule_scored_test(w))))
 
 
 def publish(w):
     from tillpoint.session import staging_root
     tc, p = w["clean_transactions"], w["dim_products"]
-    scored = C.rfm_scores_qcut(tc, P.as_of, P.rfm_buckets)  # ranked once, shared below
+    model, test = tree_model(w)
     outputs = {
-        "rfm_segments": C.rfm_segment_table(scored, w["dim_customers"]),
+        "rfm_segments": C.rfm_segment_table(rfm_scored(w), w["dim_customers"]),
         "dead_stock_skus": INV.dead_stock(w["fact_inventory"], p, P.dead_sell_through, P.dead_min_units),
         "monthly_revenue": S.monthly_trend(tc),
         "category_revenue": S.category_revenue(tc, p),
-        "impact_summary": summary(w, scored),
+        "labelled_transactions": tc.join(labelled(w).select("transaction_id", "is_returned"), "transaction_id"),
+        "impact_summary": summary(w, K.roc_auc(K.predict_return(model, test))),
     }
     return IM.publish_outputs(w.spark, outputs, IM.new_output_dir(staging_root(w.spark)), "csv")
 
@@ -257,7 +271,7 @@ def csv_roundtrip(w):
 def _impact() -> dict[str, Job]:
     return {
         "impact_scenarios": _job(impact),
-        "impact_summary": _job(summary),
+        "impact_summary": _job(checked_summary),
         "publish_outputs": _job(publish),
         "csv_source_roundtrip": _job(csv_roundtrip),
     }

@@ -112,3 +112,12 @@ def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str,
     if total_out:
         res = res.withColumnRenamed("_all", total_out)
     return res.drop("_pid", "_loc", "_off", "_all")
+
+
+def global_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """RANK() OVER (ORDER BY value DESC NULLS LAST) without a single-task window: rows per
+    distinct value, a distributed running sum over the values, joined back."""
+    sizes = df.groupBy(value).agg(F.count(F.lit(1)).alias("_size"))
+    ends = prefix_sum(sizes, [F.col(value).desc_nulls_last()], "_size", "_last")
+    ranks = ends.select(F.col(value).alias("_value"), (F.col("_last") - F.col("_size") + 1).alias(out))
+    return df.join(ranks, df[value].eqNullSafe(ranks["_value"])).drop("_value")

@@ -1,12 +1,16 @@
-"""Oracle SQL (DuckDB) for the impact scenarios (J49) and the CSV round trip."""
+"""Oracle SQL (DuckDB) for the impact scenarios (J49), the summary (J50), the row counts
+of the published outputs (J51) and the CSV round trip. The summary and the counts are
+selected from the other jobs' own statements."""
 
 from __future__ import annotations
 
 from tillpoint.functions import labels as L
 from tillpoint.oracle.fixtures_sql import with_fixtures
+from tillpoint.oracle import sql_audit_sales as SALES
 from tillpoint.oracle.sql_audit_sales import D, I, MEAN, MONTHLY_TREND, RUP, q
-from tillpoint.oracle.sql_customers import QCUT_CTES, segment_case
-from tillpoint.oracle.sql_inventory_returns import DEAD_CTE, DEAD_FILTER
+from tillpoint.oracle.sql_customers import QCUT_CTES, RFM_SEGMENT_SUMMARY, RFM_SEGMENT_TABLE, segment_case
+from tillpoint.oracle.sql_inventory_returns import DEAD_CTE, DEAD_FILTER, DEAD_STOCK, RETURN_LOSS
+from tillpoint.oracle.sql_risk import RETURN_LABEL, ROC
 from tillpoint.params import TESTDATA_PARAMS as P
 
 AT_RISK = q(L.PANDAS_SEGMENTS[3])
@@ -44,7 +48,44 @@ SELECT {I('dead_stock_skus')} AS dead_stock_skus, {D('stranded_value_inr')} AS s
        {D('at_risk_revenue')} AS at_risk_revenue
 FROM v""")
 
+
+
+def _even(x: str, n: int) -> str:
+    return f"ROUND_EVEN(CAST({x} AS DECIMAL(38,6)), {n})"
+
+
+def _json(statement: str, key: str, value: str) -> str:
+    return (f"""(SELECT '{{' || string_agg('"' || {key} || '":' || CAST({value} AS VARCHAR), ',' ORDER BY {key}) || '}}'"""
+            f" FROM ({statement}) entries)")
+
+
+SUMMARY = f"""
+SELECT {I(_even('k.total_revenue', 0))} AS total_revenue, k.total_units,
+       {D(_even('k.gross_profit / k.total_revenue * 100.0::DOUBLE', 1))} AS gross_margin_pct, k.unique_customers,
+       {D(_even('CAST(l.returns AS DOUBLE) / l.clean_transactions * 100.0::DOUBLE', 1))} AS return_rate_pct,
+       i.dead_stock_skus, {I(_even('i.stranded_value_inr', 0))} AS stranded_value_inr, i.at_risk_customers,
+       {I(_even('COALESCE(i.at_risk_revenue, 0)', 0))} AS at_risk_revenue_inr,
+       {I(_even('i.total_opportunity_inr', 0))} AS total_opportunity_inr,
+       {I(_even('i.recovered_margin_inr', 0))} AS recovered_margin_inr,
+       {I(_even('i.winback_revenue_inr', 0))} AS winback_revenue_inr,
+       {D(_even('r.roc_auc', 3))} AS model_roc_auc,
+       {D(_even('(f.festive_revenue / f.festive_days) / (f.regular_revenue / f.regular_days)', 1))} AS festive_uplift_x,
+       {D(_even('c.top_revenue / c.total_revenue * 100.0::DOUBLE', 1))} AS top2_cat_share_pct,
+       a.duplicate_rows AS duplicate_rows_removed, a.negative_stock AS negative_stock_records,
+       {_json(SALES.CATEGORY_REVENUE, 'category', I(_even('revenue', 0)))} AS cat_revenue,
+       {_json(RFM_SEGMENT_SUMMARY, 'segment', 'customers')} AS rfm_segments
+FROM ({SALES.HEADLINE}) k, ({RETURN_LOSS}) l, ({IMPACT}) i, ({ROC}) r, ({SALES.FESTIVE}) f,
+     ({SALES.CATEGORY_CONCENTRATION}) c, ({SALES.AUDIT_COUNTERS}) a"""
+
+PUBLISHED = {"rfm_segments": RFM_SEGMENT_TABLE, "dead_stock_skus": DEAD_STOCK, "monthly_revenue": MONTHLY_TREND,
+             "category_revenue": SALES.CATEGORY_REVENUE, "labelled_transactions": RETURN_LABEL}
+PUBLISH = "\nUNION ALL\n".join(
+    [f"SELECT '{name}' AS output, 'csv' AS format, COUNT(*) AS rows FROM ({sql}) t" for name, sql in PUBLISHED.items()]
+    + ["SELECT 'impact_summary', 'json', 1"])
+
 SQL = {
     "impact_scenarios": IMPACT,
+    "impact_summary": SUMMARY,
+    "publish_outputs": PUBLISH,
     "csv_source_roundtrip": MONTHLY_TREND,
 }

@@ -238,7 +238,9 @@ def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Declared DDL constraints as a violation report:
     PRIMARY KEY / UNIQUE: rows beyond the first per key (NULL keys count as violations);
     FOREIGN KEY: non-NULL child keys without a parent;
-    NOT NULL: NULL cells. One scan per table for all NOT NULL columns."""
+    NOT NULL: NULL cells; DEFAULT: NULL cells where a default is declared (they were
+    not filled on load); RANGE: values outside a declared range. One scan per table
+    counts all NOT NULL, DEFAULT and RANGE rules."""
     parts = []
     for t, cols in SC.PRIMARY_KEYS.items():
         parts.append(_key_violations(tables[t], t, "PRIMARY KEY", f"pk_{t}", cols))
@@ -251,9 +253,12 @@ def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     for (parent, pcol), kids in by_parent.items():
         parts.append(_fk_violations(tables, parent, pcol, kids))
     for t in SC.SCHEMAS:
-        cols = SC.not_null_columns(t)
-        wide = tables[t].agg(*[F.sum(F.col(c).isNull().cast("long")).alias(f"c{i}") for i, c in enumerate(cols)])
-        long = _stack(wide, [(t, "NOT NULL", f"nn_{t}_{c}", f"c{i}") for i, c in enumerate(cols)],
+        rules = [("NOT NULL", f"nn_{t}_{c}", F.col(c).isNull()) for c in SC.not_null_columns(t)]
+        rules += [("DEFAULT", f"df_{t}_{c}", F.col(c).isNull()) for c in SC.DEFAULTS.get(t, {})]
+        rules += [("RANGE", f"rg_{t}_{r[1]}", ~F.expr(SC.range_rule(*r[1:]))) for r in SC.RANGES if r[0] == t]
+        wide = tables[t].agg(*[F.sum(F.coalesce(bad, F.lit(False)).cast("long")).alias(f"c{i}")
+                               for i, (_, _, bad) in enumerate(rules)])
+        long = _stack(wide, [(t, kind, name, f"c{i}") for i, (kind, name, _) in enumerate(rules)],
                       ["violations"], ["table_name", "constraint_type", "constraint_name"])
         parts.append(long)
     return reduce(DataFrame.unionByName, parts)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions import labels as L
 from tillpoint.functions.exprs import count_if, dbl, mean, month_key, nz, pct, ratio, round_up, sum_if
+from tillpoint.operators.rank import global_rank
 
 UNB = Window.unboundedPreceding
 
@@ -100,7 +101,9 @@ def store_scorecard(tc: DataFrame, g: DataFrame, s: DataFrame) -> DataFrame:
                   F.sum("revenue_gap_inr").alias("_gap"),
                   count_if(F.col("attainment_pct") < 80).alias("months_below_80pct"),
                   count_if(F.col("attainment_pct") >= 100).alias("months_target_hit")))
-    # one row per store: the ranking windows see #stores rows, not transactions
+    # one row per store; stores grow with the data, so the ranks are distributed
+    agg = agg.withColumn("_ratio", ratio("_act", "_tgt"))
+    agg = global_rank(global_rank(agg, "_act", "revenue_rank"), "_ratio", "attainment_rank")
     return (agg.select(
         "store_id", "store_name", "region", "channel", "months_tracked",
         F.round("_tgt", 0).alias("total_target_inr"),
@@ -108,8 +111,7 @@ def store_scorecard(tc: DataFrame, g: DataFrame, s: DataFrame) -> DataFrame:
         pct("_act", "_tgt", 1).alias("overall_attainment_pct"),
         F.round("_gap", 0).alias("cumulative_gap_inr"),
         "months_below_80pct", "months_target_hit",
-        F.rank().over(Window.orderBy(F.col("_act").desc())).alias("revenue_rank"),
-        F.rank().over(Window.orderBy(ratio("_act", "_tgt").desc())).alias("attainment_rank"))
+        "revenue_rank", "attainment_rank")
         .orderBy(F.col("overall_attainment_pct").desc(), "store_id"))
 
 

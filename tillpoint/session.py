@@ -7,7 +7,10 @@ one of our own.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -24,10 +27,13 @@ DEFAULT_CONF = {
 
 
 def build_session(master: str = "local[8]", app: str = "tillpoint",
-                  shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+    """A session with the library's settings. The number of shuffle partitions is left
+    to the cluster's own setting unless given."""
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -53,12 +59,15 @@ def app_id(spark: SparkSession) -> str:
 
 
 def _local_folder(spark: SparkSession) -> str:
-    """A machine-local folder, allowed only for local-mode sessions (tests)."""
-    master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local"):
+    """A machine-local folder, allowed only for sessions that are known to run in one
+    process (tests); it is removed when the driver ends."""
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder: staged tables and reliable "
                            "checkpoints must survive the loss of an executor")
-    return tempfile.mkdtemp(prefix="tillpoint-ckpt-")
+    folder = tempfile.mkdtemp(prefix="tillpoint-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -87,3 +96,11 @@ def staging_root(spark: SparkSession) -> str:
     per-application subfolder, so it lives on the same shared file system."""
     ckpt = ensure_checkpoint_dir(spark)
     return os.path.join(ckpt.rstrip("/"), "tillpoint-stage")
+
+
+def clean_staging(spark: SparkSession) -> bool:
+    """Remove this session's staged tables, published outputs and scratch folders below
+    the shared checkpoint folder. Call it when the session's results are no longer read
+    (frames over staged tables cannot be read afterwards). Local folders go at exit."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

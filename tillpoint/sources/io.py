@@ -12,7 +12,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.sources.schemas import SCHEMAS
+from tillpoint.sources.schemas import SCHEMAS, fill_defaults
 
 ALIASES = {"clean_transactions": "fact_transactions"}
 
@@ -40,4 +40,5 @@ def load_tables(spark: SparkSession, in_dir: str, names, fmt: str = "csv") -> di
                          .option("dateFormat", "yyyy-MM-dd").option("mode", "FAILFAST").csv(path))
         else:
             out[name] = spark.read.parquet(path)
+        out[name] = fill_defaults(out[name], ALIASES.get(name, name))
     return out
