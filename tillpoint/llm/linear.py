@@ -9,48 +9,46 @@ import numpy as np
 
 @dataclass
 class Sample:
-    """Rows of hashed features: row i holds ``ids[bounds[i]:bounds[i+1]]`` with ``values``."""
-    ids: np.ndarray
-    values: np.ndarray
-    bounds: np.ndarray
+    """Rows of hashed features. Only features of at least ``min_rows`` rows are kept:
+    entry e says that row ``row[e]`` has feature ``columns[at[e]]`` with ``value[e]``."""
+    columns: np.ndarray  # hashed ids, ascending
+    at: np.ndarray
+    value: np.ndarray
+    row: np.ndarray
+    size: int
 
     @classmethod
-    def of(cls, ids: list, values: list | None = None) -> "Sample":
-        bounds = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-        flat = np.concatenate([np.asarray(i, np.int64) for i in ids]) if len(ids) else np.zeros(0, np.int64)
-        vals = (np.concatenate([np.asarray(v, np.float64) for v in values]) if values is not None and len(ids)
-                else np.ones(len(flat)))
-        return cls(flat, vals, bounds)
-
-    @property
-    def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
-
-    def __len__(self) -> int:
-        return len(self.bounds) - 1
-
-
-def focus(sample: Sample, target: np.ndarray, weight: np.ndarray, buckets: int,
-          min_rows: int = 3, min_gain: float = 6.0) -> np.ndarray:
+    def of(cls, ids: list, values: list | None = None, min_rows: int = 3) -> "Sample":
+        sizes = [len(i) for i in ids]
+        flat = np.concatenate([np.asarray(i, np.int32) for i in ids]) if sum(sizes) else np.zeros(0, np.int32)
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        columns, hits = np.unique(flat, return_counts=True)
+        columns = columns[hits >= min_rows]
+        at = np.searchsorted(columns, flat).astype(np.int32)
+        kept = np.zeros(0, bool) if not len(columns) else columns[np.minimum(at, len(columns) - 1)] == flat
+        if not len(kept):
+            kept = np.zeros(len(flat), bool)
+        value = (np.ones(int(kept.sum()), np.float32) if values is None or not len(flat)
+                 else np.concatenate([np.asarray(v, np.float32) for v in values])[kept])
+        return cls(columns, at[kept], value, row[kept], len(ids))
+
+    def sums(self, per_row: np.ndarray) -> np.ndarray:
+        """Sum of ``per_row`` over the rows that have each feature."""
+        return np.bincount(self.at, weights=per_row[self.row], minlength=len(self.columns))
+
+
+def focus(sample: Sample, target: np.ndarray, weight: np.ndarray, min_gain: float = 6.0) -> np.ndarray:
     """How far a feature's presence shifts the odds of a 0..1 ``target``: |log ratio| of
-    smoothed rates; 0 for features of fewer than ``min_rows`` rows or whose G-test gain
-    (half the G statistic, on row counts) is below ``min_gain``."""
-    rows = sample.rows
-    hits = np.bincount(sample.ids, minlength=buckets).astype(float)
-
-    def rates(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        hit1 = np.bincount(sample.ids, weights=(w * target)[rows], minlength=buckets)
-        hit0 = np.bincount(sample.ids, weights=(w * (1 - target))[rows], minlength=buckets)
-        n1, n0 = max(1e-9, (w * target).sum()), max(1e-9, (w * (1 - target)).sum())
-        return hit1, hit0, (hit1 + 1e-9) / n1, (hit0 + 1e-9) / n0
-
-    hit1, hit0, rate1, rate0 = rates(np.ones(len(target)))
-    mean = (hits + 2e-9) / max(1, len(target))
-    gain = hit1 * np.log(rate1 / mean) + hit0 * np.log(rate0 / mean)
-    hit1, hit0, _, _ = rates(weight)
+    smoothed rates; 0 for features whose G-test gain (half the G statistic, on row
+    counts) is below ``min_gain``."""
+    hit1, hit0 = sample.sums(target), sample.sums(1 - target)
+    n1, n0 = max(1e-9, target.sum()), max(1e-9, (1 - target).sum())
+    mean = (hit1 + hit0 + 2e-9) / (n1 + n0)
+    gain = hit1 * np.log((hit1 + 1e-9) / n1 / mean) + hit0 * np.log((hit0 + 1e-9) / n0 / mean)
+    hit1, hit0 = sample.sums(weight * target), sample.sums(weight * (1 - target))
     n1, n0 = (weight * target).sum(), (weight * (1 - target)).sum()
     ratio = np.log((hit1 + 1) / (n1 + 2)) - np.log((hit0 + 1) / (n0 + 2))
-    return np.where((hits >= min_rows) & (gain >= min_gain), np.abs(ratio), 0.0)
+    return np.where(gain >= min_gain, np.abs(ratio), 0.0)
 
 
 def adam(gradient, start: np.ndarray, steps: int, rate: float = 0.1) -> np.ndarray:
@@ -68,14 +66,29 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+@dataclass
+class Weights:
+    """Weights of the hashed ids in ``columns`` (ascending); all other ids weigh 0."""
+    columns: np.ndarray
+    values: np.ndarray
+
+    def dense(self, buckets: int) -> np.ndarray:
+        full = np.zeros(buckets, np.float32)
+        full[self.columns] = self.values
+        return full
+
+
 class Scorer:
-    """Dense design for the features that matter: ``score = rows x (scale * weight)``."""
+    """Design of the features that matter: ``score = rows x (scale * weight)``."""
 
     def __init__(self, sample: Sample, scale: np.ndarray):
-        used = scale[sample.ids] > 0
-        self.columns, self.at = np.unique(sample.ids[used], return_inverse=True)
-        self.value = sample.values[used] * scale[sample.ids[used]]
-        self.row, self.n, self.scale = sample.rows[used], len(sample), scale
+        matters = scale > 0
+        place = np.cumsum(matters) - 1
+        used = matters[sample.at]
+        self.columns, self.scale = sample.columns[matters], scale[matters]
+        self.at = place[sample.at[used]].astype(np.int32)
+        self.value = sample.value[used] * self.scale[self.at]
+        self.row, self.n = sample.row[used], sample.size
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.value * w[self.at], minlength=self.n)
@@ -83,16 +96,13 @@ class Scorer:
     def pull(self, error: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, weights=self.value * error[self.row], minlength=len(self.columns))
 
-    def weights(self, w: np.ndarray) -> np.ndarray:
-        """Weight of every bucket."""
-        full = np.zeros(len(self.scale), np.float64)
-        full[self.columns] = w * self.scale[self.columns]
-        return full
+    def weights(self, w: np.ndarray) -> Weights:
+        return Weights(self.columns, (w * self.scale).astype(np.float32))
 
 
 def fit_logistic(sample: Sample, target: np.ndarray, weight: np.ndarray, scale: np.ndarray,
-                 l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights of all buckets and intercept for soft 0..1 targets."""
+                 l2: float = 1e-3, steps: int = 150) -> tuple[Weights, float]:
+    """Weights and intercept for soft 0..1 targets."""
     design = Scorer(sample, scale)
     k = len(design.columns)
     total = max(1e-9, weight.sum())
@@ -107,9 +117,9 @@ def fit_logistic(sample: Sample, target: np.ndarray, weight: np.ndarray, scale:
 
 
 def fit_ordinal(sample: Sample, grade: np.ndarray, weight: np.ndarray, scale: np.ndarray, grades: int,
-                l2: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Cumulative-link model ``P(grade <= k) = sigmoid(threshold_k - score)``: shared weights
-    of all buckets, and ordered thresholds (first one free, positive steps after it)."""
+                l2: float = 1e-3, steps: int = 200) -> tuple[Weights, np.ndarray]:
+    """Cumulative-link model ``P(grade <= k) = sigmoid(threshold_k - score)``: shared weights,
+    and ordered thresholds (first one free, positive steps after it)."""
     design = Scorer(sample, scale)
     k, cuts = len(design.columns), grades - 1
     total = max(1e-9, weight.sum())

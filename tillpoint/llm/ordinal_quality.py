@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.llm.common import filter_texts, id_text
 from tillpoint.llm.features import BUCKETS, Hasher, shapes, terms
-from tillpoint.llm.linear import Sample, fit_ordinal, focus, sigmoid
+from tillpoint.llm.linear import Sample, Weights, fit_ordinal, focus, sigmoid
 
 SHAPE_WEIGHT = 8.0  # a shape that all tokens have counts as much as this many terms
 
@@ -48,12 +48,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [features(t, hasher) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("grade"), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
-             pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["grade", "ids", "features"])
+             pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["grade", "ids", "features"])
 
 
 @dataclass
 class OrdinalModel:
-    weights: np.ndarray  # of every hashed feature
+    weights: Weights  # of hashed features
     thresholds: np.ndarray  # ordered, one fewer than grades; empty if nothing could be learnt
 
 
@@ -74,20 +74,20 @@ def rated_sample(df: DataFrame, ratings: DataFrame, grades: int, max_per_grade:
         chosen = chosen.unionByName(known.filter(F.col("grade") == g).orderBy(*order).limit(max_per_grade))
     # At most grades x max_per_grade rows: the bound of the broadcast.
     rows = id_text(df, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    return rows.mapInArrow(_extract, "grade int, ids array<int>, features array<double>").toPandas(), counts
+    return rows.mapInArrow(_extract, "grade int, ids array<int>, features array<float>").toPandas(), counts
 
 
 def fit_rows(rows: pd.DataFrame, counts: np.ndarray) -> OrdinalModel:
     grade = rows["grade"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
     if len(np.unique(grade)) < 2:
-        return OrdinalModel(np.zeros(BUCKETS, np.float32), np.zeros(0))
+        return OrdinalModel(Weights(np.zeros(0, np.int32), np.zeros(0, np.float32)), np.zeros(0))
     sample = Sample.of(list(rows["ids"]), list(rows["features"]))
     drawn = np.bincount(grade, minlength=len(counts))
     weight = (counts / np.maximum(1, drawn))[grade]
     weight = weight / weight.mean()
-    scale = np.max([focus(sample, (grade > g).astype(float), weight, BUCKETS) for g in range(len(counts) - 1)], axis=0)
+    scale = np.max([focus(sample, (grade > g).astype(float), weight) for g in range(len(counts) - 1)], axis=0)
     weights, thresholds = fit_ordinal(sample, grade, weight, scale, len(counts))
-    return OrdinalModel(weights.astype(np.float32), thresholds)
+    return OrdinalModel(weights, thresholds)
 
 
 def fit(df: DataFrame, ratings: DataFrame, grades: int, max_per_grade: int = 1500, id_col: str = "doc_id",
@@ -98,12 +98,10 @@ def fit(df: DataFrame, ratings: DataFrame, grades: int, max_per_grade: int = 150
 
 def _grader(model: OrdinalModel, select_grade: int):
     """Per task: a function from texts to (expected grades, tail probabilities)."""
-    thresholds, used = model.thresholds, np.flatnonzero(model.weights)
-    used_weights = model.weights[used]
+    thresholds, learnt = model.thresholds, model.weights
 
     def start():
-        weights = np.zeros(BUCKETS, np.float32)
-        weights[used] = used_weights
+        weights = learnt.dense(BUCKETS)
         hasher = Hasher()
 
         def grade(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.llm.common import filter_texts, id_text
 from tillpoint.llm.features import BUCKETS, Hasher, bucket, shapes, terms
-from tillpoint.llm.linear import Sample, fit_logistic, focus, sigmoid
+from tillpoint.llm.linear import Sample, Weights, fit_logistic, focus, sigmoid
 
 # A public seed list of insults.
 SEED_TERMS = """
@@ -88,27 +88,25 @@ def labelled_sample(df: DataFrame, labels: DataFrame, max_per_class: int, id_col
 
 
 def mine_terms(sample: Sample, toxic: np.ndarray, count: int = MINED) -> np.ndarray:
-    """Buckets of the terms that stand out most in toxic rows (G-test), found in at
+    """Hashed ids of the terms that stand out most in toxic rows (G-test), found in at
     least three and 2 % of them and at least nine times as often as in clean rows."""
-    rows = sample.rows
     n1, n0 = max(1, toxic.sum()), max(1, (1 - toxic).sum())
-    hit1 = np.bincount(sample.ids, weights=toxic[rows], minlength=BUCKETS)
-    hit0 = np.bincount(sample.ids, weights=1 - toxic[rows], minlength=BUCKETS)
+    hit1, hit0 = sample.sums(toxic), sample.sums(1 - toxic)
     rate1, rate0 = (hit1 + 0.1) / n1, (hit0 + 0.1) / n0
     mean = (hit1 + hit0 + 0.2) / (n1 + n0)
     gain = hit1 * np.log(rate1 / mean) + hit0 * np.log(rate0 / mean)
     gain[(hit1 < np.maximum(3, 0.02 * n1)) | (rate1 < 9 * rate0)] = 0
     best = np.argsort(-gain, kind="stable")[:count]
-    return best[gain[best] > 0]
+    return sample.columns[best[gain[best] > 0]]
 
 
 def votes_of(sample: Sample, patterns: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """rows x voters: 1 toxic, 0 clean, -1 abstains."""
-    place = np.full(BUCKETS, -1, np.int64)
-    place[lexicon] = np.arange(len(lexicon))
-    hit = np.zeros((len(sample), len(lexicon)), bool)
-    at = place[sample.ids]
-    hit[sample.rows[at >= 0], at[at >= 0]] = True
+    """rows x voters: 1 toxic, 0 clean, -1 abstains. ``lexicon``: hashed ids, ascending."""
+    hit = np.zeros((sample.size, len(lexicon)), bool)
+    ids = sample.columns[sample.at]
+    at = np.minimum(np.searchsorted(lexicon, ids), len(lexicon) - 1)
+    found = lexicon[at] == ids
+    hit[sample.row[found], at[found]] = True
     lexical = np.where(hit, 1, -1)
     shown = np.where(patterns > np.array([0.3, 0.3, 0.3]), 1, -1)
     clean = np.where(hit.any(axis=1), -1, 0)[:, None]
@@ -178,7 +176,7 @@ def fit_label_model(votes: np.ndarray, balance: float, rated: np.ndarray, rater:
 
 @dataclass
 class ToxicityModel:
-    weights: np.ndarray  # of every hashed term
+    weights: Weights  # of hashed terms
     intercept: float
     labels: LabelModel | None
 
@@ -192,31 +190,27 @@ def fit(df: DataFrame, labels: DataFrame, max_per_class: int = 2000, id_col: str
 def fit_rows(rows: pd.DataFrame, share: float) -> ToxicityModel:
     toxic = rows["toxic"].to_numpy(float) if len(rows) else np.zeros(0)
     if toxic.sum() == 0:
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), -40.0, None)
+        return ToxicityModel(Weights(np.zeros(0, np.int32), np.zeros(0, np.float32)), -40.0, None)
     sample = Sample.of(list(rows["terms"]))
     patterns = np.stack([np.asarray(p, float) for p in rows["patterns"]])
     lexicon = np.unique(np.concatenate([mine_terms(sample, toxic), [bucket(t) for t in SEED_TERMS]]).astype(np.int64))
     votes = votes_of(sample, patterns, lexicon)
     model, posterior = fit_label_model(votes, share, toxic)
     weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / max(1e-9, 1 - toxic.mean()))
-    weights, intercept = fit_logistic(sample, posterior, weight, focus(sample, posterior, weight, BUCKETS))
-    return ToxicityModel(weights.astype(np.float32), intercept, model)
+    weights, intercept = fit_logistic(sample, posterior, weight, focus(sample, posterior, weight))
+    return ToxicityModel(weights, intercept, model)
 
 
 def _scores(model: ToxicityModel):
     """Per task: a function from texts to scores."""
     weights, intercept = model.weights, model.intercept
-    used = np.flatnonzero(weights)
-    used_weights = weights[used]
 
     def start():
-        dense = np.zeros(BUCKETS, np.float32)
-        dense[used] = used_weights
+        dense = weights.dense(BUCKETS)
         hasher = Hasher()
         return lambda texts: sigmoid(np.array(
             [float(dense[np.unique(hasher(terms(t)))].sum(dtype=np.float64)) + intercept for t in texts], float))
 
-    del weights
     return start
 
 
