@@ -238,8 +238,6 @@ def test_approximate_distinct_option_is_close(spark, wh):
 def test_orphans_count_rows_and_null_keys(spark):
     child = spark.createDataFrame([(1,), (1,), (2,), (None,), (9,), (9,), (9,)], "k long")
     parent = spark.createDataFrame([(1,), (1,), (2,)], "k long")
-    with_null = A.orphan_rows(child, "k", parent, "k").collect()[0].orphans
-    fk_style = A.orphan_rows(child, "k", parent, "k", skip_null=True).collect()[0].orphans
-    assert (with_null, fk_style) == (4, 3)
-    none = A.orphan_rows(parent, "k", parent, "k").collect()[0].orphans
-    assert none == 0
+    checks = [("child", child, parent, "k"), ("parent", parent, parent, "k"), ("empty", child.filter("k = 1"), parent, "k")]
+    got = rows(A.referential_integrity(checks), ["check_name", "orphan_count"])
+    assert got == [("child", 4), ("empty", 0), ("parent", 0)]

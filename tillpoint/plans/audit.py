@@ -149,32 +149,29 @@ def price_anomalies(t: DataFrame, p: DataFrame, max_discount: float = 0.70,
 
 
 # J05 ----------------------------------------------------------------------------
-def orphan_rows(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str,
-                skip_null: bool = False) -> DataFrame:
-    """One row: how many child rows have no parent row on the key.
-
-    The child is first reduced to (key, rows) by partial aggregation, so the
-    anti join shuffles distinct keys instead of fact rows; the parent is reduced
-    to its distinct keys. A NULL child key never matches, so it counts as an
-    orphan unless ``skip_null`` (SQL foreign keys allow NULL)."""
-    keys = child.select(F.col(child_key).alias("_k"))
-    if skip_null:
-        keys = keys.filter(F.col("_k").isNotNull())
-    per_key = keys.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    parents = parent.select(F.col(parent_key).alias("_k")).distinct()
-    return (per_key.join(parents, "_k", "left_anti")
-                   .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("orphans")))
-
-
 def referential_integrity(checks: list[tuple[str, DataFrame, DataFrame, str]]) -> DataFrame:
     """Orphan counts: child rows with no parent on ``key`` (a NULL child key is an orphan).
 
-    checks: (label, child, parent, key); each is an anti join of distinct keys
-    (see ``orphan_rows``)."""
-    parts = [orphan_rows(child, key, parent, key)
-             .select(F.lit(label).alias("check_name"), F.col("orphans").alias("orphan_count"))
-             for label, child, parent, key in checks]
-    return reduce(DataFrame.unionByName, parts)
+    checks: (label, child, parent, key). Each child is read once: all its audited keys
+    are tagged and reduced to (check, key, rows) by partial aggregation, so one anti
+    join of distinct keys, not of fact rows, serves all checks; each parent key is read
+    once too."""
+    parents: dict[tuple[int, str], tuple[int, DataFrame]] = {}
+    children: dict[int, tuple[DataFrame, list]] = {}
+    for i, (_, child, parent, key) in enumerate(checks):
+        tag, _ = parents.setdefault((id(parent), key), (len(parents), parent))
+        children.setdefault(id(child), (child, []))[1].append(
+            F.struct(F.lit(i).alias("_c"), F.lit(tag).alias("_p"), F.col(key).cast("string").alias("_k")))
+    per_key = reduce(DataFrame.unionByName, [
+        child.select(F.inline(F.array(*tagged))).groupBy("_c", "_p", "_k").agg(F.count(F.lit(1)).alias("_n"))
+        for child, tagged in children.values()])
+    known = reduce(DataFrame.unionByName, [
+        parent.select(F.lit(tag).alias("_p"), F.col(key).cast("string").alias("_k")).distinct()
+        for (_, key), (tag, parent) in parents.items()])
+    wide = per_key.join(known, ["_p", "_k"], "left_anti").agg(*[
+        F.coalesce(F.sum(F.when(F.col("_c") == i, F.col("_n"))), F.lit(0)).cast("long").alias(f"v{i}")
+        for i in range(len(checks))])
+    return _stack(wide, [(label, f"v{i}") for i, (label, *_) in enumerate(checks)], ["orphan_count"], ["check_name"])
 
 
 def default_integrity_checks(w) -> list:
