@@ -44,7 +44,8 @@ from tillpoint.llm.components import connected_components
 BANDS, ROWS = 48, 6
 MANTISSA = 10  # bits
 MARGIN = 0.125  # the estimate may be this far below the threshold
-BLOCK = 400  # classes of a chunk of a bucket; two chunks are compared at a time
+BLOCK = 2000  # classes of a chunk of a bucket; two chunks are compared at a time
+BLOCK_SHINGLES = 1 << 20  # and shingles of a chunk
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -187,10 +188,11 @@ def near_groups(df: DataFrame, words: int = 5, threshold: float = 0.8, bands: in
     classes = staged(usable.groupBy("set_id", "n_shingles", "registers").agg(F.min("doc_id").alias("rep")), "classes")
     keys = (f"inline(transform(sequence(0, {bands - 1}), "
             f"b -> struct(b, xxhash64(substring(registers, b * {2 * rows} + 1, {2 * rows}), b) AS band)))")
-    banded = classes.selectExpr("rep", keys)
-    shared = (banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("first"))
+    banded = classes.selectExpr("rep", "n_shingles", keys)
+    shared = (banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("first"),
+                                         F.sum("n_shingles").alias("shingles"))
               .filter("members > 1"))
-    in_bucket = staged(banded.join(shared, "band"), "members")
+    in_bucket = staged(banded.drop("n_shingles").join(shared, "band"), "members")
     sketch = classes.select("rep", "n_shingles", "registers")
 
     # Full sets, from the whole texts, of the classes that share a bucket with another.
@@ -213,11 +215,11 @@ def near_groups(df: DataFrame, words: int = 5, threshold: float = 0.8, bands: in
     # Buckets of three or more that are not yet one component: compare what is left.
     labelled = (in_bucket.filter("members > 2")
                 .join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
-                .select("band", "b", "members", "rep", F.coalesce("component", "rep").alias("comp")))
+                .select("band", "b", "members", "shingles", "rep", F.coalesce("component", "rep").alias("comp")))
     # Any difference of least and greatest shows more than one component; a map-side aggregate.
     open_bands = (labelled.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("greatest"))
                   .filter("least <> greatest").select("band"))
-    chunks = F.ceil(F.col("members") / BLOCK).cast("int")
+    chunks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     blocks = (labelled.join(open_bands, "band")
               .withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
