@@ -113,7 +113,9 @@ def duplicate_rows(t: DataFrame, keys=DEDUP_KEYS, order_col: str = "transaction_
     chunk = F.col("_chunk") * COPIES_PER_CHUNK
     dealt = (ranked.select(order_col, *keys, "occurrence_count", first.alias("_first"), "_m")
              .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), idiv(F.col("_m") - 1, COPIES_PER_CHUNK))))
-             .repartition(F.xxhash64(*keys, order_col, "_chunk")))
+             # a given number: AQE would merge the few, small chunk rows into one task
+             .repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                          F.xxhash64(*keys, order_col, "_chunk")))
     return (dealt.withColumn("_nth", F.explode(F.sequence(
                 chunk + 1, F.least(chunk + COPIES_PER_CHUNK, F.col("_m")))))
             .select(order_col, *keys, "occurrence_count", (F.col("_first") + F.col("_nth")).alias("row_rank")))
