@@ -74,7 +74,7 @@ def rated_sample(df: DataFrame, ratings: DataFrame, grades: int, max_per_grade:
         chosen = chosen.unionByName(known.filter(F.col("grade") == g).orderBy(*order).limit(max_per_grade))
     # At most grades x max_per_grade rows: the bound of the broadcast.
     rows = id_text(df, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    return rows.mapInArrow(_extract, "grade int, ids array<int>, features array<float>").toPandas(), counts
+    return rows.mapInArrow(_extract, "grade int, ids array<int>, features array<float>").toArrow().to_pandas(), counts
 
 
 def fit_rows(rows: pd.DataFrame, counts: np.ndarray) -> OrdinalModel:

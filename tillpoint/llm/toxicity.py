@@ -84,7 +84,7 @@ def labelled_sample(df: DataFrame, labels: DataFrame, max_per_class: int, id_col
         known.filter("toxic = 0").orderBy(*order).limit(max_per_class))
     # At most 2 x max_per_class rows: the bound of the broadcast.
     rows = id_text(df, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    return rows.mapInArrow(_extract, "toxic int, terms array<int>, patterns array<double>").toPandas(), share
+    return rows.mapInArrow(_extract, "toxic int, terms array<int>, patterns array<double>").toArrow().to_pandas(), share
 
 
 def mine_terms(sample: Sample, toxic: np.ndarray, count: int = MINED) -> np.ndarray:
