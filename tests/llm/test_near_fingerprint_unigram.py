@@ -143,6 +143,20 @@ def test_lexicon_band(spark):
     assert kept == {mid}
 
 
+def test_copies_count_once_in_the_lexicon(spark):
+    """A third of the rows are copies of one text: the lexicon is that of the distinct texts,
+    and the copies keep signatures of their own terms."""
+    single = [(i, " ".join([sentence(i * 17, 30)] + [f"mid{i % 25 * 40 + k}" for k in range(40)])) for i in range(200)]
+    docs = spark.createDataFrame(single + [(1000 + i, single[7][1]) for i in range(100)], "doc_id long, text string")
+    kept = {r["term"] for r in imatch.lexicon(docs, 0.003, 0.2).collect()}
+    plain = spark.createDataFrame(single, "doc_id long, text string")
+    assert kept == {r["term"] for r in imatch.lexicon(plain, 0.003, 0.2).collect()} and len(kept) >= 1000
+    hot = [r for r in imatch.fingerprints(docs).collect() if r["doc_id"] == 7 or r["doc_id"] >= 1000]
+    assert len(hot) == 101 and len({r["fingerprint"] for r in hot}) == 1
+    changed = [r for r in hot if r["edited_fingerprint"] != r["fingerprint"]]
+    assert changed and all(r["near_edited"] > 0 for r in changed)
+
+
 @pytest.fixture(scope="module")
 def model_pair(tmp_path_factory):
     """The same pieces with scores of two binary digits, for us and for the library."""

@@ -1,7 +1,8 @@
 """I-Match document fingerprints, by DataFrame functions only.
 
-A corpus pass counts in how many documents each term occurs. The lexicon is the terms
-of a band of inverse document frequency: neither too common nor too rare. A document's
+A corpus pass counts in how many distinct texts each term occurs, so that copies of one
+text, however many, count once. The lexicon is the terms of a band of inverse document
+frequency: neither too common nor too rare. A document's
 kept terms, distinct and sorted, are hashed once for each of several randomised subsets
 of the lexicon; subset ``s`` holds a term if a hash of (term, s) falls below the
 subset's share. Shares go down in powers of four, so that texts that differ in many
@@ -9,9 +10,9 @@ terms still agree in the signatures of some thin subsets. The fingerprint is the
 of signatures; likeness of two is the share of equal ones among the subsets in which
 either text has a term.
 
-The lexicon's size is bounded whatever the number N of documents: a kept term occurs
-in at least ``min_share * N`` of them, so there are at most (mean distinct terms per
-document) / ``min_share`` kept terms. It is broadcast on that bound.
+The lexicon's size is bounded whatever the number N of distinct texts: a kept term
+occurs in at least ``min_share * N`` of them, so there are at most (mean distinct terms
+per text) / ``min_share`` kept terms. It is broadcast on that bound.
 
 Edge cases: null text is the empty text; a text without kept terms is signed by the
 hash of all its terms in every subset (texts without any term are alike); the next
@@ -41,9 +42,10 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, min_share: float, max_share: float) -> DataFrame:
-    """Column ``term``: hashes of the terms whose document frequency is in the band."""
-    total = docs.count()
-    counts = (docs.select(F.explode(term_hashes(F.col("text"))).alias("term"))
+    """Column ``term``: hashes of the terms whose frequency over the distinct texts is in the
+    band. A hot text is reduced to one row in each map task before it is moved."""
+    total = docs.select(F.unhex(F.sha2("text", 256)).alias("digest")).distinct().count()
+    counts = (docs.select("text").distinct().select(F.explode(term_hashes(F.col("text"))).alias("term"))
               .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     return counts.filter((F.col("n") >= min_share * total) & (F.col("n") <= max(1.0, max_share * total))).select("term")
 
