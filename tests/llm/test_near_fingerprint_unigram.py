@@ -135,6 +135,34 @@ def test_neighbours_over_sparse_ids(spark):
     assert got == {i: ids[k - 1] for k, i in enumerate(ids)}
 
 
+def test_no_task_sorts_all_sparse_places(spark):
+    """Ids spread by more than 2**24 are numbered in several tasks; a window over the whole
+    table would read them all in one. Only the partitions' counts pass through one task."""
+    places = spark.range(20_000).select((F.col("id") * ((1 << 24) + 3) - (1 << 37)).alias("place"))
+    linked = imatch.neighbours(places)
+    got = {r["place"]: r["next_place"] for r in linked.collect()}
+    ids = sorted(got)
+    assert len(ids) == 20_000 and got == {i: ids[k - 1] for k, i in enumerate(ids)}
+    assert max(single_task_rows(linked), default=0) <= 64
+
+
+def single_task_rows(df):
+    """Rows that went through each exchange to a single partition, from the executed plan."""
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            yield from walk(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            yield from walk(node.plan())
+        else:
+            if name == "ShuffleExchangeExec" and "SinglePartition" in node.outputPartitioning().toString():
+                yield node.metrics().apply("shuffleRecordsWritten").value()
+            children = node.children()
+            for i in range(children.size()):
+                yield from walk(children.apply(i))
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
 def test_lexicon_band(spark):
     docs = spark.createDataFrame([(i, "common " + ("mid " if i < 4 else "") + f"rare{i}") for i in range(20)],
                                  "doc_id long, text string")

@@ -24,14 +24,14 @@ neighbour; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import id_text, staged
+from tillpoint.operators.rank import global_row_number
 
 # Subsets of the lexicon: (share of its terms, number of subsets with that share).
 SUBSETS = ((1.0, 1), (1 / 4, 4), (1 / 16, 12), (1 / 64, 12), (1 / 256, 12), (1 / 1024, 12))
-SPAN = 4096  # ids of a bucket when neighbours are looked up
 NULL_PLACE = -(1 << 63)  # a null doc_id comes after all others
 
 
@@ -84,20 +84,12 @@ def as_text(signed: Column) -> Column:
 
 def neighbours(places: DataFrame) -> DataFrame:
     """``places``: distinct ``place`` (long). Adds ``next_place``, the next in descending order
-    (after the last: the first). No window spans the table: places are looked up inside
-    buckets of ``SPAN``, then buckets inside buckets, then the few that are left."""
-    laid = (places.withColumn("b1", F.expr(f"place div {SPAN}"))
-            .withColumn("b2", F.expr(f"place div {SPAN * SPAN}")))
-    inside = laid.withColumn("inner", F.lead("place").over(
-        Window.partitionBy("b1").orderBy(F.col("place").desc())))
-    tops1 = laid.groupBy("b2", "b1").agg(F.max("place").alias("top"))
-    after1 = tops1.withColumn("after1", F.lead("top").over(Window.partitionBy("b2").orderBy(F.col("b1").desc())))
-    tops2 = tops1.groupBy("b2").agg(F.max("top").alias("top"))
-    down = Window.orderBy(F.col("b2").desc())
-    whole = Window.orderBy(F.col("b2").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after2 = tops2.select("b2", F.coalesce(F.lead("top").over(down), F.max("top").over(whole)).alias("after2"))
-    ends = after1.join(after2, "b2").select("b1", F.coalesce("after1", "after2").alias("after"))
-    return inside.join(ends, "b1").select("place", F.coalesce("inner", "after").alias("next_place"))
+    (after the last: the first). Places are numbered in range partitions, however sparse
+    they are, and each is joined with the one numbered after it."""
+    numbered = global_row_number(places.select("place"), [F.col("place").desc()], "number", total_out="total")
+    before = F.when(F.col("number") == 1, F.col("total")).otherwise(F.col("number") - 1)
+    nexts = numbered.select(F.col("place").alias("next_place"), before.alias("number"))
+    return numbered.join(nexts, "number").select("place", "next_place")
 
 
 def with_next_head(docs: DataFrame, links: DataFrame) -> DataFrame:
