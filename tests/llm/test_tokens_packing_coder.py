@@ -99,6 +99,34 @@ def test_slots_cover_every_rank_once(demand):
     assert set(fill) == set(range(plan.sequences)) and max(fill.values(), default=0) <= 32
 
 
+@pytest.mark.parametrize("scale", [1, 7, 8, 500])
+def test_little_padding_at_any_count_with_one_hot_length(scale):
+    """A hot length above half the capacity has too few short pieces to fill up with: at every
+    count the padding is at most a thousandth of the ids and the plan stays small."""
+    demand = {n: scale for n in range(3, 300, 41)} | {700: 1001 * scale, 901: 13 * scale}
+    plan = cutting_stock.plan_slots(demand, 1024)
+    fill, covered = Counter(), Counter()
+    for n, first, last, each, sequence, offset, cut, length in plan.rows:
+        for at in range(last - first):
+            assert offset + at % each * n + length <= 1024
+            fill[sequence + at // each] += length
+            covered[n, first + at] += length
+    assert covered == {(n, r): n for n, k in demand.items() for r in range(k)}
+    assert set(fill) == set(range(plan.sequences))
+    assert sum(1024 - n for n in fill.values() if n & (n - 1)) <= 1e-3 * sum(fill.values())
+    assert plan.cuts <= plan.sequences + 1024 and len(plan.rows) < 4 * 1024 * len(demand)
+
+
+def test_packing_is_the_same_when_cuts_are_not_broadcast(spark, monkeypatch):
+    rows = [(i, " ".join(["word"] * 700)) for i in range(20)] + [(99, "short text")]
+    packed = cutting_stock.pack(spark.createDataFrame(rows, "doc_id long, text string"),
+                                f"{TOKENIZERS}/byte_bpe_50k.json")
+    assert packed.n_cuts > 0
+    expected = sorted(packed.digests().collect())
+    monkeypatch.setattr(cutting_stock, "BROADCAST_CUTS", 0)
+    assert sorted(packed.digests().collect()) == expected
+
+
 def test_patterns_reach_the_volume_bound():
     rng = np.random.default_rng(3)
     lengths, counts = np.unique(rng.integers(1, 200, 50_000), return_counts=True)

@@ -4,14 +4,16 @@ Documents become token ids, cut into full sequences and one remainder. How many
 pieces have each length is a histogram of at most ``capacity`` rows; a linear
 program over packing patterns covers it with the fewest sequences. Columns
 (patterns) are priced by an unbounded-knapsack dynamic program on the dual prices
-and enter a revised simplex until the bound is met. The patterns, rounded down,
-give each length ranges of ranks; pieces are ranked inside their length by a
-distributed numbering and look their range up. What rounding leaves over is laid
-end to end and cut at sequence borders; the last, short rest becomes sequences
-whose lengths are powers of two, which need no padding.
+and enter a revised simplex until the cover is proven near its optimum. The patterns,
+rounded down, give each length ranges of ranks; pieces are ranked inside their length
+by a distributed numbering and look their range up. Patterns that leave padding are
+used, those that leave least first, while all their padding stays within a stated share
+of the ids, whatever the number of pieces. The pieces of the others and what rounding
+leaves over are laid end to end and cut at sequence borders; the last, short rest
+becomes sequences whose lengths are powers of two, which need no padding.
 
-Only the histogram and the pattern table (bounded by ``capacity``) pass through the
-driver. Ids stay in the staged pieces table.
+Only the histogram and the table of slots (bounded by the square of ``capacity``,
+whatever the number of pieces) pass through the driver. Ids stay in the staged pieces table.
 
 Edge cases: null or empty text is the end id alone; very long texts give many full
 sequences; repeated rows are separate documents; a null doc_id is kept as null; an
@@ -23,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from tillpoint.llm.common import id_text, rank_in_class, staged, text_bytes
 from tillpoint.llm.tokens import chunks, tokenizer_text, worker_encoder
 
+BROADCAST_CUTS = 200_000
 PIECE_DDL = "piece_id long, doc_id long, doc_tokens long, start long, length int, ids binary"
 
 
@@ -118,11 +122,10 @@ def first_basis(lengths: np.ndarray, need: np.ndarray,
     return patterns, amount, inverse
 
 
-def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3,
-                   max_columns: int = 400) -> list[tuple[Counter, float]]:
+def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3) -> list[tuple[Counter, float]]:
     """Column generation: [(pattern {length: pieces}, sequences)], covering ``demand``
-    exactly. Stops at optimality, or when the sequences used are within ``gap`` of the
-    volume bound, or after ``max_columns`` columns (any of these is a valid cover)."""
+    exactly. Columns enter until the sequences used are proven within ``gap`` of the
+    optimum, by the volume bound or by Farley's bound (cost over the best column's value)."""
     lengths = np.array(sorted(demand), np.int64)
     need = np.array([demand[int(n)] for n in lengths], float)
     m = len(lengths)
@@ -131,11 +134,10 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3,
 
     patterns, amount, inverse = first_basis(lengths, need, capacity)
     bound = float((lengths * need).sum()) / capacity
-    for _ in range(max_columns):
-        if amount.sum() <= bound * (1 + gap):
-            break
+    while amount.sum() > bound * (1 + gap):
         value, pattern = best_pattern(lengths, inverse.sum(axis=0), capacity)
-        if value <= 1 + 1e-7:
+        bound = max(bound, float(amount.sum()) / value)
+        if value <= 1 + 1e-7 or amount.sum() <= bound * (1 + gap):
             break
         step = (inverse[:, list(pattern)] * np.array(list(pattern.values()))).sum(axis=1)
         rows = np.flatnonzero(step > 1e-9)
@@ -154,10 +156,14 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3,
 class Slots:
     """Ranks ``first <= rank < last`` of pieces of ``length`` go, ``each`` to a sequence,
     to sequences from ``sequence`` on, the first at ``offset``. A cut piece has one row
-    for each part: ids from ``cut_start``, ``cut_length`` of them."""
+    for each part: ids from ``cut_start``, ``cut_length`` of them. ``cuts``: how many cuts."""
     rows: list[tuple]
     sequences: int
 
+    @property
+    def cuts(self) -> int:
+        return sum(row[2] - row[1] for row in self.rows if row[6])
+
 
 SLOT_DDL = ("length int, first long, last long, each int, sequence long, offset int, cut_start int, "
             "cut_length int")
@@ -167,20 +173,27 @@ def powers_of_two(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def plan_slots(demand: dict[int, int], capacity: int, gap: float = 1e-3, cut_below: int = 8) -> Slots:
-    """Whole patterns first (rounded down), then the rest laid end to end and cut. A
-    pattern that leaves padding is used only from ``cut_below`` sequences on; below,
-    its pieces join the rest, which so stays within ``cut_below`` sequences a pattern."""
+def plan_slots(demand: dict[int, int], capacity: int, gap: float = 1e-3, max_padding: float = 1e-3) -> Slots:
+    """Whole patterns first (rounded down), then the rest laid end to end and cut. Patterns
+    that leave padding are used while it is at most ``max_padding`` of all ids in total;
+    the pieces of the others join the rest. Of the rest, equal pieces that fill sequences
+    exactly are laid as one round of at most ``capacity`` pieces, repeated; so fewer than
+    ``capacity`` of each length are listed one by one."""
     left, taken, rows, sequence = dict(demand), Counter(), [], 0
     full = left.pop(capacity, 0)
     solved = [(Counter({capacity: 1}), float(full))] if full else []
     left_or_full = dict(demand)
     solved += solve_patterns(left, capacity, gap)
-    for pattern, amount in sorted(solved, key=lambda s: -s[1]):
-        times = min([int(amount + 1e-6), *(left_or_full[n] // k for n, k in pattern.items())])
+    def padding(pattern: Counter) -> int:
         filled = sum(n * k for n, k in pattern.items())
-        if times <= 0 or times < cut_below and filled < capacity and filled & (filled - 1):
+        return capacity - filled if filled & (filled - 1) else 0
+
+    allowed = int(max_padding * sum(n * k for n, k in demand.items()))
+    for pattern, amount in sorted(solved, key=lambda s: (padding(s[0]), -s[1])):
+        times = min([int(amount + 1e-6), *(left_or_full[n] // k for n, k in pattern.items())])
+        if times <= 0 or times * padding(pattern) > allowed:
             continue
+        allowed -= times * padding(pattern)
         offset = 0
         for n, k in sorted(pattern.items(), reverse=True):
             rows.append((n, taken[n], taken[n] + times * k, k, sequence, offset, 0, n))
@@ -188,6 +201,18 @@ def plan_slots(demand: dict[int, int], capacity: int, gap: float = 1e-3, cut_bel
             left_or_full[n] -= times * k
             offset += n * k
         sequence += times
+    for n in sorted(left_or_full, reverse=True):
+        pieces = capacity // gcd(n, capacity)  # fill n // gcd sequences
+        times = left_or_full[n] // pieces
+        for k in range(pieces if times else 0):
+            nth, offset = divmod(k * n, capacity)
+            part, first = min(n, capacity - offset), taken[n] + k * times
+            rows.append((n, first, first + times, 1, sequence + nth * times, offset, 0, part))
+            if part < n:
+                rows.append((n, first, first + times, 1, sequence + (nth + 1) * times, 0, part, n - part))
+        taken[n] += pieces * times
+        left_or_full[n] -= pieces * times
+        sequence += pieces * n // capacity * times
     rest = [n for n in sorted(left_or_full, reverse=True) for _ in range(left_or_full[n])]
     total = sum(rest)
     borders = [capacity] * (total // capacity) + powers_of_two(total % capacity)
@@ -208,9 +233,10 @@ def plan_slots(demand: dict[int, int], capacity: int, gap: float = 1e-3, cut_bel
 @dataclass
 class Packing:
     """``pieces``: the staged ids (piece_id, doc_id, doc_tokens, start, length, ids);
-    ``places``: piece_id, cut_start, cut_length, sequence_id, offset."""
+    ``places``: piece_id, cut_start, cut_length, sequence_id, offset; ``n_cuts``: cuts in them."""
     pieces: DataFrame
     places: DataFrame
+    n_cuts: int
 
     def parts(self) -> DataFrame:
         """One row per part of a document that lies in a sequence, with its ids."""
@@ -228,14 +254,14 @@ class Packing:
             F.aggregate(listed, F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
     def digests(self) -> DataFrame:
-        """``parts`` with the crc32 of the ids instead of the ids; ids are not shuffled.
-        Cut pieces come from the rest of the rounding, at most two for each pattern:
-        their places are a bounded table and are broadcast to the scan of the ids."""
+        """``parts`` with the crc32 of the ids instead of the ids. Up to ``BROADCAST_CUTS`` cuts
+        are broadcast to the scan of the ids, which are then not shuffled."""
         uncut = (F.col("cut_start") == 0) & (F.col("cut_length") == F.col("length"))
         cuts = (self.places.filter(~uncut).groupBy("piece_id")
                 .agg(F.collect_list(F.struct("cut_start", "cut_length")).alias("cuts")))
+        cuts = F.broadcast(cuts) if self.n_cuts <= BROADCAST_CUTS else cuts.hint("merge")
         whole = F.array(F.struct(F.lit(0).alias("cut_start"), F.col("length").alias("cut_length")))
-        parts = (self.pieces.join(F.broadcast(cuts), "piece_id", "left")
+        parts = (self.pieces.join(cuts, "piece_id", "left")
                  .withColumn("cut", F.explode(F.coalesce("cuts", whole)))
                  .select("piece_id", "doc_id", "doc_tokens", "start", F.col("cut.cut_start").alias("cut_start"),
                          F.expr("crc32(substring(ids, cut.cut_start * 4 + 1, cut.cut_length * 4))").alias("ids_crc32")))
@@ -255,9 +281,10 @@ def pack(df: DataFrame, tokenizer_path: str, spaces_matter: bool = True, end_id:
     pieces = staged(docs.mapInArrow(cut, PIECE_DDL), "pieces")
     demand = {r["length"]: r["n"] for r in
               pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = spark.createDataFrame(plan_slots(demand, capacity, gap).rows, SLOT_DDL)
+    plan = plan_slots(demand, capacity, gap)
+    slots = spark.createDataFrame(plan.rows, SLOT_DDL)
     ranked = rank_in_class(pieces.select("piece_id", "length"), ["length"], ["piece_id"], "rank", lanes)
-    # At most one row per (pattern, length) and per cut: bounded by the capacity.
+    # Rows per (pattern, length), per piece of a round and per listed part: bounded by the capacity.
     at = F.col("rank") - F.col("first")
     places = (ranked.alias("r").join(F.broadcast(slots).alias("s"),
                                      (F.col("r.length") == F.col("s.length"))
@@ -265,4 +292,4 @@ def pack(df: DataFrame, tokenizer_path: str, spaces_matter: bool = True, end_id:
               .select("piece_id", F.col("r.length").alias("length"), "cut_start", "cut_length",
                       (F.col("sequence") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"),
                       (F.col("offset") + (at % F.col("each")) * F.col("r.length")).cast("int").alias("offset")))
-    return Packing(pieces, staged(places, "places"))
+    return Packing(pieces, staged(places, "places"), plan.cuts)
