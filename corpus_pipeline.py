@@ -50,8 +50,9 @@ STAGES = [
     ("packing", packing),
 ]
 
-# Trained classifiers, MinHash and the packing are not expressible in SQL; the stages
-# are tested against brute force (tests/llm/).
+# Trained classifiers, MinHash and the packing are not expressible in SQL. The classifiers'
+# stages are tested against their operators' scores, the other stages and ``run`` against
+# brute force (tests/llm/test_queries.py).
 ORACLE_SQL = None
 
 

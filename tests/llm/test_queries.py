@@ -1,10 +1,18 @@
 """The registered queries against SQL or brute force, and the pipeline's stages."""
 
+import zlib
+from collections import defaultdict
+
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tillpoint.llm import queries
+from tillpoint.llm import ordinal_quality, queries, toxicity
+from tillpoint.llm.common import staged
+
+from .test_near_fingerprint_unigram import brute_components
+from .test_tokens_packing_coder import library_ids
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +60,56 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r["doc_id"] for r in packed} == seen
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_equals_scores_and_brute_force(spark):
+    """Each stage keeps what its operator's scores or brute force keep and removes something;
+    ``run`` gives the ids of what the stages keep one after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def quality(d):
+        model = ordinal_quality.fit(d, queries.ratings(labels), grades=3)
+        return {r["doc_id"] for r in ordinal_quality.score(d, model).collect() if r["tail_probability"] >= 0.5}
+
+    def clean(d):
+        return {r["doc_id"] for r in toxicity.score(d, toxicity.fit(d, labels)).collect() if r["score"] < 0.3}
+
+    def last_of_copies(d):
+        return set({r["text"]: r["doc_id"] for r in sorted(d.collect(), key=lambda r: r["doc_id"])}.values())
+
+    def one_of_near(d):
+        groups = brute_components([(r["doc_id"], r["text"]) for r in d.collect()], 5, 80)
+        return {i for i, (_, smallest) in groups.items() if i == smallest}
+
+    for name, expected in (("quality", quality), ("toxicity", clean), ("exact_dedup", last_of_copies),
+                           ("near_dedup", one_of_near)):
+        kept = staged(stages[name](spark, docs, SF), name)
+        ids = [r["doc_id"] for r in kept.collect()]
+        before = docs.count()
+        print(name, before, len(ids))
+        assert sorted(ids) == sorted(expected(docs)), name
+        assert len(ids) < before, name
+        docs = kept
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    tokens = dict(zip(texts, library_ids("byte_bpe_50k.json", list(texts.values()))))
+    sequences, parts = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        assert r["doc_tokens"] == len(tokens[r["doc_id"]])
+        piece = np.array(tokens[r["doc_id"]][r["start"]:r["start"] + r["length"]], "<u4")
+        assert r["ids_crc32"] == zlib.crc32(piece.tobytes())
+        parts[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+
+    def end_to_end(spans):
+        at = 0
+        for start, length in sorted(spans):
+            assert start == at
+            at += length
+        return at
+
+    assert {i: end_to_end(p) for i, p in parts.items()} == {i: len(t) for i, t in tokens.items()}
+    assert sorted(sequences) == list(range(len(sequences)))
+    assert max(end_to_end(p) for p in sequences.values()) <= 1024
