@@ -69,6 +69,16 @@ def test_split_does_not_sort_or_shuffle_the_frame(spark):
         (0, "train"): 1125, (0, "test"): 375, (1, "train"): 1125, (1, "test"): 375}
 
 
+def test_codes_of_a_column_of_many_values(spark):
+    """No window numbers all values of a column."""
+    df = spark.range(20_000).select(F.format_string("v%06d", F.col("id") * 7).alias("wide"),
+                                    F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("small"))
+    codes = K.categorical_codes(df, {"small": "none", "wide": "none"})
+    assert "row_number(" not in codes._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["_c"], r["_v"], r["_code"]) for r in codes.collect()) == [
+        (0, "none", 0), (0, "s1", 1), (0, "s2", 2)] + [(1, f"v{i * 7:06d}", i) for i in range(20_000)]
+
+
 def test_global_rank_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 7.0), (4, None), (5, 1.0), (6, None)], "id long, v double")
     assert rows(global_rank(df, "v", "r"), ["id", "r"]) == [(1, 2), (2, 2), (3, 1), (4, 5), (5, 4), (6, 5)]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions import labels as L
 from tillpoint.functions.exprs import dbl, hash_uniform, nz, ratio, round_up, weekday_mon0
-from tillpoint.operators.rank import prefix_sum
+from tillpoint.operators.rank import global_row_number, prefix_sum
 from tillpoint.operators.sampling import cut_values, hash_order_key
 
 UNB = Window.unboundedPreceding
@@ -80,11 +80,15 @@ def return_label(scored: DataFrame, seed: int = 42) -> DataFrame:
 def categorical_codes(df: DataFrame, fills: dict[str, str]) -> DataFrame:
     """(_c, _v, _code): each column's distinct values (NULL filled first) and their
     0-based position in sorted order. All columns share one pass and one map-side
-    aggregate; a window numbers the distinct values of a column."""
+    aggregate; the distinct values of all columns are numbered in range partitions, from
+    which each column's first number (a row per column, broadcast) is subtracted."""
     values = F.array(*[F.struct(F.lit(i).alias("_c"), F.coalesce(F.col(c), F.lit(fill)).alias("_v"))
                        for i, (c, fill) in enumerate(fills.items())])
     distinct = df.select(F.inline(values)).distinct()
-    return distinct.withColumn("_code", F.row_number().over(Window.partitionBy("_c").orderBy("_v")) - 1)
+    numbered = global_row_number(distinct, [F.col("_c"), F.col("_v")], "_number")
+    firsts = numbered.groupBy("_c").agg(F.min("_number").alias("_first_number"))
+    return (numbered.join(F.broadcast(firsts), "_c")
+            .select("_c", "_v", (F.col("_number") - F.col("_first_number")).alias("_code")))
 
 
 def categorical_index(df: DataFrame, fills: dict[str, str] | None = None,
