@@ -132,6 +132,27 @@ def test_warc_detects_a_damaged_payload(spark):
         warc_store.read_index(spark, path).collect()
 
 
+def test_warc_detects_a_wrong_content_length(spark):
+    path = shared_folder(spark, "t")
+    warc_store.write_archive(pages(spark, [(1, "u", "<p>x</p>", "", "")]), path)
+    heads = [(r["page_id"], r["digest"], bytes(r["head"]).replace(b"Content-Length: 8", b"Content-Length: 9"))
+             for r in spark.read.parquet(f"{path}/headers").collect()]
+    spark.createDataFrame(heads, "page_id long, digest string, head binary").write.mode("overwrite").parquet(
+        f"{path}/headers")
+    for read in (warc_store.read_index, warc_store.read_records):
+        with pytest.raises(Exception, match="Content-Length does not match"):
+            read(spark, path).collect()
+
+
+def test_the_query_reconstructs_records(spark, monkeypatch):
+    """The registered query reads whole records: it fails where they cannot be reconstructed."""
+    from tillpoint.llm import queries
+
+    monkeypatch.setattr(warc_store, "read_records", lambda *_: (_ for _ in ()).throw(RuntimeError("records")))
+    with pytest.raises(RuntimeError, match="records"):
+        queries.op9_warc_store(spark, "/root/testdata/sf0.001")
+
+
 def test_empty_archive(spark):
     path = shared_folder(spark, "t")
     warc_store.write_archive(pages(spark, []), path)

@@ -66,8 +66,9 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc_store.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc_store.read_index(spark, path).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc_store.read_records(spark, path).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest",
+        "record_type", "refers_to")
 
 
 def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:

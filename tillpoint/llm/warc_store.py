@@ -2,8 +2,8 @@
 
 Payload bytes are stored once, under their SHA-256; the exact record headers are
 kept apart, one row per record. Original records come back by joining the two.
-The digest is verified when the archive is read: every stored payload is hashed
-again and must match its address.
+The digest is verified when the archive is read: payloads are hashed again and must
+match their address, and a record's Content-Length must be that of its block.
 
 Layout of an archive folder: ``payloads/`` (digest, n_bytes, payload) and
 ``headers/`` (page_id, digest, head), both Parquet.
@@ -91,30 +91,45 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
     return heads.select(
         "head", number(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"),
         number(_field("WARC-Refers-To")).alias("refers_to"), _field("WARC-Target-URI").alias("url"),
+        _field("Content-Length").try_cast("long").alias("content_length"),
         F.regexp_replace(_field("WARC-Payload-Digest"), "^sha256:", "").alias("digest"))
 
 
+def _verified(value: Column, found_digest: Column, payload_bytes: Column) -> Column:
+    """``value`` of a record whose payload has the digest its header names and whose
+    Content-Length is that of its block (empty for revisits); any other fails the read."""
+    block = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(payload_bytes)
+    name = F.coalesce("digest", F.lit("(none)"))
+    return (F.when(F.coalesce(found_digest != F.col("digest"), F.lit(True)),
+                   F.raise_error(F.concat(F.lit("payload does not match its digest "), name)))
+            .when(F.coalesce(F.col("content_length") != block, F.lit(True)),
+                  F.raise_error(F.concat(F.lit("Content-Length does not match the block of "), name)))
+            .otherwise(value))
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per record without its bytes: page_id, url, record_type, refers_to,
     payload_bytes, payload_digest. Each stored payload is hashed again; a payload
-    that does not match its address, or is missing, fails the read."""
+    that does not match its address, or is missing, or whose size is not the record's
+    Content-Length fails the read."""
     stored = spark.read.parquet(f"{path}/payloads").select(
         F.col("digest").alias("_address"), F.sha2("payload", 256).alias("payload_digest"),
         F.octet_length("payload").cast("long").alias("payload_bytes"))
     parsed = _parsed(spark, path).drop("head")
     joined = parsed.join(stored, parsed["digest"] == stored["_address"], "left")
-    ok = F.col("payload_digest") == F.col("digest")
-    checked = F.when(ok, F.col("payload_digest")).otherwise(
-        F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("digest"))))
+    checked = _verified(F.col("payload_digest"), F.col("payload_digest"), F.col("payload_bytes"))
     return joined.select("page_id", "url", "record_type", "refers_to", "payload_bytes",
                          checked.alias("payload_digest"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The reconstructed records: page_id, record_type, payload (resolved for
-    revisits too) and ``record``, the exact bytes of the WARC record."""
+    """The reconstructed records: page_id, record_type, refers_to, payload (resolved for
+    revisits too), its payload_digest and ``record``, the exact bytes of the WARC record.
+    Every record's payload is hashed and checked as in ``read_index``."""
     stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload")
     end = F.encode(F.lit(CRLF + CRLF), "UTF-8")
     body = F.when(F.col("record_type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
+    checked = _verified(F.col("digest"), F.sha2("payload", 256), F.octet_length("payload").cast("long"))
     return (_parsed(spark, path).join(stored, "digest", "left")
-            .select("page_id", "record_type", "payload", F.concat("head", body, end).alias("record")))
+            .select("page_id", "record_type", "refers_to", "payload", checked.alias("payload_digest"),
+                    F.concat("head", body, end).alias("record")))
