@@ -4,7 +4,8 @@ Documents become token ids, cut into full sequences and one remainder. How many
 pieces have each length is a histogram of at most ``capacity`` rows; a linear
 program over packing patterns covers it with the fewest sequences. Columns
 (patterns) are priced by an unbounded-knapsack dynamic program on the dual prices
-and enter a revised simplex until the cover is proven near its optimum. The patterns,
+and enter a revised simplex until the cover is proven near its optimum, or a
+warning tells how far from it the columns ended. The patterns,
 rounded down, give each length ranges of ranks; pieces are ranked inside their length
 by a distributed numbering and look their range up. Patterns that leave padding are
 used, those that leave least first, while all their padding stays within a stated share
@@ -22,6 +23,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -122,10 +124,12 @@ def first_basis(lengths: np.ndarray, need: np.ndarray,
     return patterns, amount, inverse
 
 
-def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3) -> list[tuple[Counter, float]]:
+def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3,
+                   max_columns: int = 400) -> list[tuple[Counter, float]]:
     """Column generation: [(pattern {length: pieces}, sequences)], covering ``demand``
     exactly. Columns enter until the sequences used are proven within ``gap`` of the
-    optimum, by the volume bound or by Farley's bound (cost over the best column's value)."""
+    optimum, by the volume bound or by Farley's bound (cost over the best column's value).
+    After ``max_columns`` the cover is used as it is, and a warning gives its proven gap."""
     lengths = np.array(sorted(demand), np.int64)
     need = np.array([demand[int(n)] for n in lengths], float)
     m = len(lengths)
@@ -134,7 +138,9 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3) ->
 
     patterns, amount, inverse = first_basis(lengths, need, capacity)
     bound = float((lengths * need).sum()) / capacity
-    while amount.sum() > bound * (1 + gap):
+    for _ in range(max_columns):
+        if amount.sum() <= bound * (1 + gap):
+            break
         value, pattern = best_pattern(lengths, inverse.sum(axis=0), capacity)
         bound = max(bound, float(amount.sum()) / value)
         if value <= 1 + 1e-7 or amount.sum() <= bound * (1 + gap):
@@ -149,6 +155,10 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3) ->
         inverse -= np.outer(step, pivot)
         inverse[out] = pivot
         patterns[out] = pattern
+    else:
+        if amount.sum() > bound * (1 + gap):
+            warnings.warn(f"packing patterns: stopped after {max_columns} columns, "
+                          f"{amount.sum() / bound - 1:.4f} above the proven bound", stacklevel=2)
     return [(Counter({int(lengths[i]): n for i, n in p.items()}), float(x)) for p, x in zip(patterns, amount)]
 
 
