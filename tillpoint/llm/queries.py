@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import (context_coder, cutting_stock, exact_dedup, hyperminhash, imatch,
+from tillpoint.llm import (context_coder, cutting_stock, exact_dedup, hyperminhash, imatch, merkle,
                            ordinal_quality, sharding, toxicity, unigram, warc_store)
 from tillpoint.llm.common import shared_folder, table
 
@@ -79,6 +79,17 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def manifest_digests(manifest: DataFrame) -> DataFrame:
+    folded = manifest.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("proof")))
+    return folded.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                         merkle.proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digests(merkle.documents_manifest(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_context_coder": op2_context_coder,
@@ -90,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_warc_store": op9_warc_store,
     "op10_unigram": op10_unigram,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {
