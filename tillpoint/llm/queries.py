@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.llm import (context_coder, cutting_stock, exact_dedup, hyperminhash, imatch, merkle,
-                           ordinal_quality, sharding, toxicity, unigram, warc_store)
+                           ordinal_quality, prefix_trie, sharding, toxicity, unigram, warc_store)
 from tillpoint.llm.common import shared_folder, table
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
@@ -79,6 +79,10 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def manifest_digests(manifest: DataFrame) -> DataFrame:
     folded = manifest.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("proof")))
     return folded.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_warc_store": op9_warc_store,
     "op10_unigram": op10_unigram,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle": op13_merkle,
 }
 
