@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import (context_coder, cutting_stock, exact_dedup, hyperminhash, imatch, merkle,
-                           ordinal_quality, prefix_trie, sharding, toxicity, unigram, warc_store)
+from tillpoint.llm import (context_coder, cutting_stock, exact_dedup, hilbert_search, hyperminhash, imatch,
+                           merkle, ordinal_quality, prefix_trie, sharding, toxicity, unigram, warc_store)
 from tillpoint.llm.common import shared_folder, table
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
@@ -79,6 +79,10 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op11_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_warc_store": op9_warc_store,
     "op10_unigram": op10_unigram,
+    "op11_hilbert_search": op11_hilbert_search,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle": op13_merkle,
 }
