@@ -42,32 +42,53 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, min_share: float, max_share: float) -> DataFrame:
-    """Column ``term``: hashes of the terms whose frequency over the distinct texts is in the
-    band. A hot text is reduced to one row in each map task before it is moved."""
+    """Columns ``term``, hashes of the terms whose frequency over the distinct texts is in the
+    band, and ``mask``, a bit for each subset that holds the term. A hot text is reduced to
+    one row in each map task before it is moved."""
     total = docs.select(F.unhex(F.sha2("text", 256)).alias("digest")).distinct().count()
     counts = (docs.select("text").distinct().select(F.explode(term_hashes(F.col("text"))).alias("term"))
               .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    return counts.filter((F.col("n") >= min_share * total) & (F.col("n") <= max(1.0, max_share * total))).select("term")
+    band = (F.col("n") >= min_share * total) & (F.col("n") <= max(1.0, max_share * total))
+    bits = [F.when(_holds(F.col("term"), number, share), 1 << number).otherwise(0) for number, share in _subsets()]
+    return counts.filter(band).select("term", sum(bits).cast("long").alias("mask"))
 
 
 def _subsets() -> list[tuple[int, float]]:
     return list(enumerate(share for share, count in SUBSETS for _ in range(count)))
 
 
-def signatures(kept: Column, everything: Column) -> Column:
-    """Array of 32-bit signatures of the sorted kept terms; 0 marks a subset without a term. A
-    text without kept terms is signed by ``everything``."""
-    def short(h: Column) -> Column:
-        return F.shiftrightunsigned(h, 32).cast("long")
+def _holds(term: Column, number: int, share: float) -> Column:
+    """Whether a subset of a share of the lexicon holds a term."""
+    return F.pmod(F.xxhash64(term, F.lit(number)), F.lit(1 << 20)) < int(share * (1 << 20))
+
+
+def _short(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 32).cast("long")
+
+
+def _in_subsets(kept: Column, numbers: list[int]) -> Column:
+    """Those of the kept terms (structs of term and mask) that any of the subsets holds."""
+    bits = F.lit(sum(1 << n for n in numbers)).cast("long")
+    return F.filter(kept, lambda x: x["mask"].bitwiseAND(bits) != 0)
+
+
+def with_signatures(df: DataFrame, kept: str, everything: str, out: str) -> DataFrame:
+    """Add ``out``: 32-bit signatures of the sorted ``kept`` terms, one a subset; 0 marks a
+    subset without a term. A text without kept terms is signed by ``everything``. The terms
+    of all subsets of one share are picked first: thin subsets are then cut from few terms."""
+    shares: dict[float, list[int]] = {}
+    for number, share in _subsets():
+        shares.setdefault(share, []).append(number)
+    tiers = {share: f"_{out}{at}" for at, share in enumerate(shares)}
+    picked = df.withColumns({tiers[share]: _in_subsets(F.col(kept), numbers) for share, numbers in shares.items()})
 
     def sign(number: int, share: float) -> Column:
-        limit = int(share * (1 << 20))
-        own = kept if share == 1.0 else F.filter(
-            kept, lambda t: F.pmod(F.xxhash64(t, F.lit(number)), F.lit(1 << 20)) < limit)
-        return F.when(F.size(own) > 0, short(F.xxhash64(own, F.lit(number)))).otherwise(F.lit(0))
+        own = _in_subsets(F.col(tiers[share]), [number])
+        return F.when(F.size(own) > 0, _short(F.xxhash64(own, F.lit(number)))).otherwise(F.lit(0))
 
-    whole = F.array_repeat(short(F.xxhash64(everything, F.lit(-1))), len(_subsets()))
-    return F.when(F.size(kept) > 0, F.array(*[sign(i, s) for i, s in _subsets()])).otherwise(whole)
+    whole = F.array_repeat(_short(F.xxhash64(everything, F.lit(-1))), len(_subsets()))
+    signed = F.when(F.size(kept) > 0, F.array(*[sign(*s) for s in _subsets()])).otherwise(whole)
+    return picked.withColumn(out, signed).drop(*tiers.values())
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,7 +133,7 @@ def fingerprints(df: DataFrame, min_share: float = 0.003, max_share: float = 0.2
     docs = id_text(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_PLACE)).alias("place"), "text")
     places = docs.groupBy("place").agg(F.max(F.char_length("text")).alias("chars"))
     links = staged(neighbours(places.select("place")).join(places, "place"), "neighbours")
-    chosen = staged(lexicon(docs, min_share, max_share), "lexicon").withColumn("known", F.lit(True))
+    chosen = staged(lexicon(docs, min_share, max_share), "lexicon")
 
     cut = F.expr("cast(char_length(text) div 3 AS int)")
     edited = F.concat(F.expr("left(text, char_length(text) - cast(char_length(text) div 3 AS int))"),
@@ -125,17 +146,18 @@ def fingerprints(df: DataFrame, min_share: float = 0.003, max_share: float = 0.2
     everything = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(F.xxhash64(t)))
     tagged = lambda a, v: F.transform(a, lambda t: F.struct(F.lit(v).alias("v"), t.alias("term")))
     marker = F.array(F.struct(F.lit(2).alias("v"), F.lit(0).cast("long").alias("term")))  # a row for every document
-    terms = (rows.select("place", "row", "h", "n_chars", "sha", everything(F.col("own")).alias("own_all"),
-                         everything(F.col("new")).alias("new_all"),
-                         F.inline(F.concat(marker, tagged(F.col("own"), 0), tagged(F.col("new"), 1))))
-             .join(F.broadcast(chosen), "term", "left").filter("known OR v = 2"))
+    # The hashes of whole texts first, then one row a term: in one step they would be made again for every term.
+    whole = rows.select("place", "row", "h", "n_chars", "sha", everything(F.col("own")).alias("own_all"),
+                        everything(F.col("new")).alias("new_all"),
+                        F.concat(marker, tagged(F.col("own"), 0), tagged(F.col("new"), 1)).alias("tagged"))
+    keys = ["place", "row", "h", "n_chars", "sha", "own_all", "new_all"]
+    terms = whole.select(*keys, F.inline("tagged")).join(F.broadcast(chosen), "term", "left").filter("mask IS NOT NULL OR v = 2")
     # The rows of a document come from one partition: its place is already the partitioning.
-    collected = (terms.groupBy("place", "row", "h", "n_chars", "sha", "own_all", "new_all")
-                 .agg(F.array_sort(F.collect_list(F.when(F.col("v") == 0, F.col("term")))).alias("own"),
-                      F.array_sort(F.collect_list(F.when(F.col("v") == 1, F.col("term")))).alias("new")))
-    signed = staged(collected.select("place", "h", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
-                                     signatures(F.col("own"), F.col("own_all")).alias("signed"),
-                                     signatures(F.col("new"), F.col("new_all")).alias("edited_signed")), "signatures")
+    listed = lambda v: F.sort_array(F.collect_list(F.when(F.col("v") == v, F.struct("term", "mask"))))
+    collected = terms.groupBy(*keys).agg(listed(0).alias("own"), listed(1).alias("new"))
+    both = with_signatures(with_signatures(collected, "own", "own_all", "signed"), "new", "new_all", "edited_signed")
+    signed = staged(both.select("place", "h", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
+                                "signed", "edited_signed"), "signatures")
     shown = signed.groupBy("place").agg(F.max_by("signed", "h").alias("next_signed"))
     nexts = (links.select("place", "next_place")
              .join(shown.withColumnRenamed("place", "next_place"), "next_place").drop("next_place"))
