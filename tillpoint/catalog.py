@@ -55,6 +55,8 @@ def _audit() -> dict[str, Job]:
         "referential_integrity": _job(lambda w: A.referential_integrity(A.default_integrity_checks(w))),
         "date_consistency": _job(lambda w: A.date_consistency(w["fact_returns"], w["fact_transactions"],
                                                               P.return_window_days)),
+        "date_consistency_bucketed": _job(lambda w: A.date_consistency(
+            w.stored("fact_returns"), w.stored("fact_transactions"), P.return_window_days)),
         # recomputed from the raw table here (not read from the staged copy) so the job itself runs
         "clean_transactions": _job(lambda w: A.clean_transactions(w["fact_transactions"]), GUEST_KEYS),
         "dq_summary": _job(lambda w: A.dq_summary(w["fact_transactions"], w["clean_transactions"],
@@ -80,6 +82,9 @@ def _sales() -> dict[str, Job]:
             w["clean_transactions"], w["dim_products"], P.top_categories)),
         "festive_uplift": _job(lambda w: S.festive_uplift(w["clean_transactions"], P.festive_months)),
         "monthly_trend": _job(lambda w: S.monthly_trend(w["clean_transactions"])),
+        "view_monthly_trend": _job(lambda w: S.monthly_trend(w.stored("vw_clean_transactions"))),
+        "missed_target_channels": _job(lambda w: S.missed_target_channels(
+            w.by_month("clean_transactions"), w.by_month("fact_sales_targets"), P.festive_months)),
     }
 
 
@@ -104,6 +109,7 @@ def _customers() -> dict[str, Job]:
         "rfm_segment_table": _job(lambda w: C.rfm_segment_table(qcut(w), w["dim_customers"])),
         "rfm_segment_summary": _job(lambda w: C.rfm_segment_summary(qcut(w))),
         "churn_risk": _job(lambda w: C.churn_risk(w["clean_transactions"], w["dim_customers"], P)),
+        "churn_windows": _job(lambda w: C.churn_windows(w.by_month("clean_transactions"), P)),
         "churn_customers": _job(lambda w: C.churn_scored(w["clean_transactions"], w["dim_customers"], P)),
     }
 
@@ -123,6 +129,8 @@ def _inventory() -> dict[str, Job]:
                                                                       P.cohort_max_week)),
         "first_markdown_event": _job(lambda w: LG.first_markdown_event(w["fact_inventory"], P.nominal_stock)),
         "stock_ledger": _job(ledger),
+        "capped_ledger": _job(lambda w: LG.capped_ledger(FX.capped_demand(FX.read_source(w.spark, w.sf_dir)),
+                                                         w["dim_products"])),
         "target_spine": _job(lambda w: LG.target_spine(w["dim_stores"], w["clean_transactions"],
                                                        rule=FX.target_rule)),
     }

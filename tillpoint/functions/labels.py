@@ -76,6 +76,24 @@ PANDAS_SEGMENTS = (
     "Potential Loyalists",
 )
 
+# Segment rules in order, first match wins: bounds of the r, f and m score (lowest, highest) and
+# the number of the name above; None leaves a score open.
+SEGMENT_RULES = (
+    ((4, None), (4, None), (4, None), 0),
+    ((3, None), (3, None), (3, None), 1),
+    ((4, None), (None, 2), (None, None), 2),
+    ((None, 2), (3, None), (3, None), 3),
+    ((None, 2), (None, 2), (None, None), 4),
+    ((None, None), (None, 2), (4, None), 5),
+    ((None, None), (None, None), (None, None), 6),
+)
+
+# --- weekly demand of the stock recurrence ------------------------------------------
+DEMAND_DECAY_PER_WEEK = 0.055
+MARKDOWN_DEMAND_LIFT = 1.8
+MARKDOWN_FROM_WEEKS_LIVE = 9
+MARKDOWN_BELOW_SELL_THROUGH = 0.35
+
 # --- churn ------------------------------------------------------------------------
 CHURN_HIGH = "HIGH CHURN RISK — Winback Campaign"
 CHURN_MEDIUM = "MEDIUM CHURN RISK — Re-engagement"

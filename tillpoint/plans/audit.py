@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from tillpoint.functions import labels as L
 from tillpoint.functions.exprs import count_if, idiv, pct
 from tillpoint.operators.rank import keep_first, prefix_sum
+from tillpoint.operators.membership import only_wanted
 from tillpoint.operators.scalars import combine_scalars
 from tillpoint.sources import schemas as SC
+from tillpoint.sources.layout import plan_bytes
 
 COPIES_PER_CHUNK = 4096  # exact copies that one task expands at a time
 DEDUP_KEYS = ("transaction_date", "product_id", "customer_id", "revenue")
@@ -151,25 +153,39 @@ def price_anomalies(t: DataFrame, p: DataFrame, max_discount: float = 0.70,
 
 
 # J05 ----------------------------------------------------------------------------
+def known_keys(parent: DataFrame, key: str, child: DataFrame, child_key: str) -> DataFrame:
+    """Distinct ``key`` of a parent. Where the parent is the larger table, a membership filter of
+    the child's keys is applied to its scan first, so only keys that the child may ask for
+    are exchanged."""
+    keys = parent.select(F.col(key).alias("_k"))
+    wanted = child.select(F.col(child_key).alias("_k"))
+    return (only_wanted(keys, "_k", wanted) if plan_bytes(keys) > plan_bytes(wanted) else keys).distinct()
+
+
 def referential_integrity(checks: list[tuple[str, DataFrame, DataFrame, str]]) -> DataFrame:
     """Orphan counts: child rows with no parent on ``key`` (a NULL child key is an orphan).
 
-    checks: (label, child, parent, key). Each child is read once: all its audited keys
-    are tagged and reduced to (check, key, rows) by partial aggregation, so one anti
-    join of distinct keys, not of fact rows, serves all checks; each parent key is read
-    once too."""
-    parents: dict[tuple[int, str], tuple[int, DataFrame]] = {}
-    children: dict[int, tuple[DataFrame, list]] = {}
-    for i, (_, child, parent, key) in enumerate(checks):
-        tag, _ = parents.setdefault((id(parent), key), (len(parents), parent))
-        children.setdefault(id(child), (child, []))[1].append(
-            F.struct(F.lit(i).alias("_c"), F.lit(tag).alias("_p"), F.col(key).cast("string").alias("_k")))
+    checks: (label, child, parent, key). Each child key is counted under its own type in a
+    map-side aggregate; only the distinct keys are tagged, cast and anti-joined, all checks at
+    once. A parent that serves one check and is larger than the child is filtered by the
+    child's keys before its keys are exchanged (``known_keys``)."""
+    parents: dict[tuple[int, str], list[tuple[int, DataFrame]]] = {}
+    for i, (_, _, parent, key) in enumerate(checks):
+        parents.setdefault((id(parent), key), []).append((i, parent))
+    tag_of = {i: tag for tag, uses in enumerate(parents.values()) for i, _ in uses}
     per_key = reduce(DataFrame.unionByName, [
-        child.select(F.inline(F.array(*tagged))).groupBy("_c", "_p", "_k").agg(F.count(F.lit(1)).alias("_n"))
-        for child, tagged in children.values()])
-    known = reduce(DataFrame.unionByName, [
-        parent.select(F.lit(tag).alias("_p"), F.col(key).cast("string").alias("_k")).distinct()
-        for (_, key), (tag, parent) in parents.items()])
+        child.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+        .select(F.lit(i).alias("_c"), F.lit(tag_of[i]).alias("_p"), F.col("_k").cast("string").alias("_k"), "_n")
+        for i, (_, child, _, key) in enumerate(checks)])
+
+    def keys_of(tag: int, key: str, uses: list[tuple[int, DataFrame]]) -> DataFrame:
+        i, parent = uses[0]
+        keys = (known_keys(parent, key, checks[i][1], key) if len(uses) == 1
+                else parent.select(F.col(key).alias("_k")).distinct())
+        return keys.select(F.lit(tag).alias("_p"), F.col("_k").cast("string").alias("_k"))
+
+    known = reduce(DataFrame.unionByName, [keys_of(tag, key, uses)
+                                           for tag, ((_, key), uses) in enumerate(parents.items())])
     wide = per_key.join(known, ["_p", "_k"], "left_anti").agg(*[
         F.coalesce(F.sum(F.when(F.col("_c") == i, F.col("_n"))), F.lit(0)).cast("long").alias(f"v{i}")
         for i in range(len(checks))])
@@ -274,7 +290,8 @@ def _fk_violations(tables: dict[str, DataFrame], parent: str, pcol: str,
         tables[child].select(F.lit(i).alias("_c"), F.col(ccol).alias("_k")).filter(F.col("_k").isNotNull())
         for i, (child, ccol) in enumerate(kids)])
     per_key = tagged.groupBy("_c", "_k").agg(F.count(F.lit(1)).alias("_n"))
-    parents = tables[parent].select(F.col(pcol).alias("_k")).distinct()
+    parents = (known_keys(tables[parent], pcol, tables[kids[0][0]], kids[0][1]) if len(kids) == 1
+               else tables[parent].select(F.col(pcol).alias("_k")).distinct())
     orphans = per_key.join(parents, "_k", "left_anti")
     wide = orphans.agg(*[F.coalesce(F.sum(F.when(F.col("_c") == i, F.col("_n"))), F.lit(0)).cast("long").alias(f"v{i}")
                          for i in range(len(kids))])

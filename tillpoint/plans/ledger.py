@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.functions.exprs import dbl, idiv, month_key, round_up
-from tillpoint.functions.labels import UNITS_PER_TARGET_INR
+from tillpoint.functions.labels import (DEMAND_DECAY_PER_WEEK, MARKDOWN_BELOW_SELL_THROUGH, MARKDOWN_DEMAND_LIFT,
+                                        MARKDOWN_FROM_WEEKS_LIVE, UNITS_PER_TARGET_INR)
 from tillpoint.operators.rank import global_row_number
 
 UNBOUNDED = Window.unboundedPreceding
@@ -66,6 +67,53 @@ def stock_ledger(weekly_units: DataFrame, products: DataFrame, *,
     )
 
 
+def capped_ledger(weekly_demand: DataFrame, products: DataFrame, *, markdown_pct: int = 25,
+                  decay: float = DEMAND_DECAY_PER_WEEK, lift: float = MARKDOWN_DEMAND_LIFT,
+                  markdown_from: int = MARKDOWN_FROM_WEEKS_LIVE,
+                  below_st: float = MARKDOWN_BELOW_SELL_THROUGH) -> DataFrame:
+    """Stock recurrence with sales capped at the stock (J25 with lost sales): each week's demand is
+    the week's units, damped by ``exp(-decay x weeks live)`` and raised while a markdown is on;
+    units sold are at most the opening stock; a markdown starts after ``markdown_from`` weeks
+    with a sell-through below ``below_st`` and holds from the next week's demand on; the series ends
+    when the stock is used up.
+
+    Each week needs the one before, which no window expresses: the weeks of a (product, store),
+    one bounded group, are folded in order by ``aggregate``, in the JVM.
+
+    weekly_demand: (product_id, store_id, week_number, units, initial_stock); weeks count from 1.
+    NULL units count as none; a location without stock has no rows."""
+    weeks = (weekly_demand.groupBy("product_id", "store_id")
+             .agg(F.max("initial_stock").cast("long").alias("initial"),
+                  F.sort_array(F.collect_list(F.struct("week_number", F.coalesce("units", F.lit(0)).alias("units")))).alias("weeks")))
+    below = int(round(below_st * 100))
+
+    def step(state, week):
+        live, opening, on = week["week_number"] - 1, state["stock"], state["pct"]
+        wanted = (week["units"].cast("double") * F.exp(F.lit(-decay) * live.cast("double"))
+                  * (F.lit(1.0) + F.lit(lift) * on.cast("double") / F.lit(100.0)))
+        demand = F.floor(F.round(wanted, 6)).cast("long")
+        sold = F.least(demand, opening)
+        starts = (on == 0) & (live >= markdown_from) & ((state["initial"] - opening) * 100 < F.lit(below) * state["initial"])
+        pct_now = F.when(starts, F.lit(markdown_pct)).otherwise(on).cast("int")
+        row = F.struct(week["week_number"].cast("int").alias("week_number"), opening.alias("opening"),
+                       demand.alias("demand"), sold.alias("sold"), pct_now.alias("pct"))
+        after = F.struct(state["initial"].alias("initial"), (opening - sold).alias("stock"), pct_now.alias("pct"),
+                         F.concat(state["rows"], F.array(row)).alias("rows"))
+        return F.when(opening > 0, after).otherwise(state)
+
+    none = F.array().cast("array<struct<week_number:int,opening:bigint,demand:bigint,sold:bigint,pct:int>>")
+    start = F.struct(F.col("initial").alias("initial"), F.col("initial").alias("stock"), F.lit(0).alias("pct"), none.alias("rows"))
+    rows = weeks.select("product_id", "store_id", F.inline(F.aggregate("weeks", start, step, lambda s: s["rows"])))
+    share = (F.col("pct").cast("decimal(5,2)") / F.lit(100)).cast("decimal(5,2)")
+    priced = (rows.join(products.select("product_id", "mrp"), "product_id")
+              .withColumn("markdown_pct", share)
+              .withColumn("effective_price", F.round(F.col("mrp") * (F.lit(1) - F.col("markdown_pct")), 2).cast("decimal(10,2)")))
+    return priced.select("product_id", "store_id", "week_number", F.col("opening").alias("opening_stock"), "demand",
+                         F.col("sold").alias("units_sold"), (F.col("opening") - F.col("sold")).alias("closing_stock"),
+                         (F.col("demand") - F.col("sold")).alias("lost_units"), "markdown_pct", "effective_price",
+                         (F.col("sold") * F.col("effective_price")).cast("decimal(14,2)").alias("revenue"))
+
+
 def first_markdown_event(inventory: DataFrame, nominal_stock: int = 150) -> DataFrame:
     """J24 — one row per product: the first inventory row with a markdown,
     first by store then week. Sell-through is measured against a nominal stock."""

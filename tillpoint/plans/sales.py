@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tillpoint.functions import labels as L
 from tillpoint.functions.exprs import count_if, dbl, mean, month_key, nz, pct, ratio, round_up, sum_if
 from tillpoint.operators.rank import global_rank
+from tillpoint.sources.layout import MONTH
 
 UNB = Window.unboundedPreceding
 
@@ -115,6 +116,19 @@ def store_scorecard(tc: DataFrame, g: DataFrame, s: DataFrame) -> DataFrame:
         .orderBy(F.col("overall_attainment_pct").desc(), "store_id"))
 
 
+def missed_target_channels(monthly: DataFrame, targets: DataFrame, months: tuple[int, ...],
+                           below_pct: float = 80.0) -> DataFrame:
+    """Sales by channel of the store-months that missed their target by far in the given calendar
+    months. Both tables are partitioned by month: the targets' filter prunes the
+    months of the sales at run time."""
+    missed = (targets.filter(F.month(MONTH).isin(*months) & (F.col("attainment_pct") < below_pct))
+              .select("store_id", MONTH, "month", "attainment_pct"))
+    return (monthly.join(missed, ["store_id", MONTH])
+            .groupBy("store_id", "month", "attainment_pct", "channel")
+            .agg(F.count(F.lit(1)).alias("transactions"), F.sum("quantity").alias("units"),
+                 F.sum("revenue").alias("revenue")))
+
+
 # J15 ----------------------------------------------------------------------------
 def season_case(month_col) -> F.Column:
     e = F.when(month_col.isin(*L.SEASON_FESTIVE[1]), F.lit(L.SEASON_FESTIVE[0]))

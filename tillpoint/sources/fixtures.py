@@ -264,6 +264,14 @@ def inventory_inputs(src: dict[str, DataFrame]) -> DataFrame:
                     (total + 5 + (F.col("p_size") * 11 + F.col("store_id") * 17) % 180).cast("int").alias("initial_stock")))
 
 
+def capped_demand(src: dict[str, DataFrame]) -> DataFrame:
+    """Input of the capped stock recurrence: the shipped units of each week as demand, against a
+    nominal initial stock of 40 to 249 units that does not follow from the shipments."""
+    return inventory_inputs(src).select(
+        "product_id", "store_id", "week_number", F.col("units_sold").alias("units"),
+        (F.lit(40) + (F.col("product_id") * 11 + F.col("store_id") * 17) % 210).cast("int").alias("initial_stock"))
+
+
 def negative_report_flag(product_id, week_number) -> F.Column:
     """Rows whose reported closing stock carries a sign error."""
     return (product_id + week_number) % 33 == 0

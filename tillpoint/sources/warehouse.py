@@ -16,11 +16,12 @@ import os
 import threading
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.session import app_id, staging_root
 from tillpoint.sources import fixtures as fx
+from tillpoint.sources import layout
 
 TABLES = ("dim_products", "dim_stores", "dim_customers", "fact_transactions", "fact_returns",
           "fact_inventory", "fact_markdown_events", "fact_sales_targets", "clean_transactions")
@@ -46,6 +47,7 @@ class Warehouse:
         self.sf_dir = sf_dir
         self.stage = stage
         self._tables: dict[str, DataFrame] = {}
+        self._by_month: dict[str, DataFrame] = {}
         self._memo: dict[str, object] = {}
         self._memo_lock = threading.RLock()
         self.timings: dict[str, float] = {}
@@ -60,6 +62,37 @@ class Warehouse:
     def tables(self) -> dict[str, DataFrame]:
         return dict(self._tables)
 
+    def by_month(self, name: str) -> DataFrame:
+        """A month-partitioned table with its partition column ``sale_month``; ``w[name]`` is
+        the same scan without it."""
+        return self._by_month[name]
+
+    def catalog(self) -> str:
+        """Schema of the stored catalog, built once per session: returns and transactions in
+        buckets of the transaction id and the view ``vw_clean_transactions``. Their files are
+        below the staging folder."""
+        def build(_) -> str:
+            from tillpoint.plans.audit import CLEAN_COLUMNS, DEDUP_KEYS
+            tag = hashlib.sha1(self.root.encode()).hexdigest()[:12]
+            schema, path = f"tillpoint_{tag}", f"{self.root}/catalog"
+            layout.create_schema(self.spark, schema, path)
+            names = ("fact_transactions", "fact_returns")
+            buckets = layout.bucket_count(*[self._tables[n] for n in names])
+            for n in names:
+                layout.write_bucketed(self._tables[n], f"{schema}.{n}", f"{path}/{n}", "transaction_id", buckets)
+            layout.create_clean_view(self.spark, schema, CLEAN_COLUMNS, DEDUP_KEYS)
+            return schema
+        return self.memo("catalog", build)
+
+    def stored(self, name: str) -> DataFrame:
+        """A bucketed table or the stored view of the catalog."""
+        return self.spark.table(f"{self.catalog()}.{name}")
+
+    def drop_catalog(self) -> None:
+        with self._memo_lock:
+            if "catalog" in self._memo:
+                self.spark.sql(f"DROP DATABASE IF EXISTS {self._memo.pop('catalog')} CASCADE")
+
     def register_views(self, prefix: str = "") -> list[str]:
         """Expose the staged tables to ``spark.sql``; the clean table is also
         registered as ``vw_clean_transactions``."""
@@ -94,9 +127,15 @@ class Warehouse:
         out.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def _put(self, name: str, df: DataFrame, sort_by: str | None = None) -> DataFrame:
+    def _put(self, name: str, df: DataFrame, sort_by: str | None = None, month: Column | None = None) -> DataFrame:
+        """Stage a table; with ``month`` (first day of a row's month) in folders by month."""
         t0 = time.time()
-        staged = self._write(name, df, sort_by)
+        if month is None:
+            staged = self._write(name, df, sort_by)
+        else:
+            self._by_month[name] = (layout.write_by_month(df, f"{self.root}/{name}", month, sort_by) if self.stage
+                                    else df.withColumn(layout.MONTH, month))
+            staged = self._by_month[name].drop(layout.MONTH)
         self.timings[name] = round(time.time() - t0, 3)
         self._tables[name] = staged
         return staged
@@ -115,7 +154,8 @@ class Warehouse:
         # and status, which Parquet applies at the lineitem scan, so
         # only that slice reaches the order join (cheaper than caching the fact).
         lines = fx.transaction_lines(src)
-        txn = self._put("fact_transactions", fx.fact_transactions(lines), sort_by="transaction_date")
+        sold_in = layout.month_of(F.col("transaction_date"))
+        txn = self._put("fact_transactions", fx.fact_transactions(lines), sort_by="transaction_date", month=sold_in)
         self._put("fact_returns", fx.fact_returns(lines), sort_by="return_date")
 
         ledger = stock_ledger(fx.inventory_inputs(src), products, week1_date=fx.INVENTORY_WEEK1)
@@ -126,5 +166,6 @@ class Warehouse:
         inventory = self._put("fact_inventory", inventory)
         self._put("fact_markdown_events", first_markdown_event(inventory))
 
-        clean = self._put("clean_transactions", clean_transactions(txn), sort_by="transaction_date")
-        self._put("fact_sales_targets", target_spine(stores, clean, rule=fx.target_rule))
+        clean = self._put("clean_transactions", clean_transactions(txn), sort_by="transaction_date", month=sold_in)
+        self._put("fact_sales_targets", target_spine(stores, clean, rule=fx.target_rule), sort_by="store_id",
+                  month=F.to_date(F.concat(F.col("month"), F.lit("-01"))))
