@@ -88,24 +88,31 @@ def _sales() -> dict[str, Job]:
     }
 
 
+def qcut_scores(w):
+    return C.rfm_scores_qcut(w["clean_transactions"], P.as_of, P.rfm_buckets)
+
+
+def ntile_scores(w):
+    return C.rfm_scores_ntile(C.customer_measures(w["clean_transactions"], P.as_of), P.rfm_buckets, w["dim_customers"])
+
+
 def rfm_scored(w):
-    """Quantile RFM scores, ranked once per session and staged for the jobs that read them."""
-    return w.derived("rfm_scored", lambda x: C.rfm_scores_qcut(x["clean_transactions"], P.as_of, P.rfm_buckets))
+    """Quantile RFM scores, made once per session and staged for the jobs that read them."""
+    return w.derived("rfm_scored", qcut_scores)
 
 
-def _customers() -> dict[str, Job]:
-    def metrics(w):
-        return C.customer_metrics(w["clean_transactions"], w["dim_customers"], P.as_of)
+def rfm_ntile(w):
+    """NTILE RFM scores, staged like ``rfm_scored``."""
+    return w.derived("rfm_ntile", ntile_scores)
 
-    def ntile(w):  # ranked once per session, read by both jobs
-        return w.derived("rfm_ntile", lambda x: C.rfm_scores_ntile(metrics(x), P.rfm_buckets))
 
+def _customers() -> dict[str, Job]:
     qcut = rfm_scored
     return {
-        "customer_metrics": _job(metrics),
-        "rfm_scores_ntile": _job(ntile),
-        "rfm_segments": _job(lambda w: C.rfm_segments(ntile(w), P.integer_avg)),
-        "rfm_scores_qcut": _job(qcut),
+        "customer_metrics": _job(lambda w: C.customer_metrics(w["clean_transactions"], w["dim_customers"], P.as_of)),
+        "rfm_scores_ntile": _job(ntile_scores),
+        "rfm_segments": _job(lambda w: C.rfm_segments(rfm_ntile(w), P.integer_avg)),
+        "rfm_scores_qcut": _job(qcut_scores),
         "rfm_segment_table": _job(lambda w: C.rfm_segment_table(qcut(w), w["dim_customers"])),
         "rfm_segment_summary": _job(lambda w: C.rfm_segment_summary(qcut(w))),
         "churn_risk": _job(lambda w: C.churn_risk(w["clean_transactions"], w["dim_customers"], P)),

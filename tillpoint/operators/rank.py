@@ -114,10 +114,31 @@ def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str,
     return res.drop("_pid", "_loc", "_off", "_all")
 
 
+def global_ranks(df: DataFrame, values: dict[str, str]) -> DataFrame:
+    """For each column and output of ``values``, RANK() OVER (ORDER BY column DESC NULLS LAST)
+    without a single-task window: rows per distinct value of every column, one distributed
+    running sum over the values of all of them, joined back per column."""
+    names = list(values)
+    places = [f"_v{i}" for i in range(len(names))]
+
+    def sizes_of(i: int, name: str) -> DataFrame:
+        own = df.groupBy(F.col(name).alias("_v")).agg(F.count(F.lit(1)).alias("_size"))
+        others = [F.lit(None).cast(df.schema[n].dataType).alias(places[j]) for j, n in enumerate(names) if j != i]
+        return own.select(F.lit(i).alias("_tag"), F.col("_v").alias(places[i]), *others, "_size").select("_tag", *places, "_size")
+
+    sizes = sizes_of(0, names[0])
+    for i, name in enumerate(names[1:], 1):
+        sizes = sizes.unionByName(sizes_of(i, name))
+    order = [F.col("_tag").asc(), *[F.col(p).desc_nulls_last() for p in places]]
+    ends = prefix_sum(sizes, order, "_size", "_last", total_out="_total")
+    rows = F.call_function("div", F.col("_total"), F.lit(len(names)))  # every row counts once a column
+    for i, (name, out) in enumerate(values.items()):
+        ranks = ends.filter(F.col("_tag") == i).select(
+            F.col(places[i]).alias("_value"), (F.col("_last") - F.col("_size") + 1 - rows * i).alias(out))
+        df = df.join(ranks, df[name].eqNullSafe(ranks["_value"])).drop("_value")
+    return df
+
+
 def global_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """RANK() OVER (ORDER BY value DESC NULLS LAST) without a single-task window: rows per
-    distinct value, a distributed running sum over the values, joined back."""
-    sizes = df.groupBy(value).agg(F.count(F.lit(1)).alias("_size"))
-    ends = prefix_sum(sizes, [F.col(value).desc_nulls_last()], "_size", "_last")
-    ranks = ends.select(F.col(value).alias("_value"), (F.col("_last") - F.col("_size") + 1).alias(out))
-    return df.join(ranks, df[value].eqNullSafe(ranks["_value"])).drop("_value")
+    """RANK() of one column, see ``global_ranks``."""
+    return global_ranks(df, {value: out})

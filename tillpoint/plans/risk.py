@@ -91,17 +91,24 @@ def categorical_codes(df: DataFrame, fills: dict[str, str]) -> DataFrame:
             .select("_c", "_v", (F.col("_number") - F.col("_first_number")).alias("_code")))
 
 
+CODES_BROADCAST_BYTES = 16 << 20
+
+
 def categorical_index(df: DataFrame, fills: dict[str, str] | None = None,
                       suffix: dict[str, str] | None = None) -> DataFrame:
     """Label encoding: each value's 0-based position among the column's sorted
-    distinct values (NULL filled first). The code table is joined back (AQE picks the
-    join by its measured size)."""
+    distinct values (NULL filled first). The size of a column's codes is measured: up to
+    ``CODES_BROADCAST_BYTES`` they are broadcast and the rows stay where they are; a larger code
+    table is joined by sorting (AQE splits hot values)."""
     fills = fills or dict(L.ENCODER_FILLS)
     names = suffix or {"category": "cat_encoded", "channel": "ch_encoded", "heat_score": "heat_encoded"}
     codes = categorical_codes(df, fills)
+    per_column = codes.groupBy("_c").agg(F.sum(F.octet_length("_v") + 24).alias("_bytes"))
+    size = {r["_c"]: r["_bytes"] for r in per_column.collect()}  # a row per encoded column
     out = df
     for i, (c, fill) in enumerate(fills.items()):
         own = codes.filter(F.col("_c") == i).select(F.col("_v").alias(f"_v{i}"), F.col("_code").cast("int").alias(names[c]))
+        own = F.broadcast(own) if size.get(i, 0) <= CODES_BROADCAST_BYTES else own
         out = out.join(own, F.coalesce(F.col(c), F.lit(fill)) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
     return out
 

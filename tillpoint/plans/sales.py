@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions import labels as L
 from tillpoint.functions.exprs import count_if, dbl, mean, month_key, nz, pct, ratio, round_up, sum_if
-from tillpoint.operators.rank import global_rank
+from tillpoint.operators.rank import global_ranks
 from tillpoint.sources.layout import MONTH
 
 UNB = Window.unboundedPreceding
@@ -104,7 +104,7 @@ def store_scorecard(tc: DataFrame, g: DataFrame, s: DataFrame) -> DataFrame:
                   count_if(F.col("attainment_pct") >= 100).alias("months_target_hit")))
     # one row per store; stores grow with the data, so the ranks are distributed
     agg = agg.withColumn("_ratio", ratio("_act", "_tgt"))
-    agg = global_rank(global_rank(agg, "_act", "revenue_rank"), "_ratio", "attainment_rank")
+    agg = global_ranks(agg, {"_act": "revenue_rank", "_ratio": "attainment_rank"})
     return (agg.select(
         "store_id", "store_name", "region", "channel", "months_tracked",
         F.round("_tgt", 0).alias("total_target_inr"),
