@@ -190,6 +190,11 @@ def tree_model(w):
     return w.memo("return_tree", fit), split.filter(F.col("split") == "test")
 
 
+def tree_nodes(w):
+    """Node table of the fitted tree (a bounded number of rows), read once per session."""
+    return w.memo("return_tree_nodes", lambda x: K.tree_nodes(tree_model(x)[0]))
+
+
 def _risk() -> dict[str, Job]:
     feature_cols = ["transaction_id", "transaction_date", "product_id", "category", "heat_score", "channel",
                     "quantity", "unit_price", "discount_pct", "price_ratio", "margin_per_unit", "day_of_week",
@@ -199,8 +204,8 @@ def _risk() -> dict[str, Job]:
         return K.return_features(w["clean_transactions"], w["dim_products"])
 
     def tree_predictions(w):
-        model, test = tree_model(w)
-        return K.predict_return(model, test)
+        _, test = tree_model(w)
+        return K.predict_by_nodes(tree_nodes(w), test)
 
     def tree_importance(w):
         model, _ = tree_model(w)
@@ -220,6 +225,7 @@ def _risk() -> dict[str, Job]:
         "pr_curve": _job(lambda w: K.pr_curve(rule_scored_test(w))),
         "threshold_table": _job(lambda w: K.threshold_table(rule_scored_test(w), P.thresholds)),
         "return_risk_tree": _job(tree_predictions),
+        "return_tree_nodes": _job(lambda w: K.nodes_table(w.spark, tree_nodes(w))),
         "tree_roc_auc": _job(lambda w: K.roc_auc(tree_predictions(w))),
         "tree_classification_report": _job(lambda w: K.classification_report(tree_predictions(w))),
         "tree_pr_curve": _job(lambda w: K.pr_curve(tree_predictions(w))),
@@ -258,14 +264,14 @@ def checked_summary(w):
 def publish(w):
     from tillpoint.session import staging_root
     tc, p = w["clean_transactions"], w["dim_products"]
-    model, test = tree_model(w)
+    _, test = tree_model(w)
     outputs = {
         "rfm_segments": C.rfm_segment_table(rfm_scored(w), w["dim_customers"]),
         "dead_stock_skus": INV.dead_stock(w["fact_inventory"], p, P.dead_sell_through, P.dead_min_units),
         "monthly_revenue": S.monthly_trend(tc),
         "category_revenue": S.category_revenue(tc, p),
         "labelled_transactions": tc.join(labelled(w).select("transaction_id", "is_returned"), "transaction_id"),
-        "impact_summary": summary(w, K.roc_auc(K.predict_return(model, test))),
+        "impact_summary": summary(w, K.roc_auc(K.predict_by_nodes(tree_nodes(w), test))),
     }
     return IM.publish_outputs(w.spark, outputs, IM.new_output_dir(staging_root(w.spark)), "csv")
 
@@ -283,12 +289,25 @@ def csv_roundtrip(w):
     return S.monthly_trend(back)
 
 
+def rejected_rows(w):
+    """A CSV export with planted faults, loaded under the declared rules."""
+    import uuid
+
+    from tillpoint.session import staging_root
+    from tillpoint.sources import quarantine as Q
+    d = f"{staging_root(w.spark)}/load-{uuid.uuid4().hex[:12]}"
+    FX.faulty_transactions(w["fact_transactions"]).write.option("header", True).csv(f"{d}/csv")
+    parents = {n: w[n] for n in ("dim_products", "dim_stores", "dim_customers")}
+    return Q.rejection_summary(*Q.load_checked(w.spark, f"{d}/csv", "fact_transactions", parents, f"{d}/loaded"))
+
+
 def _impact() -> dict[str, Job]:
     return {
         "impact_scenarios": _job(impact),
         "impact_summary": _job(checked_summary),
         "publish_outputs": _job(publish),
         "csv_source_roundtrip": _job(csv_roundtrip),
+        "rejected_rows": _job(rejected_rows),
     }
 
 

@@ -12,6 +12,7 @@ from tillpoint.oracle.sql_customers import QCUT_CTES, RFM_SEGMENT_SUMMARY, RFM_S
 from tillpoint.oracle.sql_inventory_returns import DEAD_CTE, DEAD_FILTER, DEAD_STOCK, RETURN_LOSS
 from tillpoint.oracle.sql_risk import RETURN_LABEL, ROC
 from tillpoint.params import TESTDATA_PARAMS as P
+from tillpoint.sources import schemas as SC
 
 AT_RISK = q(L.PANDAS_SEGMENTS[3])
 MD = 1.0 - P.markdown_discount
@@ -83,9 +84,30 @@ PUBLISH = "\nUNION ALL\n".join(
     [f"SELECT '{name}' AS output, 'csv' AS format, COUNT(*) AS rows FROM ({sql}) t" for name, sql in PUBLISHED.items()]
     + ["SELECT 'impact_summary', 'json', 1"])
 
+# The planted faults of the CSV export, then the declared rules in their order.
+_BROKEN = ([(f"NOT NULL {c}", f"{c} IS NULL") for c in SC.not_null_columns("fact_transactions")]
+           + [(f"RANGE {r[1]}", f"NOT ({SC.range_rule(*r[1:])})") for r in SC.RANGES if r[0] == "fact_transactions"]
+           + [(f"FOREIGN KEY {c}", f"{c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {parent})")
+              for child, c, parent, k in SC.FOREIGN_KEYS if child == "fact_transactions"])
+REJECTED_ROWS = with_fixtures([("marked", "SELECT *, LEFT(md5(transaction_id), 2) AS mark FROM fact_transactions"),
+    ("exported", """
+SELECT mark IN ('a0', 'a1') AS malformed, CASE WHEN mark <> 'a6' THEN transaction_id END AS transaction_id, transaction_date,
+       customer_id, CASE WHEN mark = 'a4' THEN 999999999 ELSE product_id END AS product_id,
+       CASE WHEN mark <> 'a2' THEN store_id END AS store_id,
+       CASE WHEN mark = 'a3' THEN -4 WHEN mark = 'a5' THEN 1 ELSE quantity END AS quantity,
+       unit_price, discount_pct, revenue, cost, payment_method, channel, region
+FROM marked"""), ("judged", f"""
+SELECT CASE WHEN malformed THEN ['MALFORMED RECORD'] ELSE list_filter([
+         {", ".join(f"CASE WHEN {bad} THEN {q(reason)} END" for reason, bad in _BROKEN)}], lambda r: r IS NOT NULL) END AS reasons
+FROM exported""")], f"""
+SELECT reason, {I('COUNT(*)')} AS rows FROM (SELECT UNNEST(reasons) AS reason FROM judged) x GROUP BY reason
+UNION ALL SELECT 'KEPT ROWS', {I('COUNT(*)')} FROM judged WHERE len(reasons) = 0
+UNION ALL SELECT 'REJECTED ROWS', {I('COUNT(*)')} FROM judged WHERE len(reasons) > 0""")
+
 SQL = {
     "impact_scenarios": IMPACT,
     "impact_summary": SUMMARY,
+    "rejected_rows": REJECTED_ROWS,
     "publish_outputs": PUBLISH,
     "csv_source_roundtrip": MONTHLY_TREND,
 }

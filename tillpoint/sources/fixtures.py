@@ -272,6 +272,20 @@ def capped_demand(src: dict[str, DataFrame]) -> DataFrame:
         (F.lit(40) + (F.col("product_id") * 11 + F.col("store_id") * 17) % 210).cast("int").alias("initial_stock"))
 
 
+def faulty_transactions(txn: DataFrame) -> DataFrame:
+    """Transactions as the text fields of a CSV export with planted faults, by the first two hex
+    digits of md5(transaction_id): a date and a price that do not parse, a missing store, a quantity
+    below the range, an unknown product, a missing quantity (filled on load) and a missing id."""
+    mark = F.substring(F.md5(F.col("transaction_id")), 1, 2)
+    planted = {"transaction_date": ("a0", F.lit("31/02/1997")), "unit_price": ("a1", F.lit("n/a")), "store_id": ("a2", F.lit(None)),
+               "quantity": ("a3", F.lit("-4")), "product_id": ("a4", F.lit("999999999"))}
+    text = txn.select(mark.alias("_mark"), *[F.col(c).cast("string").alias(c) for c in txn.columns])
+    for column, (digits, value) in planted.items():
+        text = text.withColumn(column, F.when(F.col("_mark") == digits, value.cast("string")).otherwise(F.col(column)))
+    text = text.withColumn("quantity", F.when(F.col("_mark") != "a5", F.col("quantity")))
+    return text.withColumn("transaction_id", F.when(F.col("_mark") != "a6", F.col("transaction_id"))).drop("_mark")
+
+
 def negative_report_flag(product_id, week_number) -> F.Column:
     """Rows whose reported closing stock carries a sign error."""
     return (product_id + week_number) % 33 == 0
