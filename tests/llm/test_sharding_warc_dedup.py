@@ -157,3 +157,22 @@ def test_empty_archive(spark):
     path = shared_folder(spark, "t")
     warc_store.write_archive(pages(spark, []), path)
     assert warc_store.read_index(spark, path).count() == 0
+
+
+def test_records_of_a_payload_that_a_third_share(spark, monkeypatch):
+    """They are rebuilt in many lanes, each record once and with its own bytes."""
+    monkeypatch.setattr(warc_store, "LANE_RECORDS", 7)
+    hot = "<p>" + "shared " * 30 + "</p>"
+    rows = [(i, f"http://h/{i}", hot if i % 3 == 0 else f"<p>{i}</p>" * 20, "x", "y") for i in range(300)]
+    path = shared_folder(spark, "warc-test")
+    warc_store.write_archive(pages(spark, rows), path)
+    got = {r["page_id"]: r for r in warc_store.read_records(spark, path).collect()}
+    assert len(got) == 300 and warc_store.read_records(spark, path).count() == 300
+    for i, url, html, *_ in rows:
+        body = html.encode()
+        kind = "revisit" if i % 3 == 0 and i else "response"
+        assert bytes(got[i]["payload"]) == body and got[i]["record_type"] == kind
+        assert got[i]["payload_digest"] == hashlib.sha256(body).hexdigest()
+        record = bytes(got[i]["record"])
+        assert f"WARC-Target-URI: {url}\r\n".encode() in record
+        assert record.endswith((b"" if kind == "revisit" else body) + b"\r\n\r\n")

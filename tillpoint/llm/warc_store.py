@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tillpoint.operators.rank import keep_first
 
 CRLF = "\r\n"
+LANE_RECORDS = 4096  # records of one payload that are rebuilt side by side
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -125,11 +126,20 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The reconstructed records: page_id, record_type, refers_to, payload (resolved for
     revisits too), its payload_digest and ``record``, the exact bytes of the WARC record.
-    Every record's payload is hashed and checked as in ``read_index``."""
-    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload")
+    Checked as in ``read_index``; a stored payload is hashed once, however many records it has.
+    The records of a digest are dealt over lanes of about ``LANE_RECORDS``, with a copy of the
+    payload for each: no task rebuilds all records of one payload."""
+    parsed = _parsed(spark, path)
+    lanes = parsed.groupBy("digest").agg(F.ceil(F.count(F.lit(1)) / LANE_RECORDS).cast("int").alias("lanes"))
+    stored = spark.read.parquet(f"{path}/payloads").select(
+        "digest", "payload", F.sha2("payload", 256).alias("found"), F.octet_length("payload").cast("long").alias("n_bytes"))
+    copies = (stored.join(lanes, "digest")
+              .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes"))
+    dealt = (parsed.join(lanes, "digest", "left")
+             .withColumn("lane", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("lanes", F.lit(1))).cast("int")).drop("lanes"))
     end = F.encode(F.lit(CRLF + CRLF), "UTF-8")
     body = F.when(F.col("record_type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
-    checked = _verified(F.col("digest"), F.sha2("payload", 256), F.octet_length("payload").cast("long"))
-    return (_parsed(spark, path).join(stored, "digest", "left")
+    checked = _verified(F.col("digest"), F.col("found"), F.col("n_bytes"))
+    return (dealt.join(copies, ["digest", "lane"], "left")
             .select("page_id", "record_type", "refers_to", "payload", checked.alias("payload_digest"),
                     F.concat("head", body, end).alias("record")))
