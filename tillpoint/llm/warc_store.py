@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillpoint.llm.common import staged
 from tillpoint.operators.rank import keep_first
 
 CRLF = "\r\n"
@@ -130,13 +131,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     The records of a digest are dealt over lanes of about ``LANE_RECORDS``, with a copy of the
     payload for each: no task rebuilds all records of one payload."""
     parsed = _parsed(spark, path)
-    lanes = parsed.groupBy("digest").agg(F.ceil(F.count(F.lit(1)) / LANE_RECORDS).cast("int").alias("lanes"))
+    counts = parsed.groupBy("digest").agg(F.ceil(F.count(F.lit(1)) / LANE_RECORDS).cast("int").alias("lanes"))
+    # Payloads with several lanes, at most one in LANE_RECORDS records. Written, so its size is known:
+    # Catalyst broadcasts it if small, and payloads are then exchanged once.
+    hot = staged(counts.filter("lanes > 1"), "hot-payloads")
     stored = spark.read.parquet(f"{path}/payloads").select(
         "digest", "payload", F.sha2("payload", 256).alias("found"), F.octet_length("payload").cast("long").alias("n_bytes"))
-    copies = (stored.join(lanes, "digest")
-              .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes"))
-    dealt = (parsed.join(lanes, "digest", "left")
-             .withColumn("lane", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("lanes", F.lit(1))).cast("int")).drop("lanes"))
+    lanes = F.coalesce("lanes", F.lit(1))
+    copies = (stored.join(hot, "digest", "left")
+              .withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1))).drop("lanes"))
+    dealt = (parsed.join(hot, "digest", "left")
+             .withColumn("lane", F.pmod(F.xxhash64("page_id", "url"), lanes).cast("int")).drop("lanes"))
     end = F.encode(F.lit(CRLF + CRLF), "UTF-8")
     body = F.when(F.col("record_type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
     checked = _verified(F.col("digest"), F.col("found"), F.col("n_bytes"))
