@@ -17,6 +17,7 @@ from tillpoint.params import TESTDATA_PARAMS as P
 from tillpoint.plans import audit as A
 from tillpoint.plans import customers as C
 from tillpoint.plans import impact as IM
+from tillpoint.plans import incremental as INC
 from tillpoint.plans import inventory as INV
 from tillpoint.plans import ledger as LG
 from tillpoint.plans import returns as R
@@ -65,12 +66,33 @@ def _audit() -> dict[str, Job]:
         "audit_counters": _job(lambda w: A.audit_counters(w["fact_transactions"], w["fact_inventory"],
                                                           w["dim_products"])),
         "clean_by_first": _job(lambda w: A.clean_by_first(w["fact_transactions"]), GUEST_KEYS),
+        "incremental_clean": _job(incremental_clean, GUEST_KEYS),
     }
 
 
+def incremental_clean(w):
+    """The clean table built from two batches, the second with late online sales and a month
+    that was loaded before, then the first batch once more."""
+    import uuid
+
+    from tillpoint.session import staging_root
+    t, day = w["fact_transactions"], F.col("transaction_date")
+    late = F.col("channel").eqNullSafe("Online")
+    first = t.filter((day < F.lit(P.recent_from)) & ~late)
+    second = t.filter(late | (day >= F.add_months(F.lit(P.recent_from), -1)))
+    clean = INC.CleanTable(w.spark, f"{staging_root(w.spark)}/clean-{uuid.uuid4().hex[:12]}")
+    for batch in (first, second, first):
+        clean.apply(batch)
+    return clean.read()
+
+
 def _sales() -> dict[str, Job]:
     return {
         "monthly_revenue": _job(lambda w: S.monthly_revenue(w["clean_transactions"])),
+        "monthly_revenue_rollup": _job(lambda w: S.monthly_revenue_rollup(
+            w["clean_transactions"], S.daily_sales(w["clean_transactions"]),
+            S.daily_ids(w["clean_transactions"], "customer_id"))),
+        "reach": _job(lambda w: S.reach(w["clean_transactions"])),
         "revenue_leakage": _job(lambda w: S.revenue_leakage(w["clean_transactions"], w["dim_products"],
                                                             w["dim_stores"], P.leakage_tolerance)),
         "store_scorecard": _job(lambda w: S.store_scorecard(w["clean_transactions"], w["fact_sales_targets"],

@@ -13,11 +13,14 @@ Scale notes
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.functions import labels as L
 from tillpoint.functions.exprs import count_if, dbl, mean, month_key, nz, pct, ratio, round_up, sum_if
+from tillpoint.operators import bitmaps
 from tillpoint.operators.rank import global_ranks
 from tillpoint.sources.layout import MONTH
 
@@ -41,6 +44,11 @@ def monthly_revenue(tc: DataFrame, approx_distinct: bool = False) -> DataFrame:
                 F.sum("revenue").alias("gross_revenue"),
                 F.sum(F.col("revenue") - F.col("cost")).alias("gross_profit"),
                 mean("discount_pct").alias("_avg_disc")))
+    return _monthly_measures(m)
+
+
+def _monthly_measures(m: DataFrame) -> DataFrame:
+    """The output of ``monthly_revenue`` from one row of totals per month."""
     by_month = Window.orderBy("month")
     prev = F.lag("gross_revenue").over(by_month)
     roll = by_month.rowsBetween(-2, 0)
@@ -59,6 +67,47 @@ def monthly_revenue(tc: DataFrame, approx_distinct: bool = False) -> DataFrame:
         .orderBy("month"))
 
 
+def daily_sales(tc: DataFrame) -> DataFrame:
+    """Partials of a day: totals that add up to those of any longer period."""
+    return (tc.groupBy("transaction_date")
+              .agg(F.sum("revenue").alias("revenue"), F.sum(F.col("revenue") - F.col("cost")).alias("profit"),
+                   F.sum("discount_pct").alias("discount"), F.count("discount_pct").alias("discounts")))
+
+
+def daily_ids(tc: DataFrame, id_col: str) -> DataFrame:
+    """Partials of a day: bitmaps of the ids that occur."""
+    return bitmaps.id_bitmaps(tc, {"transaction_date": F.col("transaction_date")}, id_col)
+
+
+def monthly_revenue_rollup(tc: DataFrame, days: DataFrame, buyers: DataFrame) -> DataFrame:
+    """``monthly_revenue`` from ``daily_sales`` and the ``daily_ids`` of customers. Transaction ids are
+    text and may be any: they are counted from the rows, as the only distinct count of that
+    plan, and joined per month."""
+    d = F.col("transaction_date")
+    month = month_key(d)
+    totals = (days.groupBy(month.alias("month"), F.year(d).alias("yr"), F.month(d).alias("mo"))
+              .agg(F.sum("revenue").alias("gross_revenue"), F.sum("profit").alias("gross_profit"),
+                   (dbl(F.sum("discount")) / dbl(nz(F.sum("discounts")))).alias("_avg_disc")))
+    customers = bitmaps.count_ids(bitmaps.merge(buyers, {"month": month}), ["month"], "_customers")
+    ids = tc.groupBy(month.alias("month")).agg(F.countDistinct("transaction_id").alias("transactions"))
+    return _monthly_measures(totals.join(ids, "month").join(customers, "month", "left")
+                             .withColumn("unique_customers", F.coalesce("_customers", F.lit(0))))
+
+
+def reach(tc: DataFrame) -> DataFrame:
+    """Unique customers, products and stores of every month, year and of all time, each level merged
+    from the bitmaps of the level below, starting with days."""
+    d = F.col("transaction_date")
+    parts = []
+    for id_col, out in (("customer_id", "customers"), ("product_id", "products"), ("store_id", "stores")):
+        months = bitmaps.merge(daily_ids(tc, id_col), {"period": month_key(d)})
+        years = bitmaps.merge(months, {"period": F.substring("period", 1, 4)})
+        ever = bitmaps.merge(years, {"period": F.lit("all")})
+        counts = [bitmaps.count_ids(x, ["period"], "n") for x in (months, years, ever)]
+        parts += [c.select("period", F.lit(out).alias("counted"), "n") for c in counts]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # J13 ----------------------------------------------------------------------------
 def revenue_leakage(tc: DataFrame, p: DataFrame, s: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """|price x qty - revenue| above the tolerance, bucketed by the signed gap."""
