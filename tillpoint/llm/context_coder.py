@@ -347,7 +347,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, spaces_matter: bool
 
 
 def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, segment, data) -> one row per document with its ids."""
+    """(segment_start, data) -> one row per document with its ids."""
     for batch in batches:
         for first in range(0, batch.num_rows, 4):  # a few segments side by side
             rows = batch.slice(first, 4)
@@ -359,8 +359,7 @@ def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ids = [i for at in range(0, len(blocks), LANES)
                    for i in decode_blocks(blocks[at:at + LANES], sizes[at:at + LANES], found[0][5])]
             at = 0
-            for (doc_ids, counts, coded, _, sums, _), part, segment in zip(
-                    found, rows.column("part").to_pylist(), rows.column("segment").to_pylist()):
+            for (doc_ids, counts, coded, _, sums, _), start in zip(found, rows.column("segment_start").to_pylist()):
                 own = ids[at:at + len(coded)]
                 at += len(coded)
                 for block, expected in zip(own, sums):
@@ -369,12 +368,10 @@ def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 ends = np.cumsum(counts)
                 offsets = np.concatenate([[0], ends]).astype(np.int64) * 4
                 flat = np.concatenate(own).astype("<u4").tobytes() if own else b""
-                n = len(doc_ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array([segment] * n, pa.int64()), pa.array(doc_ids, pa.int64()),
-                     pa.array(ends - counts), pa.array(counts),
+                    [pa.array(doc_ids, pa.int64()), pa.array(start + ends - counts), pa.array(counts),
                      pa.array([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())],
-                    names=["part", "segment", "doc_id", "place", "n_tokens", "ids"])
+                    names=["doc_id", "start", "n_tokens", "ids"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -390,7 +387,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     starts = (sizes.withColumn("before", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
               .join(part_starts, "part")
               .select("part", "segment", (F.col("part_start") + F.col("before")).alias("segment_start")))
-    docs = segments.select("part", "segment", "data").mapInArrow(
-        _read_segments, "part int, segment long, doc_id long, place long, n_tokens long, ids binary")
-    return docs.join(starts, ["part", "segment"]).select(
-        "doc_id", (F.col("segment_start") + F.col("place")).alias("start"), "n_tokens", "ids")
+    # Starts meet the coded segments: decoded ids are neither exchanged nor broadcast.
+    return segments.join(starts, ["part", "segment"]).select("segment_start", "data").mapInArrow(
+        _read_segments, "doc_id long, start long, n_tokens long, ids binary")
