@@ -2,8 +2,8 @@
 
 Both public tokenizers split a text at white space before their merges run, so the
 ids of a text are the ids of its words in order. A task cuts its texts into words,
-has the ``tokenizers`` library encode each distinct word once, and looks the rest
-up. Words of ASCII and Latin-1 letters are cut further, where the tokenizer's own
+numbers their distinct words in Arrow, has the ``tokenizers`` library encode each new one
+once, and looks the others up. Words of ASCII and Latin-1 letters are cut further, where the tokenizer's own
 pattern cuts, and each distinct part goes straight to the library's merge model;
 other words go through its whole chain, and texts with white space outside ASCII go
 to it whole. The result equals ``Tokenizer.encode(text, add_special_tokens=False)``;
@@ -19,9 +19,11 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_CACHE = 400_000  # distinct words a Python worker remembers
-TEXT_CHUNK = 1 << 20  # bytes of text encoded at a time
+TEXT_CHUNK = 4 << 20  # bytes of text encoded at a time
 
 _CONTROL_SPACES = b"\x00" + bytes(range(0x1C, 0x20))
 _ODD_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -35,6 +37,7 @@ _CUT = "\x00"  # between words that are cut together
 # Words of this alphabet need no normalisation beyond str.lower(), and the patterns
 # below cut them where the tokenizers' patterns do (letters, digits, the rest).
 _PLAIN_WORD = re.compile(r"[\n ]?[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_OTHER_CHARACTER = "[^\n\x21-\x7eÀ-ÖØ-öø-ÿ]"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _PARTS_SPACED = re.compile(rf"{_CUT}|{_SHORT}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_CUT}0-9{_LETTER}]+|\n")
@@ -103,14 +106,19 @@ class WordTable:
             if self.end_id is not None:
                 words.append(_END)
             bounds[i + 1] = len(words)
-        new = set(words).difference(self.known)
+        numbered = pa.array(words, pa.large_binary()).dictionary_encode()
+        del words
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = numbered.indices.to_numpy()
+        new = [w for w in distinct if w not in self.known]
         if len(self.known) + len(new) > self.cache:
             self._forget()
-            new = set(words).difference(self.known)
+            new = [w for w in distinct if w not in self.known]
         if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        self.uses += np.bincount(at, minlength=len(self.uses))
+            self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.uses[place] += np.bincount(number, minlength=len(distinct))
+        at = place[number]
         ends = np.concatenate([[0], np.cumsum(self.lengths[at])])
         return ragged(self.ids, self.lengths, at), np.diff(ends[bounds])
 
@@ -123,6 +131,7 @@ class WordEncoder(WordTable):
                  cache: int = WORD_CACHE):
         from tokenizers import Tokenizer
 
+        self.parts: dict[str, int] = {}
         super().__init__(end_id, cache)
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
@@ -132,7 +141,9 @@ class WordEncoder(WordTable):
 
     def _reset(self) -> None:
         super()._reset()
-        self.parts: dict[str, int] = {_CUT: 0}
+        if self.parts and len(self.parts) <= 1.5 * self.cache:
+            return  # parts recur more often than words
+        self.parts = {_CUT: 0}
         self.part_lengths = np.array([0], np.int64)
         self.part_ids = np.zeros(0, np.uint32)
 
@@ -148,10 +159,28 @@ class WordEncoder(WordTable):
         words[0] = _AS_IS + words[0]
         return words if body else []
 
-    def _plain(self, key: bytes) -> str:
-        if key[:1] == _AS_IS:
-            return key[1:].decode()
-        return key.decode() if not self.spaces_matter or key[:1] == b"\n" else " " + key.decode()
+    def _simple(self, words: list[bytes]) -> tuple[list[bytes], str, list[tuple[bytes, str]]]:
+        """(words that need no normalisation but str.lower(), their texts joined by cut marks, all
+        other words with their texts)."""
+        marked = [(w, w[1:].decode()) for w in words if w[:1] == _AS_IS]
+        bare = [w for w in words if w[:1] != _AS_IS] if marked else words
+        simple = [(w, t) for w, t in marked if _PLAIN_WORD.fullmatch(t)]
+        odd = [(w, t) for w, t in marked if not _PLAIN_WORD.fullmatch(t)]
+        texts = pa.array(bare, pa.large_binary()).cast(pa.large_string())
+        other = pc.and_(pc.invert(pc.string_is_ascii(texts)), pc.match_substring_regex(texts, _OTHER_CHARACTER))
+        strange = np.flatnonzero(other.to_numpy(zero_copy_only=False)).tolist()
+        if strange:
+            space = b" " if self.spaces_matter else b""
+            odd += [(w, (w if w[:1] == b"\n" else space + w).decode()) for w in map(bare.__getitem__, strange)]
+            left_out = set(strange)
+            bare = [w for i, w in enumerate(bare) if i not in left_out]
+        mark = _CUT.encode()
+        if self.spaces_matter:  # a space before each word, but for those that start a line
+            joined = (mark + b" ").join([b"", *bare]).replace(mark + b" \n", mark + b"\n")[1:]
+        else:
+            joined = mark.join(bare)
+        pieces = ([joined.decode()] if bare else []) + [t for _, t in simple]
+        return bare + [w for w, _ in simple], _CUT.join(pieces), odd
 
     def _part_places(self, flat: list[str]) -> np.ndarray:
         """Place of each part in the part table; new parts go through the merge model."""
@@ -167,18 +196,14 @@ class WordEncoder(WordTable):
         return np.fromiter(map(self.parts.__getitem__, flat), np.int64, len(flat))
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = [(w, self._plain(w)) for w in words]
-        simple = [(w, t) for w, t in plain if w[:1] != _AS_IS and t.isascii() or _PLAIN_WORD.fullmatch(t)]
+        simple, joined, odd = self._simple(words)
         if simple:
-            joined = _CUT.join([t for _, t in simple])
             cut = (_PARTS_SPACED if self.spaces_matter else _PARTS_WORDS).findall
-            flat = cut(joined if self.spaces_matter else joined.lower())
-            at = self._part_places(flat)
+            at = self._part_places(cut(joined if self.spaces_matter else joined.lower()))
             lengths = self.part_lengths[at]
             border = np.flatnonzero(at == 0)  # the cut mark is part 0, without ids
             ends = np.append(np.cumsum(lengths)[border], lengths.sum())
-            self._add([w for w, _ in simple], np.diff(ends, prepend=0), ragged(self.part_ids, self.part_lengths, at))
-        odd = [(w, t) for w, t in plain if not (w[:1] != _AS_IS and t.isascii() or _PLAIN_WORD.fullmatch(t))]
+            self._add(simple, np.diff(ends, prepend=0), ragged(self.part_ids, self.part_lengths, at))
         for first in range(0, len(odd), 10_000):
             part = odd[first:first + 10_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)]
