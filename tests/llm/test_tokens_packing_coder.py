@@ -142,6 +142,46 @@ def test_patterns_reach_the_volume_bound():
     assert sum(x for _, x in solved) <= bound * 1.002
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 40), min_size=1, max_size=8))
+def test_cover_is_proven_and_covers_every_length(demand):
+    solved = cutting_stock.solve_patterns(demand, 24, gap=0.0)
+    made = Counter()
+    for p, x in solved:
+        assert x >= 0 and sum(n * k for n, k in p.items()) <= 24
+        for n, k in p.items():
+            made[n] += k * x
+    sequences = sum(x for _, x in solved)
+    assert all(-1e-6 < made[n] - demand[n] < 2e-3 * sequences for n in demand)
+    lengths, need = np.array(list(demand)), np.array(list(demand.values()))
+    assert sequences >= cutting_stock.volume_bound(lengths, need, 24) - 1e-6
+    # no pattern is worth more than one sequence at the optimum's prices: brute force over all patterns
+    patterns = [()]
+    for n in sorted(demand):
+        patterns = [p + (k,) for p in patterns for k in range((24 - sum(a * b for a, b in zip(sorted(demand), p))) // n + 1)]
+    rows = np.array(patterns, float)
+    prices = _packing_prices(rows, np.array([demand[n] for n in sorted(demand)], float))
+    assert sequences <= prices * (1 + 2e-3) + 1e-6
+
+
+def _packing_prices(patterns: np.ndarray, need: np.ndarray) -> float:
+    """Optimum of the linear program over all patterns, by a dense tableau of its dual
+    (maximise price @ need while no pattern is worth more than 1)."""
+    used = patterns[patterns.any(axis=1)]
+    m, n = used.shape
+    tableau = np.zeros((m + 1, n + m + 1))
+    tableau[:m, :n], tableau[:m, n:n + m], tableau[:m, -1] = used, np.eye(m), 1
+    tableau[m, :n] = -need
+    while (tableau[m, :-1] < -1e-9).any():
+        enter = int(np.argmax(tableau[m, :-1] < -1e-9))  # Bland's rule
+        rows = np.flatnonzero(tableau[:m, enter] > 1e-9)
+        out = rows[np.argmin(tableau[rows, -1] / tableau[rows, enter])]
+        tableau[out] /= tableau[out, enter]
+        others = np.arange(m + 1) != out
+        tableau[others] -= np.outer(tableau[others, enter], tableau[out])
+    return float(tableau[m, -1])
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**12 - 1), max_size=80), max_size=6))
 def test_blocks_round_trip(blocks):

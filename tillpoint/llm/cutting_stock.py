@@ -3,10 +3,9 @@
 Documents become token ids, cut into full sequences and one remainder. How many
 pieces have each length is a histogram of at most ``capacity`` rows; a linear
 program over packing patterns covers it with the fewest sequences. Columns
-(patterns) are priced by an unbounded-knapsack dynamic program on the dual prices
-and enter a revised simplex until the cover is proven near its optimum, or a
-warning tells how far from it the columns ended. The patterns,
-rounded down, give each length ranges of ranks; pieces are ranked inside their length
+(patterns, and exchanges of one piece for shorter ones) are priced by an
+unbounded-knapsack dynamic program on the dual prices and enter a revised simplex until
+the cover is proven near its optimum. The patterns, rounded down, give each length ranges of ranks; pieces are ranked inside their length
 by a distributed numbering and look their range up. Patterns that leave padding are
 used, those that leave least first, while all their padding stays within a stated share
 of the ids, whatever the number of pieces. The pieces of the others and what rounding
@@ -23,7 +22,6 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,25 +65,33 @@ def cut_documents(tokenizer: str, spaces_matter: bool, end_id: int, capacity: in
     return run
 
 
-def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, Counter]:
-    """The pattern of highest total price that fits ``capacity`` (unbounded knapsack)."""
-    best, item = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int32)
-    for room in range(int(lengths[0]), capacity + 1):
-        fit = np.searchsorted(lengths, room, "right")
-        value = best[room - lengths[:fit]] + prices[:fit]
-        k = int(value.argmax())
-        if value[k] > best[room - 1]:
-            best[room], item[room] = value[k], k
-        else:
-            best[room] = best[room - 1]
-    pattern, room = Counter(), capacity
-    while room > 0:
-        if item[room] < 0 or best[room] == best[room - 1]:
-            room -= 1
-            continue
-        pattern[int(item[room])] += 1
-        room -= int(lengths[item[room]])
-    return float(best[capacity]), pattern
+class Knapsack:
+    """Unbounded knapsack over ``lengths`` (ascending) with ``prices``, for every room up to
+    ``capacity``: ``best[room]`` is the highest total price that fits."""
+
+    def __init__(self, lengths: np.ndarray, prices: np.ndarray, capacity: int):
+        self.lengths = lengths
+        self.best, self.item = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int32)
+        best = self.best
+        for room in range(int(lengths[0]), capacity + 1):
+            fit = np.searchsorted(lengths, room, "right")
+            value = best[room - lengths[:fit]] + prices[:fit]
+            k = int(value.argmax())
+            if value[k] > best[room - 1]:
+                best[room], self.item[room] = value[k], k
+            else:
+                best[room] = best[room - 1]
+
+    def filling(self, room: int) -> Counter:
+        """Items (by number) of a best filling of ``room``."""
+        pattern = Counter()
+        while room > 0:
+            if self.item[room] < 0:
+                room -= 1
+                continue
+            pattern[int(self.item[room])] += 1
+            room -= int(self.lengths[self.item[room]])
+        return pattern
 
 
 def first_basis(lengths: np.ndarray, need: np.ndarray,
@@ -105,7 +111,7 @@ def first_basis(lengths: np.ndarray, need: np.ndarray,
         room = capacity - int(lengths[longest])
         if room >= lengths[alive[0]]:
             plenty = 1 + 0.02 * left[alive] / max(1e-9, left[alive].max())
-            _, rest = best_pattern(lengths[alive], lengths[alive] * plenty, room)
+            rest = Knapsack(lengths[alive], lengths[alive] * plenty, room).filling(room)
             pattern.update({int(alive[i]): n for i, n in rest.items()})
         used = np.array(list(pattern))
         times = left[used] / np.array([pattern[i] for i in used])
@@ -124,42 +130,118 @@ def first_basis(lengths: np.ndarray, need: np.ndarray,
     return patterns, amount, inverse
 
 
-def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3,
-                   max_columns: int = 400) -> list[tuple[Counter, float]]:
-    """Column generation: [(pattern {length: pieces}, sequences)], covering ``demand``
-    exactly. Columns enter until the sequences used are proven within ``gap`` of the
-    optimum, by the volume bound or by Farley's bound (cost over the best column's value).
-    After ``max_columns`` the cover is used as it is, and a warning gives its proven gap."""
+class Cover:
+    """Revised simplex over columns that cover the demand of each length: a pattern (cost
+    1) adds its pieces, an exchange (cost 0) takes one slot of a length and adds the
+    shorter pieces that fill it instead."""
+
+    def __init__(self, lengths: np.ndarray, need: np.ndarray, capacity: int):
+        self.columns, self.amount, self.inverse = first_basis(lengths, need, capacity)
+        shares = np.modf(np.arange(1, len(need) + 1) * (5 ** 0.5 - 1) / 2)[0]
+        self.amount = self.amount + 1e-4 * self.amount.mean() * shares
+        self.source = np.full(len(lengths), -1)  # length whose slot an exchange takes; -1: a pattern
+        self.prices = self.inverse.sum(axis=0)
+
+    @property
+    def sequences(self) -> float:
+        return float(self.amount[self.source < 0].sum())
+
+    def enter(self, column: Counter, source: int, min_gain: float = 1e-7) -> bool:
+        """Let a column into the basis if it still saves sequences at the present prices."""
+        pieces = dict(column)
+        if source >= 0:
+            pieces[source] = pieces.get(source, 0) - 1
+        at, n = np.array(list(pieces), np.int64), np.array(list(pieces.values()), float)
+        gain = float(self.prices[at] @ n) - (source < 0)
+        if gain <= min_gain:
+            return False
+        step = self.inverse[:, at] @ n
+        rows = np.flatnonzero(step > 1e-9)
+        out = rows[np.argmin(self.amount[rows] / step[rows])]
+        entering = max(0.0, self.amount[out] / step[out])
+        self.amount = np.maximum(self.amount - entering * step, 0.0)
+        self.amount[out] = entering
+        pivot = self.inverse[out] / step[out]
+        changed, used = np.flatnonzero(step), np.flatnonzero(pivot)
+        self.inverse[np.ix_(changed, used)] -= np.outer(step[changed], pivot[used])
+        self.inverse[out] = pivot
+        self.prices = self.prices - gain * pivot
+        self.columns[out], self.source[out] = column, source
+        return True
+
+    def patterns(self) -> list[tuple[Counter, float]]:
+        """Patterns and amounts after the exchanges. From the longest length down, slots are
+        refilled pattern by pattern; an exchange splits at most one pattern."""
+        done = [(p, x) for p, x, s in zip(self.columns, self.amount, self.source) if s < 0 and x > 1e-9]
+        swaps = sorted(((int(s), p, x) for p, x, s in zip(self.columns, self.amount, self.source)
+                        if s >= 0 and x > 1e-9), key=lambda swap: -swap[0])
+        for slot, filling, slots in swaps:
+            after = []
+            for pattern, amount in done:
+                n = pattern[slot]
+                share = min(amount, slots / n) if n else 0.0
+                if share > 1e-9:
+                    refilled = Counter({i: k for i, k in pattern.items() if i != slot})
+                    for i, k in filling.items():
+                        refilled[i] += n * k
+                    after.append((refilled, share))
+                    slots -= share * n
+                if amount - share > 1e-9:
+                    after.append((pattern, amount - share))
+            done = after
+        return done
+
+
+def volume_bound(lengths: np.ndarray, need: np.ndarray, capacity: int) -> float:
+    """Fewest sequences by volume: for every limit k, pieces longer than ``capacity - k`` fill
+    a sequence, those above a half take one each, and the others of at least k fill what
+    those leave; the best limit counts."""
+    half = capacity // 2
+    best = float((lengths * need).sum()) / capacity
+    for k in range(1, half + 1):
+        large, middle = lengths > capacity - k, (lengths > half) & (lengths <= capacity - k)
+        small = (lengths >= k) & (lengths <= half)
+        over = (lengths * need)[small].sum() - ((capacity - lengths) * need)[middle].sum()
+        best = max(best, need[large].sum() + need[middle].sum() + max(0.0, float(over)) / capacity)
+    return float(best)
+
+
+def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 5e-3,
+                   smoothing: float = 0.9) -> list[tuple[Counter, float]]:
+    """Column generation: [(pattern {length: pieces}, sequences)], covering ``demand``.
+    One knapsack table prices the best pattern and, for every length, the best exchange of
+    its slot for shorter pieces: exchanges keep the prices monotone and superadditive, as
+    those of an optimal cover are. Tables are built on prices between the simplex's and the
+    ones that gave the best bound so far; when nothing enters, the weight of the latter is
+    halved, down to none. Columns enter until the sequences used are proven within ``gap`` of the
+    optimum, by volume or by Farley's bound (the demand's price over the best pattern's).
+    Against ties in the pivots the first amounts are raised, each by another share, by less
+    than 0.01 % in total; bounds are those of the true demand."""
     lengths = np.array(sorted(demand), np.int64)
     need = np.array([demand[int(n)] for n in lengths], float)
-    m = len(lengths)
-    if not m:
+    if not len(lengths):
         return []
-
-    patterns, amount, inverse = first_basis(lengths, need, capacity)
-    bound = float((lengths * need).sum()) / capacity
-    for _ in range(max_columns):
-        if amount.sum() <= bound * (1 + gap):
-            break
-        value, pattern = best_pattern(lengths, inverse.sum(axis=0), capacity)
-        bound = max(bound, float(amount.sum()) / value)
-        if value <= 1 + 1e-7 or amount.sum() <= bound * (1 + gap):
+    cover = Cover(lengths, need, capacity)
+    bound = volume_bound(lengths, need, capacity)
+    center, weight = lengths / capacity, smoothing
+    while cover.sequences > bound * (1 + gap):
+        prices = weight * center + (1 - weight) * cover.prices
+        table = Knapsack(lengths, prices, capacity)
+        proven = float(prices @ need) / float(table.best[capacity])
+        if proven > bound:
+            bound, center = proven, prices / table.best[capacity]
+        entered = 0
+        for k in np.flatnonzero(table.best[lengths - 1] > prices - 1e-2 / capacity):
+            entered += cover.enter(table.filling(int(lengths[k]) - 1), int(k))
+        entered += cover.enter(table.filling(capacity), -1)
+        if entered:
+            weight = smoothing
+        elif weight:
+            weight = weight / 2 if weight > 0.05 else 0.0
+        else:
             break
-        step = (inverse[:, list(pattern)] * np.array(list(pattern.values()))).sum(axis=1)
-        rows = np.flatnonzero(step > 1e-9)
-        out = rows[np.argmin(amount[rows] / step[rows])]
-        entering = max(0.0, amount[out] / step[out])
-        amount = np.maximum(amount - entering * step, 0.0)
-        amount[out] = entering
-        pivot = inverse[out] / step[out]
-        inverse -= np.outer(step, pivot)
-        inverse[out] = pivot
-        patterns[out] = pattern
-    else:
-        if amount.sum() > bound * (1 + gap):
-            warnings.warn(f"packing patterns: stopped after {max_columns} columns, "
-                          f"{amount.sum() / bound - 1:.4f} above the proven bound", stacklevel=2)
-    return [(Counter({int(lengths[i]): n for i, n in p.items()}), float(x)) for p, x in zip(patterns, amount)]
+    cover.amount = np.maximum(cover.inverse @ need, 0.0)  # of the true demand
+    return [(Counter({int(lengths[i]): n for i, n in p.items()}), float(x)) for p, x in cover.patterns()]
 
 
 @dataclass
@@ -183,7 +265,7 @@ def powers_of_two(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def plan_slots(demand: dict[int, int], capacity: int, gap: float = 1e-3, max_padding: float = 1e-3) -> Slots:
+def plan_slots(demand: dict[int, int], capacity: int, gap: float = 5e-3, max_padding: float = 1e-3) -> Slots:
     """Whole patterns first (rounded down), then the rest laid end to end and cut. Patterns
     that leave padding are used while it is at most ``max_padding`` of all ids in total;
     the pieces of the others join the rest. Of the rest, equal pieces that fill sequences
@@ -282,7 +364,7 @@ class Packing:
 
 
 def pack(df: DataFrame, tokenizer_path: str, spaces_matter: bool = True, end_id: int = 0,
-         capacity: int = 1024, gap: float = 1e-3, lanes: int = 256,
+         capacity: int = 1024, gap: float = 5e-3, lanes: int = 256,
          id_col: str = "doc_id", text_col: str = "text") -> Packing:
     """Pack all documents of ``df`` into sequences of at most ``capacity`` ids."""
     spark: SparkSession = df.sparkSession
