@@ -71,6 +71,38 @@ def test_label_model_weighs_voters():
     assert auc(y, q) > 0.97 and auc(y, model.posterior(votes)) > 0.9
 
 
+def test_label_model_learns_rates_from_agreement():
+    """Without any rating, voters that agree are believed and a random one is not."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(6000) < 0.2).astype(float)
+    def voter(hit, miss):
+        return np.where(rng.random(6000) < np.where(y == 1, hit, miss), 1, -1)
+    votes = np.column_stack([voter(0.8, 0.02), voter(0.7, 0.02), voter(0.6, 0.02), voter(0.2, 0.2),
+                             np.where(rng.random(6000) < np.where(y == 0, 0.9, 0.1), 0, -1)]).astype(np.int8)
+    model, q = toxicity.fit_label_model(votes, 0.2)
+    assert model.accuracy[:3].min() > 0.7 and model.accuracy[3] < 0.4 and auc(y, q) > 0.97
+    # missing votes are no evidence, so the rates are low, but in the true order
+    assert (np.diff(model.rates[:3, 1]) < 0).all() and (model.rates[:3, 1] > 10 * model.rates[:3, 0]).all()
+    unrated, _ = toxicity.fit_label_model(votes, 0.2, np.full(6000, np.nan))
+    assert np.allclose(unrated.rates, model.rates)
+
+
+def test_unlabelled_rows_are_learnt_from_and_held_out_texts_are_not(trained, spark):
+    docs, labels = trained
+    rows, share = toxicity.training_sample(docs, labels, 50, 100, "doc_id", "text", "toxic")
+    toxic = rows["toxic"].to_numpy(float, na_value=np.nan)
+    assert np.isnan(toxic).sum() == 100 and (toxic == 0).sum() == 50 and 0 < (toxic == 1).sum() <= 50
+    held = toxicity.remainder(F.col("doc_id")) == toxicity.HELD_OUT
+    blank = docs.withColumn("text", F.when(held, F.lit("idiot")).otherwise(F.col("text")))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(blank, labels)
+    assert np.allclose(a.weights.dense(BUCKETS), b.weights.dense(BUCKETS), atol=1e-5)
+    # an id that a third of all rows share is one row of the sample
+    hot = docs.unionByName(spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.lit("x").alias("text")),
+                           allowMissingColumns=True)
+    again, _ = toxicity.training_sample(hot, labels, 50, 100, "doc_id", "text", "toxic")
+    assert len(again) == len(rows)
+
+
 def test_quality_rejects_junk_and_keeps_the_clean(trained):
     docs, labels = trained
     model = ordinal_quality.fit(docs, ratings(labels), grades=3)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,6 @@ from tillpoint.llm import (context_coder, cutting_stock, exact_dedup, hilbert_se
                            merkle, ordinal_quality, prefix_trie, sharding, toxicity, unigram, warc_store)
 from tillpoint.llm.common import shared_folder, table
 
-TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
 N_SHARDS = 16
 
 
@@ -24,12 +24,12 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_context_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-ids")
-    context_coder.write_ids(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json")
+    context_coder.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return context_coder.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = cutting_stock.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    packed = cutting_stock.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.digests()
 
 
@@ -72,7 +72,7 @@ def op9_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = unigram.load_model(f"{TOKENIZERS}/piece_bpe_32k.model", zipf=True)
+    model = unigram.load_model(public_tokenizers.path("piece_bpe_32k.model"), zipf=True)
     decoded = unigram.decode(unigram.encode(table(spark, sf_dir, "documents"), model), model)
     return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_pieces"),
                           F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -4,22 +4,25 @@
    of a public seed list and of terms mined from labelled training rows, words and
    word beginnings), pattern voters (shouting, exclamation runs, repeated terms) and
    clean voters (no lexicon term at all). A voter says toxic, clean, or abstains.
-2. *Label model.* A generative model of the votes, fitted by EM: each voter's rate
-   under either class, for a given class balance; a training row's rating is one
-   more voter of fixed accuracy. The votes' correlation inside the classes is
-   estimated too, and a voter's evidence is divided by how much of it other voters
-   repeat.
+2. *Label model.* A generative model of the votes on labelled and unlabelled rows,
+   fitted by EM: each voter's rate under either class, for a given class balance. Rates
+   come from the voters' agreement and, on labelled rows, from the rating, a voter of
+   fixed accuracy that takes part in this estimate alone. The votes' correlation inside
+   the classes is estimated too, and a voter's evidence is divided by how much of it
+   other voters repeat. A row's posterior comes from its votes, never from its rating.
 3. *Classifier.* A logistic model over hashed words and word beginnings learns the
-   label model's posteriors and scores every document.
+   label model's posteriors of all drawn rows and scores every document.
 
 Labels are read only of rows whose crc32(doc_id as text) mod 4 is not 2, to mine
-lexicon terms, set the class balance and vote in the label model; at most
-``max_per_class`` rows of each label are used (a bounded sample, the first by a hash
-of the id). Language, source and id are never inputs of a score.
+lexicon terms, set the class balance and calibrate the voters' rates. At most
+``max_per_class`` rows of each label and ``max_unlabelled`` rows without one are used (a
+bounded sample, the first by a hash of the id; held-out rows are not drawn). Language,
+source and id are never inputs of a score.
 
 Edge cases: null and empty texts have no features and get the intercept's score;
 labels that are null are ignored, a document labelled twice counts as toxic if one
-label says so; without labelled rows every document scores 0; an empty table gives
+label says so; of rows with equal ids the smallest text is learnt from, rows without an
+id are only scored; without labelled rows every document scores 0; an empty table gives
 an empty result; repeated rows score alike; other columns are ignored.
 """
 
@@ -70,32 +73,41 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([_patterns(t) for t in texts], pa.list_(pa.float64()))], names=["toxic", "terms", "patterns"])
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, max_per_class: int, id_col: str, text_col: str,
-                    label_col: str) -> tuple[pd.DataFrame, float]:
-    """At most ``max_per_class`` rows of each label with their features, on the driver,
-    and the share of toxic rows among all that could be drawn."""
+def training_sample(df: DataFrame, labels: DataFrame, max_per_class: int, max_unlabelled: int, id_col: str,
+                    text_col: str, label_col: str) -> tuple[pd.DataFrame, float]:
+    """At most ``max_per_class`` rows of each label and ``max_unlabelled`` rows without one, with
+    their features, on the driver, and the share of toxic rows among all labelled ones."""
+    texts = id_text(df, id_col, text_col)
+    ids = texts.select("doc_id").filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != HELD_OUT))
     known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
              .filter(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id")) != HELD_OUT))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    known = known.join(id_text(df, id_col, text_col).select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.join(ids.distinct(), "doc_id", "left_semi")
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.col("doc_id")]
-    chosen = known.filter("toxic = 1").orderBy(*order).limit(max_per_class).unionByName(
-        known.filter("toxic = 0").orderBy(*order).limit(max_per_class))
-    # At most 2 x max_per_class rows: the bound of the broadcast.
-    rows = id_text(df, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    return rows.mapInArrow(_extract, "toxic int, terms array<int>, patterns array<double>").toArrow().to_pandas(), share
-
-
-def mine_terms(sample: Sample, toxic: np.ndarray, count: int = MINED) -> np.ndarray:
-    """Hashed ids of the terms that stand out most in toxic rows (G-test), found in at
-    least three and 2 % of them and at least nine times as often as in clean rows."""
-    n1, n0 = max(1, toxic.sum()), max(1, (1 - toxic).sum())
-    hit1, hit0 = sample.sums(toxic), sample.sums(1 - toxic)
+    unlabelled = ids.distinct().join(known, "doc_id", "left_anti").withColumn("toxic", F.lit(None).cast("int"))
+    chosen = unlabelled.orderBy(*order).limit(max_unlabelled)
+    for label in (1, 0):
+        chosen = chosen.unionByName(known.filter(F.col("toxic") == label).orderBy(*order).limit(max_per_class))
+    # At most 2 x max_per_class + max_unlabelled rows: the bound of the broadcast.
+    rows = (texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id")
+            .agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
+    found = rows.mapInArrow(_extract, "toxic int, terms array<int>, patterns array<double>").toArrow()
+    return found.to_pandas(), share
+
+
+def mine_terms(sample: Sample, toxic: np.ndarray, known: np.ndarray, ratio: float,
+               count: int = MINED) -> np.ndarray:
+    """Hashed ids of the terms that stand out most in toxic rows (G-test) among those with
+    ``known`` labels, found in at least three and 2 % of them and at least ``ratio`` times as
+    often as in clean rows."""
+    is_toxic, is_clean = (known & (toxic == 1)).astype(float), (known & (toxic == 0)).astype(float)
+    n1, n0 = max(1, is_toxic.sum()), max(1, is_clean.sum())
+    hit1, hit0 = sample.sums(is_toxic), sample.sums(is_clean)
     rate1, rate0 = (hit1 + 0.1) / n1, (hit0 + 0.1) / n0
     mean = (hit1 + hit0 + 0.2) / (n1 + n0)
     gain = hit1 * np.log(rate1 / mean) + hit0 * np.log(rate0 / mean)
-    gain[(hit1 < np.maximum(3, 0.02 * n1)) | (rate1 < 9 * rate0)] = 0
+    gain[(hit1 < np.maximum(3, 0.02 * n1)) | (rate1 < ratio * rate0)] = 0
     best = np.argsort(-gain, kind="stable")[:count]
     return sample.columns[best[gain[best] > 0]]
 
@@ -143,26 +155,29 @@ def joint_evidence(voted: np.ndarray, evidence: np.ndarray, repeats: np.ndarray)
     return total
 
 
-def fit_label_model(votes: np.ndarray, balance: float, rated: np.ndarray, rater: float = 0.97,
-                    rounds: int = 15) -> tuple[LabelModel, np.ndarray]:
-    """EM over the votes for a given class balance; returns the model and the rows'
-    posteriors. The rating of a training row (``rated``, 0 or 1) is one more voter, of
-    fixed accuracy ``rater``: votes alone cannot tell how precise a lone voter is. Rates
-    are smoothed, and a voter stays on the side it was built for (its vote is evidence
-    for its own class, or none)."""
+def fit_label_model(votes: np.ndarray, balance: float, rated: np.ndarray | None = None, rater: float = 0.97,
+                    rounds: int = 15, weight: np.ndarray | None = None) -> tuple[LabelModel, np.ndarray]:
+    """EM over the votes of weighted rows for a given class balance; returns the model and
+    the rows' posteriors. Voters' rates come from their agreement: the first posteriors
+    count the votes on either side. With ``rated`` (0 or 1; NaN: none), a rating is one more
+    voter, of fixed accuracy ``rater``. Rates are smoothed, and a voter stays on the side it
+    was built for (its vote is evidence for its own class, or none)."""
     voted = (votes >= 0).astype(float)
+    weight = np.ones(len(votes)) if weight is None else weight
     side = np.where((votes == 1).any(axis=0), 1, 0)
     toward = np.where(side == 1, 1.0, -1.0)
     balance = float(np.clip(balance, 0.01, 0.99))
-    prior = np.log(balance / (1 - balance)) + (2 * rated - 1) * np.log(rater / (1 - rater))
-    q = sigmoid(prior)
+    prior = np.full(len(votes), np.log(balance / (1 - balance)))
+    if rated is not None:
+        prior = prior + np.nan_to_num(2 * rated - 1) * np.log(rater / (1 - rater))
+    q = sigmoid(prior + 2 * (voted @ toward))
     rates = evidence = repeats = accuracy = correlation = None
     for _ in range(rounds):
-        n1, n0 = q.sum(), (1 - q).sum()
-        rates = np.column_stack([((1 - q) @ voted + 0.5) / (n0 + 1), (q @ voted + 0.5) / (n1 + 1)])
+        w1, w0 = weight * q, weight * (1 - q)
+        rates = np.column_stack([(w0 @ voted + 0.5) / (w0.sum() + 1), (w1 @ voted + 0.5) / (w1.sum() + 1)])
         residual = voted - (np.outer(1 - q, rates[:, 0]) + np.outer(q, rates[:, 1]))
-        spread = residual.std(axis=0) + 1e-6
-        correlation = (residual / spread).T @ (residual / spread) / len(votes)
+        spread = np.sqrt(weight @ residual ** 2 / weight.sum()) + 1e-6
+        correlation = (residual / spread * weight[:, None]).T @ (residual / spread) / weight.sum()
         np.fill_diagonal(correlation, 0.0)
         same = side[:, None] == side[None, :]
         repeats = 1 + np.where(same, np.maximum(correlation, 0), 0).sum(axis=1)
@@ -181,22 +196,30 @@ class ToxicityModel:
     labels: LabelModel | None
 
 
-def fit(df: DataFrame, labels: DataFrame, max_per_class: int = 2000, id_col: str = "doc_id",
-        text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Voters, label model and classifier from at most ``2 x max_per_class`` labelled rows."""
-    return fit_rows(*labelled_sample(df, labels, max_per_class, id_col, text_col, label_col))
+def fit(df: DataFrame, labels: DataFrame, max_per_class: int = 2000, max_unlabelled: int = 4000,
+        id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Voters, label model and classifier from a bounded sample of labelled and unlabelled rows."""
+    return fit_rows(*training_sample(df, labels, max_per_class, max_unlabelled, id_col, text_col, label_col))
 
 
-def fit_rows(rows: pd.DataFrame, share: float) -> ToxicityModel:
-    toxic = rows["toxic"].to_numpy(float) if len(rows) else np.zeros(0)
-    if toxic.sum() == 0:
+def fit_rows(rows: pd.DataFrame, share: float, rater: float | None = 0.97,
+             min_precision: float = 0.8) -> ToxicityModel:
+    """``rows``: toxic (missing: a row without a label), terms, patterns. A mined term must, at
+    the class balance, be right in ``min_precision`` of the rows where it stands. Without a
+    ``rater``, the voters' rates come from their agreement alone."""
+    toxic = rows["toxic"].to_numpy(float, na_value=np.nan) if len(rows) else np.zeros(0)
+    known = ~np.isnan(toxic)
+    if toxic[known].sum() == 0:
         return ToxicityModel(Weights(np.zeros(0, np.int32), np.zeros(0, np.float32)), -40.0, None)
     sample = Sample.of(list(rows["terms"]))
     patterns = np.stack([np.asarray(p, float) for p in rows["patterns"]])
-    lexicon = np.unique(np.concatenate([mine_terms(sample, toxic), [bucket(t) for t in SEED_TERMS]]).astype(np.int64))
+    mined = mine_terms(sample, toxic, known, min_precision / (1 - min_precision) * (1 - share) / share)
+    lexicon = np.unique(np.concatenate([mined, [bucket(t) for t in SEED_TERMS]]).astype(np.int64))
     votes = votes_of(sample, patterns, lexicon)
-    model, posterior = fit_label_model(votes, share, toxic)
-    weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / max(1e-9, 1 - toxic.mean()))
+    mean = toxic[known].mean()  # labelled rows are drawn by label: weigh them back to the share
+    weight = np.where(toxic == 1, share / mean, np.where(toxic == 0, (1 - share) / max(1e-9, 1 - mean), 1.0))
+    model, _ = fit_label_model(votes, share, None if rater is None else toxic, rater or 0.5, weight=weight)
+    posterior = model.posterior(votes)
     weights, intercept = fit_logistic(sample, posterior, weight, focus(sample, posterior, weight))
     return ToxicityModel(weights, intercept, model)
 
