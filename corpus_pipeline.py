@@ -9,11 +9,12 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillpoint.llm import cutting_stock, exact_dedup, hyperminhash, ordinal_quality, toxicity
 from tillpoint.llm.common import staged, table
-from tillpoint.llm.queries import TOKENIZERS, ratings
+from tillpoint.llm.queries import ratings
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 1024 token ids."""
-    return cutting_stock.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json").digests()
+    return cutting_stock.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).digests()
 
 
 STAGES = [
