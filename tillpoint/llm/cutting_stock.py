@@ -5,7 +5,7 @@ pieces have each length is a histogram of at most ``capacity`` rows; a linear
 program over packing patterns covers it with the fewest sequences. Columns
 (patterns, and exchanges of one piece for shorter ones) are priced by an
 unbounded-knapsack dynamic program on the dual prices and enter a revised simplex until
-the cover is proven near its optimum. The patterns, rounded down, give each length ranges of ranks; pieces are ranked inside their length
+the cover is proven near its optimum, or a warning tells its proven gap. The patterns, rounded down, give each length ranges of ranks; pieces are ranked inside their length
 by a distributed numbering and look their range up. Patterns that leave padding are
 used, those that leave least first, while all their padding stays within a stated share
 of the ids, whatever the number of pieces. The pieces of the others and what rounding
@@ -22,6 +22,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -207,7 +208,7 @@ def volume_bound(lengths: np.ndarray, need: np.ndarray, capacity: int) -> float:
 
 
 def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 5e-3,
-                   smoothing: float = 0.9) -> list[tuple[Counter, float]]:
+                   smoothing: float = 0.9, max_tables: int = 200) -> list[tuple[Counter, float]]:
     """Column generation: [(pattern {length: pieces}, sequences)], covering ``demand``.
     One knapsack table prices the best pattern and, for every length, the best exchange of
     its slot for shorter pieces: exchanges keep the prices monotone and superadditive, as
@@ -216,7 +217,8 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 5e-3,
     halved, down to none. Columns enter until the sequences used are proven within ``gap`` of the
     optimum, by volume or by Farley's bound (the demand's price over the best pattern's).
     Against ties in the pivots the first amounts are raised, each by another share, by less
-    than 0.01 % in total; bounds are those of the true demand."""
+    than 0.01 % in total; bounds are those of the true demand. After ``max_tables`` tables (the
+    driver's time is bounded) the cover is used as it is, and a warning gives its proven gap."""
     lengths = np.array(sorted(demand), np.int64)
     need = np.array([demand[int(n)] for n in lengths], float)
     if not len(lengths):
@@ -224,7 +226,13 @@ def solve_patterns(demand: dict[int, int], capacity: int, gap: float = 5e-3,
     cover = Cover(lengths, need, capacity)
     bound = volume_bound(lengths, need, capacity)
     center, weight = lengths / capacity, smoothing
+    tables = 0
     while cover.sequences > bound * (1 + gap):
+        if tables == max_tables:
+            warnings.warn(f"packing patterns: {cover.sequences / bound - 1:.4f} above the proven bound "
+                          f"after {max_tables} tables", stacklevel=2)
+            break
+        tables += 1
         prices = weight * center + (1 - weight) * cover.prices
         table = Knapsack(lengths, prices, capacity)
         proven = float(prices @ need) / float(table.best[capacity])
