@@ -9,9 +9,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tillpoint import catalog
 from tillpoint.plans import audit as A
 from tillpoint.plans import inventory as INV
 from tillpoint.plans import ledger as LG
+from tillpoint.plans import risk as K
 from tillpoint.sources import fixtures as FX
 
 
@@ -124,3 +126,17 @@ def test_skus_are_counted_from_masks_of_weeks(spark):
                 .agg(F.countDistinct("product_id").alias("sku_count")))
     assert rows(got, ["category", "season", "week_number", "sku_count"]) == rows(expected)
     assert "Expand" not in plan_of(got) and "count(distinct" not in plan_of(got)
+
+
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    frame = spark.range(1000).select((F.col("id") % 97).alias("a"), F.col("id").alias("b")).coalesce(1)
+    assert K.dealt(frame, ["a", "b"]).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(K, "TRAIN_ROWS_PER_TASK", 100)
+    parts = K.dealt(frame, ["a", "b"]).rdd.glom().map(len).collect()
+    assert len(parts) == 10 and sum(parts) == 1000 and max(parts) < 300
+
+
+def test_passes_over_the_model_frame_do_not_join_the_products_again(spark, wh):
+    assert "Join" not in plan_of(catalog.labelled(wh))
+    stored = K.model_input(wh["clean_transactions"], wh["dim_products"], catalog.P.label_seed)
+    assert rows(catalog.model_input(wh)) == rows(stored, catalog.model_input(wh).columns)
