@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import Decimal as Dec
+
+from pyspark.sql import functions as F
+
 from tests.conftest import SF_SMALL, rows
 from tillpoint import catalog
 from tillpoint.plans import audit as A
+from tillpoint.plans import incremental as INC
 from tillpoint.sources import fixtures as FX
 from tillpoint.sources.warehouse import Warehouse
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rule_jobs_do_not_write_the_split(spark):
     w = Warehouse(spark, SF_SMALL)
     scored = catalog.rule_scored_test(w)
@@ -30,3 +40,21 @@ def test_two_warehouses_of_a_folder_do_not_overwrite_each_other(spark):
     first = Warehouse(spark, SF_SMALL)["dim_products"]
     Warehouse(spark, SF_SMALL)["dim_products"]
     assert first.count() == len(first.select("product_id").collect())
+
+
+def transactions(spark, data):
+    t = spark.createDataFrame([(i, dt.date(2021, 1, d), 1, p, Dec("10.00"), q) for i, d, p, q in data],
+                              "transaction_id string, transaction_date date, customer_id long, product_id long, "
+                              "revenue decimal(12,2), quantity int")
+    for c in set(A.CLEAN_COLUMNS) - set(t.columns):
+        t = t.withColumn(c, F.lit(Dec("20.00")).cast("decimal(10,2)") if c == "unit_price" else
+                         F.lit(Dec("0.35")).cast("decimal(5,2)") if c == "discount_pct" else F.lit(None).cast("string"))
+    return t.select(*A.CLEAN_COLUMNS)
+
+
+def test_a_batch_is_exchanged_once(spark):
+    t = transactions(spark, [("T2", 1, 1, 5), ("T1", 1, 1, 6), ("T9", 2, 2, 1), ("T5", 3, 3, 1)]).withColumn("sale_month", F.lit(dt.date(2021, 1, 1)))
+    kept = transactions(spark, [("T4", 1, 1, 1), ("T3", 2, 2, 1), ("T0", 4, 4, 1)]).withColumn("sale_month", F.lit(dt.date(2021, 1, 1)))
+    better = INC.better_rows(t, kept)
+    assert plan_of(better).count("Exchange") == 1 and "Join" not in plan_of(better)
+    assert rows(better, ["transaction_id", "quantity", "_replaces"]) == [("T1", 6, "T4"), ("T5", 1, None)]

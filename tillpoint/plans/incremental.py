@@ -4,8 +4,9 @@ A business key holds its date, so it lives in one month. ``kept`` is partitioned
 holds the first row of every key with revenue, also those without units, which may still
 bar later rows of their key; ``read`` leaves them out. A batch
 
-1. is reduced to its first row per key (before the exchange, so a hot key is small);
-2. meets the keys and ids of its own months only, not the wide rows;
+1. is compared by month, from its keys and ids alone, with what is stored, if anything is;
+2. meets the keys and ids of its other months in one aggregate by key, which reduces it to its first row per
+   key (before the exchange, so a hot key is small): its rows are exchanged once and not written for this;
 3. is appended where all its keys are new; a month in which a kept row gives way to a lower
    id is written anew (dynamic partition overwrite), all other months stay as they are.
 
@@ -28,10 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillpoint.operators.rank import keep_first
 from tillpoint.plans.audit import CLEAN_COLUMNS, DEDUP_KEYS
 from tillpoint.sources import schemas as SC
-from tillpoint.sources.layout import MONTH, month_of
+from tillpoint.sources.layout import CODEC, MONTH, month_of
 
 ID, REPLACES = "transaction_id", "_replaces"
 DIGEST_SCHEMA = f"{MONTH} date, n_keys long, digest decimal(38,0), batch long"
@@ -55,35 +55,33 @@ class CleanTable:
         """Take in a batch of raw transactions. Returns the months that were skipped, appended to
         and overwritten (a row per month reaches the driver)."""
         self._end_pending()
-        with_revenue = batch.filter(F.col("revenue") > 0).select(*CLEAN_COLUMNS)
-        firsts = keep_first(with_revenue, list(DEDUP_KEYS), [F.col(ID).asc()])
-        incoming = self._stage("incoming", firsts.withColumn(MONTH, month_of(F.col("transaction_date"))))
-        months = {r[MONTH]: (r["n_keys"], r["digest"]) for r in digests(incoming).collect()}
-        stored = {r[MONTH]: (r["n_keys"], r["digest"])
-                  for r in self._digests().filter(among(list(months))).collect()}
-        skipped = [m for m in months if stored.get(m) == months[m]]
+        incoming = (batch.filter(F.col("revenue") > 0).select(*CLEAN_COLUMNS)
+                    .withColumn(MONTH, month_of(F.col("transaction_date"))))
+        months = [r[MONTH] for r in incoming.select(MONTH).distinct().collect()]
+        stored = {r[MONTH]: (r["n_keys"], r["digest"]) for r in self._digests().filter(among(months)).collect()}
+        skipped = []
+        if stored:
+            firsts = (incoming.filter(among(list(stored))).groupBy(MONTH, *DEDUP_KEYS)
+                      .agg(F.min(F.struct(ID)).alias("_first")).select(MONTH, *DEDUP_KEYS, f"_first.{ID}"))
+            skipped = [r[MONTH] for r in digests(firsts).collect() if stored[r[MONTH]] == (r["n_keys"], r["digest"])]
         touched = [m for m in months if m not in skipped]
 
-        known = self._kept().filter(among(touched)).select(
-            *[F.col(k).alias(f"_k_{k}") for k in DEDUP_KEYS], F.col(ID).alias(REPLACES))
-        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in DEDUP_KEYS])
-        changes = self._stage("changes", incoming.filter(among(touched)).join(known, same, "left")
-                              .filter(F.col(REPLACES).isNull() | (F.col(ID) < F.col(REPLACES)))
-                              .select(*CLEAN_COLUMNS, REPLACES, MONTH))
+        kept = self._kept()
+        changes = self._stage("changes", better_rows(incoming.filter(among(touched)), kept.filter(among(touched))))
         found = {r[MONTH]: r["n"] for r in changes.groupBy(MONTH).agg(F.count(REPLACES).alias("n")).collect()}
         replaced, appended = [m for m in found if found[m]], [m for m in found if not found[m]]
 
         columns = [*CLEAN_COLUMNS, MONTH]
-        kept = self._kept()
         if appended:
             new = changes.filter(among(appended)).select(*columns)
-            in_months(new).write.mode("append").partitionBy(MONTH).parquet(f"{self.root}/kept")
+            in_months(new).write.mode("append").option("compression", CODEC).partitionBy(MONTH).parquet(f"{self.root}/kept")
         if replaced:
             better = changes.filter(among(replaced))
             gone = better.filter(F.col(REPLACES).isNotNull()).select(*[F.col(k).alias(f"_k_{k}") for k in DEDUP_KEYS])
+            same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in DEDUP_KEYS])
             stay = kept.filter(among(replaced)).join(gone, same, "left_anti")
             merged = in_months(stay.select(*columns).unionByName(better.select(*columns)))
-            merged.write.mode("overwrite").partitionBy(MONTH).parquet(f"{self.root}/pending")
+            merged.write.mode("overwrite").option("compression", CODEC).partitionBy(MONTH).parquet(f"{self.root}/pending")
             self._end_pending()
         if touched:
             last = self.spark.read.schema(DIGEST_SCHEMA).parquet(f"{self.root}/digests").agg(F.max("batch")).first()[0]
@@ -108,7 +106,7 @@ class CleanTable:
                 .select(MONTH, "_last.*"))
 
     def _stage(self, name: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        rows.write.mode("overwrite").option("compression", CODEC).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
 
     def _end_pending(self) -> None:
@@ -117,12 +115,26 @@ class CleanTable:
         done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pending/_SUCCESS")
         files = pending.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if files.exists(done):
+            # its files lie by month already: they are read and written where they are, without an exchange
             months = self.spark.read.schema(self.schema).parquet(f"{self.root}/pending")
-            (in_months(months).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            (months.sortWithinPartitions(MONTH, "transaction_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC)
              .partitionBy(MONTH).parquet(f"{self.root}/kept"))
             files.delete(pending, True)
 
 
+def better_rows(incoming: DataFrame, kept: DataFrame) -> DataFrame:
+    """The first row of every key of ``incoming`` that is new, or whose id is lower than that of the kept row
+    (``REPLACES``)."""
+    rest = [c for c in CLEAN_COLUMNS if c not in (ID, *DEDUP_KEYS)]
+    rows = incoming.select(MONTH, *DEDUP_KEYS, F.struct(ID, *rest).alias("_row"), F.lit(None).cast("string").alias(REPLACES))
+    known = kept.select(MONTH, *DEDUP_KEYS, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col(ID).alias(REPLACES))
+    # the lowest row of a key: structs compare by their first field, the id, NULL lowest
+    met = rows.unionByName(known).groupBy(MONTH, *DEDUP_KEYS).agg(F.min("_row").alias("_row"), F.max(REPLACES).alias(REPLACES))
+    return (met.filter(F.col("_row").isNotNull()).select(MONTH, *DEDUP_KEYS, "_row.*", REPLACES)
+            .filter(F.col(REPLACES).isNull() | (F.col(ID) < F.col(REPLACES)))
+            .select(*CLEAN_COLUMNS, REPLACES, MONTH))
+
+
 def among(months: list) -> Column:
     """Rows of these months (None: without one); a static partition filter."""
     dated = [m for m in months if m is not None]
