@@ -58,3 +58,24 @@ def test_a_batch_is_exchanged_once(spark):
     better = INC.better_rows(t, kept)
     assert plan_of(better).count("Exchange") == 1 and "Join" not in plan_of(better)
     assert rows(better, ["transaction_id", "quantity", "_replaces"]) == [("T1", 6, "T4"), ("T5", 1, None)]
+
+
+class Tables(dict):
+    def derived(self, name, build):
+        if name not in self:
+            self[name] = build(self)
+        return self[name]
+
+
+def test_labels_of_repeated_and_missing_ids(spark):
+    """An id on several rows meets every label of that id, as in a join; a NULL id meets none."""
+    ids = [("T1", 1, 1, 1), ("T1", 2, 2, 5), (None, 3, 1, 1)] + [(f"U{i}", 4, i % 4, i % 5) for i in range(60)]
+    products = spark.createDataFrame([(1, "Dresses", Dec("5"), Dec("30"), "dead"), (2, "Tops", Dec("5"), Dec("30"), "core"),
+                                      (2, "Footwear", Dec("5"), Dec("30"), "dead")],
+                                     "product_id long, category string, cost_price decimal(10,2), mrp decimal(10,2), heat_score string")
+    w = Tables(clean_transactions=transactions(spark, ids), dim_products=products)
+    expected = w["clean_transactions"].join(catalog.labelled(w).select("transaction_id", "is_returned"), "transaction_id")
+    got = catalog.labelled_transactions(w)
+    assert got.columns == expected.columns and rows(got) == rows(expected)
+    # Two rows, each with three labels (its second product is listed twice)
+    assert got.filter("transaction_id = 'T1'").count() == 6 and w["several_ids"].count() == 1
