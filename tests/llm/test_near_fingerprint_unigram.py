@@ -237,3 +237,17 @@ def test_unigram_rows(awkward, empty):
     assert Counter((r["doc_id"], r["decoded"]) for r in rows) == Counter((i, t or "") for i, t, *_ in awkward_rows())
     assert all((len(r["ids"]) == 0) == (r["text"] == "") for r in rows)
     assert unigram.decode(unigram.encode(empty, model), model).count() == 0
+
+
+def test_viterbi_tables_are_small(monkeypatch):
+    from tillpoint.llm import unigram
+    sizes = []
+
+    def spy(words, model):
+        sizes.append((len(words), sum(map(len, words))))
+        return np.zeros(len(words), np.uint32), np.ones(len(words), np.int64)
+    monkeypatch.setattr(unigram, "viterbi", spy)
+    encoder = unigram.UnigramEncoder(None)
+    encoder.encode([" ".join(f"word{i:06}" for i in range(30_000)).encode()])
+    assert sum(n for n, _ in sizes) == 30_000
+    assert max(n for n, _ in sizes) <= 5_000 and max(b for _, b in sizes) <= 500_000 and encoder.cache <= 200_000

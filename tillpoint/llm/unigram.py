@@ -35,6 +35,9 @@ from tillpoint.llm.tokens import WordTable, chunks, ragged, worker_held
 SPACE = "▁".encode()
 WINDOW = 1024  # places looked at together when the trie is laid out
 UNKNOWN_PENALTY = 10.0  # below the lowest score of a piece
+CHUNK = 1 << 20  # bytes of text or ids worked on at a time
+WORDS, CELLS = 5_000, 500_000  # words, and their bytes, in one Viterbi table: some 40 bytes of memory a cell
+KEPT_WORDS = 200_000  # distinct words a Python worker remembers
 
 
 @dataclass
@@ -203,7 +206,7 @@ class UnigramEncoder(WordTable):
     """Ids of texts; distinct words are segmented once."""
 
     def __init__(self, model: UnigramModel, **table):
-        super().__init__(None, **table)
+        super().__init__(None, **{"cache": KEPT_WORDS} | table)
         self.unigram = model
 
     def _words(self, body: bytes) -> list[bytes]:
@@ -224,8 +227,8 @@ class UnigramEncoder(WordTable):
         while at < len(plain):  # words of like length together, a bounded table at a time
             limit = max(12, len(plain[at][0]) * 3 // 2)
             end = at
-            while end < len(plain) and end - at < 20_000 and len(plain[end][0]) <= limit \
-                    and (end - at + 1) * len(plain[end][0]) <= 2_000_000:
+            while end < len(plain) and end - at < WORDS and len(plain[end][0]) <= limit \
+                    and (end - at + 1) * len(plain[end][0]) <= CELLS:
                 end += 1
             end = max(end, at + 1)
             ids, counts = viterbi([p for p, _ in plain[at:end]], self.unigram)
@@ -239,7 +242,7 @@ def encode(df: DataFrame, model: UnigramModel, id_col: str = "doc_id", text_col:
         encoder = worker_held(f"unigram {model.name}", lambda: UnigramEncoder(model))
         for batch in batches:
             bodies = [t.encode() for t in batch.column("text").to_pylist()]
-            for first, last in chunks(bodies):
+            for first, last in chunks(bodies, CHUNK):
                 flat, counts = encoder.encode(bodies[first:last])
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 4
                 ids = pa.Array.from_buffers(pa.binary(), last - first, [
@@ -271,7 +274,7 @@ def decode(df: DataFrame, model: UnigramModel, ids_col: str = "ids") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(at).to_pylist()
-            for first, last in chunks([r or b"" for r in rows], 4 << 20):
+            for first, last in chunks([r or b"" for r in rows], CHUNK):
                 part = [r or b"" for r in rows[first:last]]
                 ids = np.frombuffer(b"".join(part), "<u4").astype(np.int64)
                 texts = decode_ids(ids, np.array([len(r) // 4 for r in part], np.int64), model)
