@@ -251,3 +251,13 @@ def test_viterbi_tables_are_small(monkeypatch):
     encoder.encode([" ".join(f"word{i:06}" for i in range(30_000)).encode()])
     assert sum(n for n, _ in sizes) == 30_000
     assert max(n for n, _ in sizes) <= 5_000 and max(b for _, b in sizes) <= 500_000 and encoder.cache <= 200_000
+
+
+def test_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from tillpoint.llm import unigram
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["n"]) for n in (0, 2_500, 3)]
+    got = list(unigram.few_rows(iter(batches)))
+    assert [b.num_rows for b in got] == [1_000, 1_000, 500, 3]
+    assert [v for b in got for v in b.column(0).to_pylist()] == [*range(2_500), *range(3)]

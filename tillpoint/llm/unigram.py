@@ -35,6 +35,7 @@ from tillpoint.llm.tokens import WordTable, chunks, ragged, worker_held
 SPACE = "▁".encode()
 WINDOW = 1024  # places looked at together when the trie is laid out
 UNKNOWN_PENALTY = 10.0  # below the lowest score of a piece
+ROWS = 1_000  # rows turned into Python objects at a time
 CHUNK = 1 << 20  # bytes of text or ids worked on at a time
 WORDS, CELLS = 5_000, 500_000  # words, and their bytes, in one Viterbi table: some 40 bytes of memory a cell
 KEPT_WORDS = 200_000  # distinct words a Python worker remembers
@@ -236,11 +237,18 @@ class UnigramEncoder(WordTable):
             at = end
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``ROWS``, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def encode(df: DataFrame, model: UnigramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and ``ids`` (little-endian uint32) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_held(f"unigram {model.name}", lambda: UnigramEncoder(model))
-        for batch in batches:
+        for batch in few_rows(batches):
             bodies = [t.encode() for t in batch.column("text").to_pylist()]
             for first, last in chunks(bodies, CHUNK):
                 flat, counts = encoder.encode(bodies[first:last])
@@ -272,7 +280,7 @@ def decode(df: DataFrame, model: UnigramModel, ids_col: str = "ids") -> DataFram
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = batch.column(at).to_pylist()
             for first, last in chunks([r or b"" for r in rows], CHUNK):
                 part = [r or b"" for r in rows[first:last]]
