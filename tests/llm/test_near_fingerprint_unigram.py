@@ -94,6 +94,36 @@ def test_components_of_a_path_a_star_and_a_cycle(spark):
     assert components.connected_components(links.filter("false")).count() == 0
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    """Links that are stars after each task's folding are written once, not exchanged in rounds."""
+    written = []
+    staged = components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: written.append(name) or staged(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(200, 100, -1)] + [(9, 7), (7, 8)], "u long, v long").coalesce(1)
+    got = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    assert got == {i: 101 for i in range(101, 202)} | {7: 7, 8: 7, 9: 7}
+    assert len(written) == 1
+
+
+@pytest.mark.parametrize("links", [[(3, 2), (2, 1)], [(3, 1), (3, 2)], [(1, 2), (2, 3), (4, 5)]])
+def test_chains_are_not_settled(spark, links):
+    assert not components._settled(spark.createDataFrame(links, "u long, v long"))
+
+
+def test_late_links_join_whole_components(spark, monkeypatch):
+    """Links found inside buckets are between components; all members of both get the least id."""
+    calls = []
+    joined = hyperminhash.connected_components
+    monkeypatch.setattr(hyperminhash, "connected_components", lambda links: calls.append(links.count()) or joined(links))
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i * 37 % 101, " ".join(words[i * 5:i * 5 + 60])) for i in range(101)]  # each like its neighbours only
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in
+           hyperminhash.near_groups(docs, words=4, bands=24, rows=2, threshold=0.8).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 4, 80).items()}
+    assert len(calls) == 2 and calls[1] < calls[0]
+
+
 def next_text(rows):
     """Text after each place in descending doc_id order, wrapping around."""
     order = sorted({i for i, _ in rows if i is not None}, reverse=True) + [None] * any(i is None for i, _ in rows)

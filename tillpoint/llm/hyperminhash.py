@@ -125,15 +125,16 @@ def _passing(threshold: float):
 
 
 def _block_links(threshold: float, percent: int, rows: int):
-    """One block of a bucket: verified links between different components. A block pairs
-    its chunk ``lo`` with its chunk ``hi``. A pair is looked at only in the first band
+    """One block of a bucket: verified links, given as the names of the components that they
+    join. A block pairs its chunk ``lo`` with its chunk ``hi``. A pair is looked at only in the first band
     that it shares, and not once its components are joined in this block."""
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
         regs = _matrix(block.column("registers").chunk(0), "<u2")
         sets = [np.frombuffer(s, np.uint64) for s in block.column("set").to_pylist()]
         n, rep = block.column("n_shingles").to_numpy(), block.column("rep").to_numpy()
-        _, comp = np.unique(block.column("comp").to_numpy(), return_inverse=True)
+        named, comp = np.unique(block.column("comp").to_numpy(), return_inverse=True)
+        own = comp.copy()  # the components before this block's links
         chunk = block.column("chunk").to_numpy()
         lo, hi, band = (int(block.column(c)[0].as_py()) for c in ("lo", "hi", "b"))
         left, right = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
@@ -149,7 +150,7 @@ def _block_links(threshold: float, percent: int, rows: int):
                 if comp[i] != comp[j]:
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                        links.append((int(rep[i]), int(rep[j])))
+                        links.append((int(named[own[i]]), int(named[own[j]])))
                         comp[comp == comp[j]] = comp[i]
         return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
     return run
@@ -227,8 +228,12 @@ def near_groups(df: DataFrame, words: int = 5, threshold: float = 0.8, bands: in
               .join(sketch, "rep").join(sets, "rep"))
     late = staged(blocks.groupBy("band", "lo", "hi")
                   .applyInArrow(_block_links(threshold, percent, rows), "u long, v long").distinct(), "late")
-    if not late.isEmpty():
-        nodes = connected_components(links.unionByName(late))
+    if not late.isEmpty():  # these links are between components: only those are joined further
+        joined = connected_components(late).select(F.col("node").alias("_of"), F.col("component").alias("_in"))
+        renamed = nodes.join(joined, F.col("component") == F.col("_of"), "left").select(
+            "node", F.coalesce("_in", "component").alias("component"))
+        alone = joined.select(F.col("_of").alias("node"), F.col("_in").alias("component"))
+        nodes = renamed.unionByName(alone.join(nodes, "node", "left_anti"))
 
     named = (sketches.select("doc_id", "n_shingles", "set_id")
              .join(classes.select("set_id", "rep"), "set_id", "left")
