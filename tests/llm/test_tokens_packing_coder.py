@@ -43,6 +43,34 @@ def test_ids_equal_the_library(name):
     assert own_ids(encoder, texts) == library_ids(name, texts)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_word_memory_is_bounded(name):
+    """Words met once are dropped, words and parts met often stay, and ids do not change."""
+    spaces, end = FILES[name]
+    encoder = WordEncoder(tokenizer_text(f"{TOKENIZERS}/{name}"), spaces, end, cache=400)
+    for k in range(12):
+        texts = [f"often met words one{k}a{i} two{i}b{k}" for i in range(60)]
+        assert own_ids(encoder, texts) == library_ids(name, texts)
+        assert len(encoder.known) <= 400 and len(encoder.known) == len(encoder.lengths) == len(encoder.uses)
+        assert len(encoder.parts) <= 400 and len(encoder.parts) == len(encoder.part_lengths) == len(encoder.part_uses)
+    assert b"met" in encoder.known and len(encoder.part_ids) == encoder.part_lengths.sum()
+
+
+def test_pieces_are_cut_from_few_rows_at_a_time(monkeypatch):
+    import pyarrow as pa
+    seen = []
+    encode = WordEncoder.encode
+    monkeypatch.setattr(WordEncoder, "encode", lambda self, bodies: seen.append(len(bodies)) or encode(self, bodies))
+    monkeypatch.setattr(cutting_stock, "TaskContext", type("T", (), {"get": staticmethod(
+        lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array([b"a text"] * 2500)], names=["doc_id", "body"])
+    cut = cutting_stock.cut_documents(tokenizer_text(f"{TOKENIZERS}/byte_bpe_50k.json"), True, 0, 64)
+    found = list(cut(iter([batch])))
+    assert max(seen) <= 1000 and sum(seen) == 2500
+    assert [i for b in found for i in b.column("doc_id").to_pylist()] == list(range(2500))
+    assert [i for b in found for i in b.column("piece_id").to_pylist()] == list(range(2500))
+
+
 def test_packing_of_awkward_rows(awkward, empty, spark):
     packed = cutting_stock.pack(awkward, f"{TOKENIZERS}/byte_bpe_50k.json", capacity=64)
     parts = packed.parts().collect()

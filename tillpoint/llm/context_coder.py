@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import id_text, text_bytes
-from tillpoint.llm.tokens import chunks, tokenizer_text, worker_encoder
+from tillpoint.llm.tokens import chunks, few_rows, tokenizer_text, worker_encoder
 
 BLOCK = 4096
 LANES = 1024
@@ -316,7 +316,7 @@ def _write_segments(tokenizer: str, spaces_matter: bool, end_id: int, bits: int)
             ready.clear()
             return batch
 
-        for batch in batches:
+        for batch in few_rows(batches):
             names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, last in chunks(bodies):
                 flat, n = encoder.encode(bodies[first:last])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import id_text, rank_in_class, staged, text_bytes
-from tillpoint.llm.tokens import chunks, tokenizer_text, worker_encoder
+from tillpoint.llm.tokens import chunks, few_rows, tokenizer_text, worker_encoder
 
 BROADCAST_CUTS = 200_000
 PIECE_DDL = "piece_id long, doc_id long, doc_tokens long, start long, length int, ids binary"
@@ -46,7 +46,7 @@ def cut_documents(tokenizer: str, spaces_matter: bool, end_id: int, capacity: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer, spaces_matter, end_id)
         next_id = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in few_rows(batches):
             doc_ids, bodies = batch.column(0), batch.column(1).to_pylist()
             for first, last in chunks(bodies):
                 flat, counts = encoder.encode(bodies[first:last])

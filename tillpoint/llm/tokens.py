@@ -15,15 +15,17 @@ from __future__ import annotations
 import re
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORD_CACHE = 400_000  # distinct words a Python worker remembers
+WORD_CACHE = 500_000  # distinct words a Python worker remembers
 TEXT_CHUNK = 4 << 20  # bytes of text encoded at a time
+ROWS = 1_000  # rows turned into Python objects at a time
+MOST_USES = 16  # that count when words are dropped
 
 _CONTROL_SPACES = b"\x00" + bytes(range(0x1C, 0x20))
 _ODD_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -76,13 +78,13 @@ class WordTable:
         self._reset()
 
     def _forget(self) -> None:
-        """Keep the words that were met again, half the cache at most; drop the rest."""
-        order = np.argsort(-self.uses, kind="stable")[:self.cache // 2]
-        kept = np.union1d(order[self.uses[order] >= 2], [0])
-        words, lengths, ids = list(self.known), self.lengths[kept], ragged(self.ids, self.lengths, kept)
+        """Keep the words that were met again, half the cache at most; drop the rest. Uses
+        count half from then on, so a word often met outlasts a time without it."""
+        kept = often_used(self.uses, self.cache // 2)
+        words, lengths, ids, uses = list(self.known), self.lengths[kept], ragged(self.ids, self.lengths, kept), self.uses
         self._reset()
         self.known = {words[i]: n for n, i in enumerate(kept.tolist())}
-        self.lengths, self.ids, self.uses = lengths, ids, np.ones(len(kept), np.int64)
+        self.lengths, self.ids, self.uses = lengths, ids, np.minimum(uses[kept], MOST_USES) // 2
 
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {_END: 0}
@@ -141,11 +143,18 @@ class WordEncoder(WordTable):
 
     def _reset(self) -> None:
         super()._reset()
-        if self.parts and len(self.parts) <= 1.5 * self.cache:
-            return  # parts recur more often than words
-        self.parts = {_CUT: 0}
-        self.part_lengths = np.array([0], np.int64)
-        self.part_ids = np.zeros(0, np.uint32)
+        if not self.parts:
+            self.parts = {_CUT: 0}
+            self.part_lengths = self.part_uses = np.array([0], np.int64)
+            self.part_ids = np.zeros(0, np.uint32)
+
+    def _forget_parts(self) -> None:
+        """Like words: those met again are kept, half the cache at most."""
+        kept = often_used(self.part_uses, self.cache // 2)
+        parts = list(self.parts)
+        self.part_ids = ragged(self.part_ids, self.part_lengths, kept)
+        self.parts = {parts[i]: n for n, i in enumerate(kept.tolist())}
+        self.part_lengths, self.part_uses = self.part_lengths[kept], np.minimum(self.part_uses[kept], MOST_USES) // 2
 
     def _words(self, body: bytes) -> list[bytes]:
         if _has(body, _CONTROL_SPACES) or not body.isascii() and _odd_space(body):
@@ -185,6 +194,9 @@ class WordEncoder(WordTable):
     def _part_places(self, flat: list[str]) -> np.ndarray:
         """Place of each part in the part table; new parts go through the merge model."""
         new = list(set(flat).difference(self.parts))
+        if len(self.parts) + len(new) > self.cache:
+            self._forget_parts()
+            new = list(set(flat).difference(self.parts))
         if new:
             mapped = _CUT.join(new).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
             tokenize = self.model.tokenize
@@ -193,7 +205,10 @@ class WordEncoder(WordTable):
             self.parts.update(zip(new, range(first, first + len(new))))
             self.part_lengths = np.concatenate([self.part_lengths, np.fromiter(map(len, found), np.int64, len(found))])
             self.part_ids = np.concatenate([self.part_ids, np.fromiter(chain.from_iterable(found), np.uint32)])
-        return np.fromiter(map(self.parts.__getitem__, flat), np.int64, len(flat))
+            self.part_uses = np.concatenate([self.part_uses, np.zeros(len(found), np.int64)])
+        at = np.fromiter(map(self.parts.__getitem__, flat), np.int64, len(flat))
+        self.part_uses += np.bincount(at, minlength=len(self.part_uses))
+        return at
 
     def _learn(self, words: list[bytes]) -> None:
         simple, joined, odd = self._simple(words)
@@ -211,6 +226,12 @@ class WordEncoder(WordTable):
                       np.fromiter(chain.from_iterable(found), np.uint32))
 
 
+def often_used(uses: np.ndarray, limit: int) -> np.ndarray:
+    """Ascending places of the ``limit`` most used entries of those used twice or more, and 0."""
+    order = np.argsort(-uses, kind="stable")[:limit]
+    return np.union1d(order[uses[order] >= 2], [0])
+
+
 def ragged(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The runs numbered ``at`` one after the other; run k is ``lengths[k]`` values long."""
     starts, taken = np.cumsum(lengths) - lengths, lengths[at]
@@ -232,6 +253,13 @@ def worker_encoder(tokenizer_json: str, spaces_matter: bool, end_id: int | None)
                        lambda: WordEncoder(tokenizer_json, spaces_matter, end_id))
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``ROWS``, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def chunks(bodies: list[bytes], limit: int = TEXT_CHUNK):
     """(first, last) row ranges of about ``limit`` bytes."""
     first, held = 0, 0

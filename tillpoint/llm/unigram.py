@@ -30,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tillpoint.llm.common import id_text
-from tillpoint.llm.tokens import WordTable, chunks, ragged, worker_held
+from tillpoint.llm.tokens import WordTable, chunks, few_rows, ragged, worker_held
 
 SPACE = "▁".encode()
 WINDOW = 1024  # places looked at together when the trie is laid out
 UNKNOWN_PENALTY = 10.0  # below the lowest score of a piece
-ROWS = 1_000  # rows turned into Python objects at a time
 CHUNK = 1 << 20  # bytes of text or ids worked on at a time
 WORDS, CELLS = 5_000, 500_000  # words, and their bytes, in one Viterbi table: some 40 bytes of memory a cell
 KEPT_WORDS = 200_000  # distinct words a Python worker remembers
@@ -237,13 +236,6 @@ class UnigramEncoder(WordTable):
             at = end
 
 
-def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of ``ROWS``, so that few texts at a time are Python objects."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, ROWS):
-            yield batch.slice(first, ROWS)
-
-
 def encode(df: DataFrame, model: UnigramModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and ``ids`` (little-endian uint32) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
