@@ -135,3 +135,16 @@ def test_classifiers_on_awkward_rows(awkward, empty, spark):
     kept = toxicity.drop_toxic(awkward, toxicity.fit(awkward, labels.filter("false")))
     assert kept.count() == n and kept.columns == awkward.columns
     assert ordinal_quality.select(awkward, ordinal_quality.fit(awkward, ratings(labels.filter("false")), 3)).count() == n
+
+
+def test_texts_are_filtered_few_rows_at_a_time(spark):
+    from tillpoint.llm.common import filter_texts
+    docs = spark.range(2500).selectExpr("id AS doc_id", "IF(id % 3 = 0, NULL, concat('text ', id)) AS text").coalesce(1)
+
+    def keep():
+        def mask(texts):
+            assert len(texts) <= 1000
+            return np.array([t != "" for t in texts])
+        return mask
+
+    assert sorted(r["doc_id"] for r in filter_texts(docs, "text", keep).collect()) == [i for i in range(2500) if i % 3]

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillpoint.llm.tokens import few_rows
 from tillpoint.session import staging_root
 
 
@@ -72,7 +73,7 @@ def filter_texts(df: DataFrame, text_col: str, keep: Callable[[], Callable[[list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask_of = keep()
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(mask_of(texts), pa.bool_()))
 

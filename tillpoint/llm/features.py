@@ -61,7 +61,7 @@ def bucket(term: str) -> int:
 class Hasher:
     """Hashes terms, remembering those it has seen (up to ``limit``)."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.seen: dict[str, int] = {}
         self.limit = limit
 
