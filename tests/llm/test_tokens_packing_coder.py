@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -234,6 +235,99 @@ def test_blocks_do_not_depend_on_their_neighbours():
     assert together == [context_coder.encode_blocks([b], 16)[0] for b in blocks]
 
 
+def test_lanes_are_grouped_evenly():
+    """No group of a few lanes is left over: its steps would cost nearly as much as those of a full one."""
+    lanes = context_coder.LANES
+    for n in (0, 1, lanes // 3, lanes, lanes + 4, lanes * 5 // 4, 2 * lanes + 1, 7 * lanes - 3):
+        groups = context_coder.lane_groups(n)
+        sizes = [last - first for first, last in groups]
+        assert [i for first, last in groups for i in range(first, last)] == list(range(n))
+        assert all(min(n, lanes * 2 // 3) <= k <= lanes * 3 // 2 for k in sizes)
+
+
+def test_segments_are_coded_side_by_side(spark, monkeypatch):
+    """A few blocks more than the lanes are coded and decoded in one group."""
+    monkeypatch.setattr(context_coder, "LANES", 8)
+    monkeypatch.setattr(context_coder, "BLOCK", 16)
+    monkeypatch.setattr(context_coder, "SEGMENT_IDS", 40)
+    monkeypatch.setattr(context_coder, "TaskContext", type("T", (), {"get": staticmethod(
+        lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    groups = {"encode_blocks": [], "decode_blocks": []}
+    for name, sizes in groups.items():
+        plain = getattr(context_coder, name)
+        monkeypatch.setattr(context_coder, name, lambda blocks, *a, plain=plain, sizes=sizes: sizes.append(len(blocks)) or plain(blocks, *a))
+    texts = [" ".join(f"w{i}x{k}" for k in range(6)) for i in range(9)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t.encode()])], names=["doc_id", "body"]) for i, t in enumerate(texts)]
+    write = context_coder._write_segments(tokenizer_text(f"{TOKENIZERS}/word_bpe_49k.json"), False, 2, 16)
+    rows = pa.Table.from_batches(list(write(iter(batches)))).to_pylist()
+    starts = np.cumsum([0] + [r["n_ids"] for r in rows])[:-1].tolist()
+    coded = pa.RecordBatch.from_pydict({"segment_start": starts, "data": [r["data"] for r in rows]})
+    back = pa.Table.from_batches(list(context_coder._read_segments(iter([coded])))).to_pylist()
+    expected = library_ids("word_bpe_49k.json", texts)
+    assert [r["doc_id"] for r in back] == list(range(9))
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in back] == expected
+    assert [r["start"] for r in back] == np.cumsum([0] + [len(x) for x in expected])[:-1].tolist()
+    assert len(rows) > 2 and min(groups["encode_blocks"]) >= 5 and min(groups["decode_blocks"]) >= 5
+
+
+def plain_code(ids: list[int], bits: int) -> bytes:
+    """One block coded id by id, with a range as two integers: the model as its module describes it."""
+    f32, total, small = np.float32, 4 * 4096 + 16, max(0, bits - 12)
+    slots: dict = {}
+    weight = [f32(1 / 3)] * 3
+    low, span, out = 0, 1 << 48, 0
+    n_words, before, before2 = 0, 0, 0
+    mask = (1 << 64) - 1
+
+    def narrow(start: int, size: int) -> None:
+        nonlocal low, span, out, n_words
+        low, span = low + start, size
+        if span < 1 << 32:
+            out, n_words = (out << 16) + (low >> 32), n_words + 1
+            low, span = (low & 0xFFFFFFFF) << 16, span << 16
+        elif low >> 48:
+            out, low = out + (low >> 48), low & ((1 << 48) - 1)
+
+    for now in ids:
+        one = before * 0x9E3779B97F4A7C15 & mask
+        two = (one ^ before2) * 0xC2B2AE3D27D4EB4F & mask
+        own = [slots.setdefault(key, {"cdf": [256 * e for e in range(16)], "seen": 0, "guess": -1, "votes": 0})
+               for key in (0, (1, one >> 40 & 511), (2, two >> 40 & 511))]
+        event = next((e for e, order in ((0, 2), (1, 1), (2, 0)) if own[order]["guess"] == now), None)
+        if event is None:
+            event = 3 + max(now.bit_length() - small, 0)
+        rest = 0 if event < 3 else small + max(event - 4, 0)
+        trust = [w * (f32(min(s["seen"], 30)) * f32(0.5) + f32(0.05)) for w, s in zip(weight, own)]
+        scale = f32(4) / (trust[0] + trust[1] + trust[2])
+        mixed = lambda e: total if e == 16 else int(sum(
+            (t * f32(s["cdf"][e]) for t, s in zip(trust[1:], own[1:])), trust[0] * f32(own[0]["cdf"][e])) * scale) + e
+        unit = span // total
+        narrow(unit * mixed(event), unit * (mixed(event + 1) - mixed(event)))
+        narrow((span >> rest) * (now & (1 << rest) - 1), span >> rest)
+        p = [f32((s["cdf"] + [4096])[event + 1] - s["cdf"][event] + 16) for s in own]
+        weight = [w + (q / (p[0] + p[1] + p[2]) - w) * f32(0.04) for w, q in zip(weight, p)]
+        for s in own:
+            rate = min(1 + s["seen"] // 2, 5)
+            s["cdf"] = [c + (((4096 if e > event else 0) - c) >> rate) for e, c in enumerate(s["cdf"])]
+            s["seen"] = min(s["seen"], 254) + 1
+            if s["guess"] == now:
+                s["votes"] = min(s["votes"], 254) + 1
+            elif s["votes"] == 0:
+                s["guess"], s["votes"] = now, 1
+            else:
+                s["votes"] -= 1
+        before, before2 = now, before
+    whole = (out << 48) + low
+    return np.array([whole >> 16 * (n_words + 2 - i) & 0xFFFF for i in range(n_words + 3)], "<u2").tobytes()
+
+
+def test_blocks_equal_a_plain_coder():
+    rng = np.random.default_rng(5)
+    phrase = rng.integers(0, 40_000, 12)
+    blocks = [rng.integers(0, 9, 900), rng.integers(0, 65_536, 400), np.tile(phrase, 60), np.minimum(rng.zipf(1.4, 700), 60_000), np.zeros(600, int)]
+    assert context_coder.encode_blocks(blocks, 16) == [plain_code(b.tolist(), 16) for b in blocks]
+
+
 def test_files_of_awkward_rows(awkward, empty, spark):
     path = shared_folder(spark, "ids")
     context_coder.write_ids(awkward, path, f"{TOKENIZERS}/word_bpe_49k.json")

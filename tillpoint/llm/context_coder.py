@@ -45,6 +45,7 @@ from tillpoint.llm.tokens import chunks, few_rows, tokenizer_text, worker_encode
 BLOCK = 4096
 LANES = 1024
 SEGMENT_IDS = 1 << 20
+MOST_SEGMENTS = 6  # that a task decodes side by side
 SLOTS = 512  # hashed slots of order 1 and of order 2 in a lane
 EVENTS = 16
 CLASSES = 13  # magnitude classes of new ids
@@ -54,80 +55,129 @@ LOW_MASK = np.uint64((1 << 48) - 1)
 SMALL = np.uint64(1 << 32)  # the range is kept at or above this
 
 _TRUST = np.minimum(np.arange(256), 30).astype(np.float32) * np.float32(0.5) + np.float32(0.05)
-_RATE = np.minimum(1 + np.arange(256) // 2, 5).astype(np.int16)
+_RATE = np.repeat(np.minimum(1 + np.arange(256) // 2, 5).astype(np.int16)[:, None], EVENTS, axis=1)
 _TARGET = np.where(np.arange(EVENTS)[None, :] > np.arange(EVENTS)[:, None], 4096, 0).astype(np.int16)
+ROW = np.dtype(f"V{2 * EVENTS}")  # a distribution, moved as one item
+
+# A slot's counts in one number: times seen, and 256 times the votes for its prediction.
+_SEEN, _VOTES = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
+_SEEN_NEXT = np.minimum(_SEEN, 254) + 1
+_COUNTS_MISSED = (_SEEN_NEXT + 256 * np.where(_VOTES == 0, 1, _VOTES - 1)).astype(np.uint16)
+_COUNTS_MET = (_SEEN_NEXT + 256 * (np.minimum(_VOTES, 254) + 1)).astype(np.uint16)
 
 
 class LaneModel:
-    """Adaptive models of ``lanes`` blocks, all reset."""
+    """Adaptive models of ``lanes`` blocks, all reset. A slot is a row of 16 numbers: its counts
+    (the cumulative frequency before event 0 is 0 and not kept), then the cumulative
+    frequencies before events 1 to 15. Arrays are indexed by order, then lane."""
 
     def __init__(self, lanes: int, bits: int):
         size = lanes * (1 + 2 * SLOTS)
-        self.cdf = np.tile((np.arange(EVENTS) * 256).astype(np.int16), (size, 1))
-        self.seen = np.zeros(size, np.uint8)
+        self.rows = np.tile((np.arange(EVENTS) * 256).astype(np.int16), (size, 1))
         self.guess = np.full(size, -1, np.int32)
-        self.votes = np.zeros(size, np.uint8)
-        self.weight = np.full((lanes, 3), 1 / 3, np.float32)
+        self.weight = np.full((3, lanes), 1 / 3, np.float32)
         lane = np.arange(lanes)
-        self.base = np.column_stack([lane, lanes + lane * SLOTS, lanes * (1 + SLOTS) + lane * SLOTS])
-        self.lane, self.small_bits = lane, max(0, bits - CLASSES + 1)
-
-    def predict(self, before: np.ndarray, before2: np.ndarray):
-        """Contexts, their distributions, predicted ids and the mixed cumulative frequencies."""
+        self.base = np.stack([lane, lanes + lane * SLOTS, lanes * (1 + SLOTS) + lane * SLOTS])
+        self.small_bits = max(0, bits - CLASSES + 1)
+        self.bits_after = np.array([0] * 3 + [self.small_bits + max(e - 4, 0) for e in range(3, EVENTS)], np.uint64)
+        self.lead = np.where(np.arange(EVENTS) > 3, np.int64(1) << self.bits_after.astype(np.int64), 0)
+        self.k = -1
+
+    def _hold(self, k: int) -> None:
+        """Room for the slots of the first ``k`` lanes."""
+        self.k = k
+        self.slots, self.change, self.rate = (np.zeros((3, k, EVENTS), np.int16) for _ in range(3))
+        self.target = np.zeros((k, EVENTS), np.int16)
+        self.at = self.base[:, :k].copy()
+        self.first = (np.arange(3 * k) * EVENTS).reshape(3, k)  # places of event 0 in the slots held
+
+    def look(self, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
+        """Fetch the slots of the contexts; returns their predicted ids."""
         k = len(before)
-        at = self.base[:k].copy()
+        if k != self.k:
+            self._hold(k)
         one = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         two = (one ^ before2.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        at[:, 1] += (one >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
-        at[:, 2] += (two >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
-        cdf = self.cdf[at]
-        trust = self.weight[:k] * _TRUST[self.seen[at]]
-        mixed = trust[:, 0, None] * cdf[:, 0]
-        mixed += trust[:, 1, None] * cdf[:, 1]
-        mixed += trust[:, 2, None] * cdf[:, 2]
-        mixed *= (np.float32(4) / (trust[:, 0] + trust[:, 1] + trust[:, 2]))[:, None]
-        starts = mixed.astype(np.int32)
-        starts += np.arange(EVENTS, dtype=np.int32)
-        return at, cdf, self.guess[at], starts
-
-    def events(self, ids: np.ndarray, guess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Event of each id and the number of bits that follow it."""
-        length = np.frexp(ids.astype(np.float64))[1]
-        cls = np.maximum(length - self.small_bits, 0)
-        event = 3 + cls
-        event[ids == guess[:, 0]] = 2
-        event[ids == guess[:, 1]] = 1
-        event[ids == guess[:, 2]] = 0
-        return event, self.rest_bits(event)
+        for order, mixed in ((1, one), (2, two)):
+            slot = ((mixed >> np.uint64(40)) & np.uint64(SLOTS - 1)).astype(np.int64)
+            np.add(self.base[order, :k], slot, out=self.at[order])
+        self.rows.view(ROW).ravel().take(self.at, out=self.slots.view(ROW)[:, :, 0], mode="clip")
+        self.counts = self.slots[:, :, 0].view(np.uint16).astype(np.int64)
+        self.slots[:, :, 0] = 0
+        self.seen = self.counts & 255
+        self.guessed = self.guess.take(self.at)
+        self.trust = self.weight[:, :k] * _TRUST.take(self.seen)
+        self.scale = np.float32(4) / (self.trust[0] + self.trust[1] + self.trust[2])
+        return self.guessed
+
+    def pick(self, event: np.ndarray) -> np.ndarray:
+        """Cumulative frequencies before an event of each lane, by order."""
+        return self.slots.ravel().take(self.first + event)
+
+    def mix(self, picked: np.ndarray, event: np.ndarray) -> np.ndarray:
+        """The mixture of the cumulative frequencies before an event."""
+        parts = self.trust * picked
+        mixed = parts[0]
+        mixed += parts[1]
+        mixed += parts[2]
+        mixed *= self.scale
+        return mixed.astype(np.int32) + event
+
+    def span(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last (excluded) mixed frequency of an event."""
+        last = event == EVENTS - 1
+        self.low, self.high = self.pick(event), self.pick(np.where(last, event, event + 1))
+        start, stop = self.mix(self.low, event), self.mix(self.high, event + 1)
+        self.high[:, last] = 4096
+        stop[last] = TOTAL
+        return start.astype(np.uint64), stop.astype(np.uint64)
+
+    def find(self, point: np.ndarray) -> np.ndarray:
+        """The last event that begins at or before a mixed frequency."""
+        event = np.zeros(len(point), np.int64)
+        for step in (8, 4, 2, 1):
+            ahead = event + step
+            np.copyto(event, ahead, where=self.mix(self.pick(ahead), ahead) <= point)
+        return event
+
+    def classes(self, ids: np.ndarray) -> np.ndarray:
+        """The events of ids that no context predicts."""
+        return 3 + np.maximum(np.frexp(ids.astype(np.float64))[1] - self.small_bits, 0)
+
+    @staticmethod
+    def events(ids: np.ndarray, classes: np.ndarray, guess: np.ndarray) -> np.ndarray:
+        event = classes.astype(np.int64)
+        for e, order in ((2, 0), (1, 1), (0, 2)):
+            np.copyto(event, e, where=ids == guess[order])
+        return event
 
     def rest_bits(self, event: np.ndarray) -> np.ndarray:
-        bits = self.small_bits + np.maximum(event - 4, 0)
-        return np.where(event < 3, 0, bits)
+        """Number of bits that follow an event."""
+        return self.bits_after.take(event)
 
     def value(self, event: np.ndarray, guess: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """The id of an event and its remaining bits."""
-        lead = np.where(event > 3, np.int64(1) << self.rest_bits(event), 0)
-        ids = lead + rest
+        ids = self.lead.take(event) + rest
         for e, order in ((0, 2), (1, 1), (2, 0)):
-            ids = np.where(event == e, guess[:, order], ids)
+            np.copyto(ids, guess[order], where=event == e)
         return ids
 
-    def update(self, at, cdf, guess, event, ids) -> None:
-        k = len(ids)
-        low = cdf[self.lane[:k], :, event]
-        high = np.where((event < EVENTS - 1)[:, None], cdf[self.lane[:k], :, np.minimum(event + 1, EVENTS - 1)], 4096)
-        p = (high - low + 16).astype(np.float32)
-        total = p[:, 0] + p[:, 1] + p[:, 2]
-        self.weight[:k] += (p / total[:, None] - self.weight[:k]) * np.float32(0.04)
-        seen = self.seen[at]
-        cdf += (_TARGET[event][:, None, :] - cdf) >> _RATE[seen][:, :, None]
-        self.cdf[at] = cdf
-        self.seen[at] = np.minimum(seen, 254) + 1
-        votes = self.votes[at]
-        same = guess == ids[:, None]
-        replace = ~same & (votes == 0)
-        self.guess[at] = np.where(replace, ids[:, None], guess)
-        self.votes[at] = np.where(same, np.minimum(votes, 254) + 1, np.where(replace, 1, votes - 1)).astype(np.uint8)
+    def update(self, event: np.ndarray, ids: np.ndarray) -> None:
+        k = self.k
+        p = (self.high - self.low + 16).astype(np.float32)
+        total = p[0] + p[1] + p[2]
+        weight = self.weight[:, :k]
+        weight += (p / total - weight) * np.float32(0.04)
+        _TARGET.view(ROW).ravel().take(event, out=self.target.view(ROW)[:, 0], mode="clip")
+        _RATE.view(ROW).ravel().take(self.seen, out=self.rate.view(ROW)[:, :, 0], mode="clip")
+        np.subtract(self.target, self.slots, out=self.change)
+        np.right_shift(self.change, self.rate, out=self.change)
+        self.slots += self.change
+        same = self.guessed == ids
+        replaced = ~same & (self.counts < 256)
+        self.slots[:, :, 0] = np.where(same, _COUNTS_MET.take(self.counts), _COUNTS_MISSED.take(self.counts)).view(np.int16)
+        self.rows.view(ROW).ravel().put(self.at, self.slots.view(ROW)[:, :, 0], mode="clip")
+        self.guess[self.at] = np.where(replaced, ids, self.guessed)
 
 
 def _lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,60 +187,69 @@ def _lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, alive
 
 
+def lane_groups(n: int) -> list[tuple[int, int]]:
+    """(first, last) of ``n`` blocks in even groups of about ``LANES``, at most 1.5 times as many:
+    a step costs nearly as much for a few lanes as for many."""
+    bounds = np.linspace(0, n, max(1, round(n / LANES)) + 1).astype(int).tolist()
+    return list(zip(bounds[:-1], bounds[1:])) if n else []
+
+
 def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     """Code blocks of ids below ``2 ** bits``, side by side."""
     sizes = np.array([len(b) for b in blocks], np.int64)
     order, alive = _lanes(sizes)
     n, steps = len(blocks), len(alive)
-    ids = np.zeros((n, steps), np.int64)
+    ids = np.zeros((steps + 2, n), np.int32)  # a step's ids lie together; two zeros come before
     for row, i in enumerate(order):
-        ids[row, :sizes[i]] = blocks[i]
+        ids[2:2 + sizes[i], row] = blocks[i]
     model = LaneModel(n, bits)
     low, span = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-    words = np.zeros((n, 2 * steps + 6), np.uint32)  # word 0 takes a carry
-    used = np.ones(n, np.int64)
-    lane = np.arange(n)
+    width = 2 * steps + 6
+    words = np.zeros((n, width), np.uint32)  # word 0 takes a carry
+    flat = words.ravel()
+    first = np.arange(n) * width
+    used = first + 1  # next place of a lane in ``flat``
 
     def shift(k: int) -> None:
         """Put out the top word of lanes whose range is small (once is enough)."""
-        small = span[:k] < SMALL
-        words[lane[:k], used[:k]] = (low[:k] >> np.uint64(32)).astype(np.uint32)
-        used[:k] += small
-        low[:k] = np.where(small, (low[:k] << WORD) & LOW_MASK, low[:k])
-        span[:k] = np.where(small, span[:k] << WORD, span[:k])
+        small = np.flatnonzero(span[:k] < SMALL)
+        top = low[small]
+        at = used[small]
+        flat[at] = top >> np.uint64(32)
+        used[small] = at + 1
+        low[small] = (top << WORD) & LOW_MASK
+        span[small] <<= WORD
 
     def add(k: int, amount: np.ndarray) -> None:
         low[:k] += amount
-        words[lane[:k], used[:k] - 1] += (low[:k] >> LOW_BITS).astype(np.uint32)
-        low[:k] &= LOW_MASK
+        carried = np.flatnonzero(low[:k] > LOW_MASK)
+        flat[used[carried] - 1] += np.uint32(1)
+        low[carried] &= LOW_MASK
 
-    zero = np.zeros(n, np.int64)
     for t, k in enumerate(alive):
-        now = ids[:k, t]
-        at, cdf, guess, starts = model.predict(ids[:k, t - 1] if t > 0 else zero[:k],
-                                               ids[:k, t - 2] if t > 1 else zero[:k])
-        event, rest = model.events(now, guess)
-        start = starts[lane[:k], event].astype(np.uint64)
-        stop = np.where(event < EVENTS - 1, starts[lane[:k], np.minimum(event + 1, EVENTS - 1)], TOTAL).astype(np.uint64)
+        now = ids[t + 2, :k]
+        guess = model.look(ids[t + 1, :k], ids[t, :k])
+        event = model.events(now, model.classes(now), guess)
+        start, stop = model.span(event)
         unit = span[:k] // np.uint64(TOTAL)
         add(k, unit * start)
         span[:k] = unit * (stop - start)
         shift(k)
-        rest = rest.astype(np.uint64)
+        rest = model.rest_bits(event)
         span[:k] >>= rest
         add(k, span[:k] * (now.astype(np.uint64) & ((np.uint64(1) << rest) - np.uint64(1))))
         shift(k)
-        model.update(at, cdf, guess, event, now)
+        model.update(event, now)
     for cut in (32, 16, 0):
-        words[lane, used] = ((low >> np.uint64(cut)) & np.uint64(0xFFFF)).astype(np.uint32)
+        flat[used] = ((low >> np.uint64(cut)) & np.uint64(0xFFFF)).astype(np.uint32)
         used += 1
-    while (words >> 16).any():  # carries
-        carry = words >> 16
-        words &= 0xFFFF
-        words[:, :-1] += carry[:, 1:]
+    for few in (words[at:at + 64] for at in range(0, n, 64)):
+        while (carry := few >> 16).any():
+            few &= 0xFFFF
+            few[:, :-1] += carry[:, 1:]
     coded: list[bytes] = [b""] * n
     for row, i in enumerate(order):
-        coded[i] = words[row, 1:used[row]].astype("<u2").tobytes()
+        coded[i] = words[row, 1:used[row] - first[row]].astype("<u2").tobytes()
     return coded
 
 
@@ -199,44 +258,43 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray, bits: int) -> list[np.n
     order, alive = _lanes(sizes)
     n, steps = len(coded), len(alive)
     longest = max((len(c) // 2 for c in coded), default=0) + 6
-    words = np.zeros((n, longest), np.uint64)
+    words = np.zeros((n, longest), np.uint16)
     for row, i in enumerate(order):
         found = np.frombuffer(coded[i], "<u2")
         words[row, :len(found)] = found
     model = LaneModel(n, bits)
-    code = (words[:, 0] << np.uint64(32)) | (words[:, 1] << WORD) | words[:, 2]
-    span, used, lane = np.full(n, 1 << 48, np.uint64), np.full(n, 3, np.int64), np.arange(n)
-    ids = np.zeros((n, steps), np.int64)
+    head = words[:, :3].astype(np.uint64)
+    code = (head[:, 0] << np.uint64(32)) | (head[:, 1] << WORD) | head[:, 2]
+    flat = words.ravel()
+    span, used = np.full(n, 1 << 48, np.uint64), np.arange(n) * longest + 3
+    ids = np.zeros((steps + 2, n), np.int32)  # a step's ids lie together; two zeros come before
 
     def shift(k: int) -> None:
-        small = span[:k] < SMALL
-        code[:k] = np.where(small, (code[:k] << WORD) | words[lane[:k], used[:k]], code[:k])
-        used[:k] += small
-        span[:k] = np.where(small, span[:k] << WORD, span[:k])
+        small = np.flatnonzero(span[:k] < SMALL)
+        at = used[small]
+        code[small] = (code[small] << WORD) | flat[at]
+        used[small] = at + 1
+        span[small] <<= WORD
 
-    zero = np.zeros(n, np.int64)
     for t, k in enumerate(alive):
-        at, cdf, guess, starts = model.predict(ids[:k, t - 1] if t > 0 else zero[:k],
-                                               ids[:k, t - 2] if t > 1 else zero[:k])
+        guess = model.look(ids[t + 1, :k], ids[t, :k])
         unit = span[:k] // np.uint64(TOTAL)
-        point = np.minimum(code[:k] // unit, np.uint64(TOTAL - 1)).astype(np.int32)
-        event = (starts[:, 1:] <= point[:, None]).sum(axis=1)
-        start = starts[lane[:k], event].astype(np.uint64)
-        stop = np.where(event < EVENTS - 1, starts[lane[:k], np.minimum(event + 1, EVENTS - 1)], TOTAL).astype(np.uint64)
+        event = model.find(np.minimum(code[:k] // unit, np.uint64(TOTAL - 1)).astype(np.int32))
+        start, stop = model.span(event)
         code[:k] -= unit * start
         span[:k] = unit * (stop - start)
         shift(k)
-        rest = model.rest_bits(event).astype(np.uint64)
+        rest = model.rest_bits(event)
         span[:k] >>= rest
         tail = np.minimum(code[:k] // span[:k], (np.uint64(1) << rest) - np.uint64(1))
         code[:k] -= tail * span[:k]
         shift(k)
         now = model.value(event, guess, tail.astype(np.int64))
-        ids[:k, t] = now
-        model.update(at, cdf, guess, event, now)
+        ids[t + 2, :k] = now
+        model.update(event, now)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
     for row, i in enumerate(order):
-        out[i] = ids[row, :sizes[i]].astype(np.uint32)
+        out[i] = ids[2:2 + sizes[i], row].astype(np.uint32)
     return out
 
 
@@ -301,8 +359,7 @@ def _write_segments(tokenizer: str, spaces_matter: bool, end_id: int, bits: int)
         def code() -> pa.RecordBatch:
             nonlocal written
             all_blocks = [b for s in ready for b in s.blocks()]
-            coded = [c for first in range(0, len(all_blocks), LANES)
-                     for c in encode_blocks(all_blocks[first:first + LANES], bits)]
+            coded = [c for first, last in lane_groups(len(all_blocks)) for c in encode_blocks(all_blocks[first:last], bits)]
             data, at = [], 0
             for s in ready:
                 n = -(-len(s.ids) // BLOCK)
@@ -326,7 +383,7 @@ def _write_segments(tokenizer: str, spaces_matter: bool, end_id: int, bits: int)
                 held += len(flat)
                 if held >= SEGMENT_IDS:
                     close()
-                if sum(len(s.ids) for s in ready) >= LANES * BLOCK:
+                if sum(len(s.ids) for s in ready) >= 2 * LANES * BLOCK:
                     yield code()
         close()
         if ready:
@@ -349,15 +406,14 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, spaces_matter: bool
 def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(segment_start, data) -> one row per document with its ids."""
     for batch in batches:
-        for first in range(0, batch.num_rows, 4):  # a few segments side by side
-            rows = batch.slice(first, 4)
+        groups = -(-batch.num_rows // MOST_SEGMENTS)
+        bounds = np.linspace(0, batch.num_rows, groups + 1).astype(int).tolist()
+        for first, last in zip(bounds[:-1], bounds[1:]):  # a few segments side by side
+            rows = batch.slice(first, last - first)
             found = [unpack(d.as_py()) for d in rows.column("data")]
-            if not found:
-                continue
             blocks = [c for f in found for c in f[2]]
             sizes = np.concatenate([f[3] for f in found])
-            ids = [i for at in range(0, len(blocks), LANES)
-                   for i in decode_blocks(blocks[at:at + LANES], sizes[at:at + LANES], found[0][5])]
+            ids = [i for a, b in lane_groups(len(blocks)) for i in decode_blocks(blocks[a:b], sizes[a:b], found[0][5])]
             at = 0
             for (doc_ids, counts, coded, _, sums, _), start in zip(found, rows.column("segment_start").to_pylist()):
                 own = ids[at:at + len(coded)]
