@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL, rows
+from tillpoint import catalog
 from tillpoint.plans import audit as A
+from tillpoint.plans import risk as K
 from tillpoint.sources import fixtures as FX
 from tillpoint.sources import layout
 from tillpoint.sources import warehouse as WH
@@ -73,3 +75,20 @@ def test_a_staged_table_leaves_no_files_of_its_exchanges(spark):
         "counts", lambda _: spark.range(10_000).withColumn("k", F.col("id") % 97).groupBy("k").count())
     assert not held() - was and counts.count() == 97
     assert spark.conf.get(layout.CLEANED) == "false"
+
+
+def test_a_large_split_is_not_written_nor_exchanged_for_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(K, "TRAIN_ROWS_PER_TASK", 500)
+    w = WH.Warehouse(spark, SF_SMALL)
+    model, test = catalog.tree_model(w)
+    train, _, staged = catalog.tree_rows(w)
+    assert staged and "model_split" not in w._memo and "Exchange" not in plan_of(train)
+    assert max(r["n"] for r in train.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()) <= 500
+    split = catalog.staged_split(w)
+    features = [*K.L.MODEL_FEATURES, "is_returned"]
+    expected = split.filter("split = 'train'").select(*[F.col(c).cast("double") for c in K.L.MODEL_FEATURES], "is_returned")
+    assert rows(train, features) == rows(expected, features)
+    assert rows(test, ["transaction_id", *features]) == rows(split.filter("split = 'test'"), ["transaction_id", *features])
+    # every training row reaches the fit, in partitions of its own files
+    assert model.stages[-1]._java_obj.rootNode().impurityStats().rawCount() == train.count()
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
