@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL, rows
 from tillpoint import catalog
 from tillpoint.plans import audit as A
+from tillpoint.plans import impact as IM
 from tillpoint.plans import risk as K
 from tillpoint.sources import fixtures as FX
 from tillpoint.sources import layout
@@ -92,3 +93,25 @@ def test_a_large_split_is_not_written_nor_exchanged_for_the_tree(spark, monkeypa
     # every training row reaches the fit, in partitions of its own files
     assert model.stages[-1]._java_obj.rootNode().impurityStats().rawCount() == train.count()
     assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def names(path) -> list[str]:
+    return [f for _, _, fs in os.walk(path) for f in fs if f.startswith("part-")]
+
+
+def test_published_texts_are_compressed_and_whole(spark, tmp_path):
+    df = spark.range(500).select(F.concat(F.lit("T"), "id").alias("transaction_id"), (F.col("id") % 7).alias("n"))
+    told = IM.publish_outputs(spark, {"lines": df, "doc": df.agg(F.map_from_entries(F.collect_list(F.struct("transaction_id", "n"))).alias("m"))},
+                              str(tmp_path))
+    assert rows(told, ["output", "rows"]) == [("doc", 1), ("lines", 500)]
+    assert all(n.endswith(".csv.gz") for n in names(tmp_path / "lines")) and all(n.endswith(".json.gz") for n in names(tmp_path / "doc"))
+    assert rows(spark.read.option("header", True).schema(df.schema).csv(str(tmp_path / "lines"))) == rows(df)
+
+
+def test_a_checked_load_reads_and_writes_compressed_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tillpoint.session.staging_root", lambda _: str(tmp_path))
+    w = WH.Warehouse(spark, SF_SMALL)
+    found = {r["reason"]: r["rows"] for r in catalog.rejected_rows(w).collect()}
+    assert found["KEPT ROWS"] + found["REJECTED ROWS"] == w["fact_transactions"].count() and found["MALFORMED RECORD"] > 0
+    (load,) = tmp_path.glob("load-*")
+    assert all(n.endswith(".csv.gz") for n in names(load / "csv")) and all(n.endswith(".zstd.parquet") for n in names(load / "loaded"))
