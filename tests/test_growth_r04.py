@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
+from decimal import Decimal as Dec
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from tests.conftest import SF_SMALL, rows
 from tillpoint import catalog
 from tillpoint.plans import audit as A
 from tillpoint.plans import impact as IM
+from tillpoint.plans import incremental as INC
 from tillpoint.plans import risk as K
 from tillpoint.sources import fixtures as FX
 from tillpoint.sources import layout
@@ -115,3 +118,35 @@ def test_a_checked_load_reads_and_writes_compressed_files(spark, tmp_path, monke
     assert found["KEPT ROWS"] + found["REJECTED ROWS"] == w["fact_transactions"].count() and found["MALFORMED RECORD"] > 0
     (load,) = tmp_path.glob("load-*")
     assert all(n.endswith(".csv.gz") for n in names(load / "csv")) and all(n.endswith(".zstd.parquet") for n in names(load / "loaded"))
+
+
+def test_a_batch_exchanges_hashes_and_rows_of_repeated_keys(spark, tmp_path):
+    """Most rows go on as they are; what was kept before is not exchanged again; the first row of every key is kept."""
+    schema = "transaction_id string, transaction_date date, customer_id long, product_id long, revenue decimal(10,1), quantity int"
+
+    def batch(numbers):
+        data = [(f"T{7919 * i % 1000:03d}", None if i % 50 == 0 else dt.date(2021, 1 + i % 3, 1 + i % 9), None if i % 4 == 0 else i % 40,
+                 i % 31, Dec(i % 6), i % 5) for i in numbers]
+        t = spark.createDataFrame(data, schema)
+        for c in set(A.CLEAN_COLUMNS) - set(t.columns):
+            t = t.withColumn(c, F.lit(None).cast(INC.SC.SCHEMAS["fact_transactions"][c].dataType))
+        return t.select(*A.CLEAN_COLUMNS)
+
+    clean = INC.CleanTable(spark, str(tmp_path / "clean"))
+    first, second = batch(range(0, 600)), batch([*range(300, 950), *range(400, 420)])
+    for b in (first, second, first):
+        clean.apply(b)
+    cols = ["transaction_id", "transaction_date", "customer_id", "product_id", "quantity"]
+    assert rows(clean.read(), cols) == rows(A.clean_transactions(first.unionByName(second)), cols)
+    assert clean.changed_outside().count() == 0
+    # the batch again: its months differ from it by the second batch, yet none of its keys is open
+    incoming = second.filter("revenue > 0").withColumn("sale_month", F.trunc("transaction_date", "month"))
+    best = incoming.join(clean.read().select("transaction_id", "transaction_date"), ["transaction_id", "transaction_date"], "left_semi")
+    months = [r[0] for r in best.select("sale_month").distinct().collect()]
+    changes, open_months = clean._changes(best, clean._kept(), months)
+    assert len(months) > 2 and open_months == [] and changes.count() == 0
+    # new keys pass without an aggregate; so do few others
+    late = batch(range(950, 990)).withColumn("sale_month", F.lit(dt.date(2030, 1, 1)))
+    changes, open_months = clean._changes(late.filter("revenue > 0"), clean._kept(), [dt.date(2030, 1, 1)])
+    assert open_months == [dt.date(2030, 1, 1)] and spark.read.parquet(str(tmp_path / "clean" / "shared")).count() == 0
+    assert changes.count() == late.filter("revenue > 0").count()

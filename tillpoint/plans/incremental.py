@@ -5,8 +5,10 @@ holds the first row of every key with revenue, also those without units, which m
 bar later rows of their key; ``read`` leaves them out. A batch
 
 1. is compared by month, from its keys and ids alone, with what is stored, if anything is;
-2. meets the keys and ids of its other months in one aggregate by key, which reduces it to its first row per
-   key (before the exchange, so a hot key is small): its rows are exchanged once and not written for this;
+2. meets the keys of its other months as hashes of key and id; a month in which every key of the batch is kept with
+   that id already is done. Rows whose key's hash is on one row go on as they are; the others
+   meet the kept keys and ids in one aggregate by key, which reduces them to their first row per
+   key (before the exchange, so a hot key is small);
 3. is appended where all its keys are new; a month in which a kept row gives way to a lower
    id is written anew (dynamic partition overwrite), all other months stay as they are.
 
@@ -25,15 +27,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillpoint.operators.membership import filter_bits, key_words, may_hold
 from tillpoint.plans.audit import CLEAN_COLUMNS, DEDUP_KEYS
 from tillpoint.sources import schemas as SC
-from tillpoint.sources.layout import CODEC, MONTH, month_of
+from tillpoint.sources.layout import CODEC, MONTH, lean_writes, month_of
 
-ID, REPLACES = "transaction_id", "_replaces"
+ID, REPLACES, HASH = "transaction_id", "_replaces", "_key_hash"
 DIGEST_SCHEMA = f"{MONTH} date, n_keys long, digest decimal(38,0), batch long"
 
 
@@ -63,25 +66,29 @@ class CleanTable:
         if stored:
             firsts = (incoming.filter(among(list(stored))).groupBy(MONTH, *DEDUP_KEYS)
                       .agg(F.min(F.struct(ID)).alias("_first")).select(MONTH, *DEDUP_KEYS, f"_first.{ID}"))
-            skipped = [r[MONTH] for r in digests(firsts).collect() if stored[r[MONTH]] == (r["n_keys"], r["digest"])]
+            with lean_writes(self.spark):
+                now = digests(firsts).collect()
+            skipped = [r[MONTH] for r in now if stored[r[MONTH]] == (r["n_keys"], r["digest"])]
         touched = [m for m in months if m not in skipped]
 
         kept = self._kept()
-        changes = self._stage("changes", better_rows(incoming.filter(among(touched)), kept.filter(among(touched))))
+        changes, _ = self._changes(incoming, kept, touched)
         found = {r[MONTH]: r["n"] for r in changes.groupBy(MONTH).agg(F.count(REPLACES).alias("n")).collect()}
         replaced, appended = [m for m in found if found[m]], [m for m in found if not found[m]]
 
         columns = [*CLEAN_COLUMNS, MONTH]
         if appended:
             new = changes.filter(among(appended)).select(*columns)
-            in_months(new).write.mode("append").option("compression", CODEC).partitionBy(MONTH).parquet(f"{self.root}/kept")
+            with lean_writes(self.spark):
+                in_months(new).write.mode("append").option("compression", CODEC).partitionBy(MONTH).parquet(f"{self.root}/kept")
         if replaced:
             better = changes.filter(among(replaced))
             gone = better.filter(F.col(REPLACES).isNotNull()).select(*[F.col(k).alias(f"_k_{k}") for k in DEDUP_KEYS])
             same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in DEDUP_KEYS])
             stay = kept.filter(among(replaced)).join(gone, same, "left_anti")
             merged = in_months(stay.select(*columns).unionByName(better.select(*columns)))
-            merged.write.mode("overwrite").option("compression", CODEC).partitionBy(MONTH).parquet(f"{self.root}/pending")
+            with lean_writes(self.spark):
+                merged.write.mode("overwrite").option("compression", CODEC).partitionBy(MONTH).parquet(f"{self.root}/pending")
             self._end_pending()
         if touched:
             last = self.spark.read.schema(DIGEST_SCHEMA).parquet(f"{self.root}/digests").agg(F.max("batch")).first()[0]
@@ -97,6 +104,28 @@ class CleanTable:
                 .select(F.coalesce(MONTH, "_m").alias(MONTH)))
 
     # ------------------------------------------------------------------
+    def _changes(self, incoming: DataFrame, kept: DataFrame, months: list) -> tuple[DataFrame, list]:
+        """``better_rows`` of these months, staged, and the months among them in which a key is not settled."""
+        incoming, kept = (x.filter(among(months)).withColumn(HASH, key_hash()) for x in (incoming, kept))
+        ids = F.xxhash64(F.col(ID).cast("string")).alias("_id")
+        met = (incoming.select(MONTH, HASH, ids, F.lit(1).alias("_new")).unionByName(kept.select(MONTH, HASH, ids, F.lit(0).alias("_new")))
+               .groupBy(MONTH, HASH).agg(F.count(F.lit(1)).alias("_n"), F.sum("_new").alias("_new"),
+                                         (F.min("_id") == F.max("_id")).alias("_one_id")))
+        unsettled = (F.col("_new") > 0) & ~(F.col("_one_id") & (F.col("_new") < F.col("_n")))
+        several = F.col("_n") > 1
+        seen = Observation()
+        found = met.observe(seen, F.collect_set(F.when(unsettled, F.col(MONTH))).alias("months"),
+                            F.max(unsettled & F.col(MONTH).isNull()).alias("undated"), F.sum(several.cast("long")).alias("several"))
+        shared = self._stage("shared", found.filter(several & (F.col("_new") > 0)).select(HASH))
+        dated, undated, n = (seen.get[k] for k in ("months", "undated", "several"))
+        open_months = [m for m in months if (m in dated if m is not None else undated)]
+        bits = filter_bits(n or 0)
+        words = key_words(shared, bits)
+        incoming, kept = (x.filter(among(open_months)) for x in (incoming, kept))
+        several = may_hold(words, F.col(HASH), bits)  # all rows of such keys and a few others
+        alone = incoming.filter(~several).select(*CLEAN_COLUMNS, F.lit(None).cast("string").alias(REPLACES), MONTH)
+        return self._stage("changes", alone.unionByName(better_rows(incoming.filter(several), kept.filter(several)))), open_months
+
     def _kept(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/kept")
 
@@ -106,7 +135,8 @@ class CleanTable:
                 .select(MONTH, "_last.*"))
 
     def _stage(self, name: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").option("compression", CODEC).parquet(f"{self.root}/{name}")
+        with lean_writes(self.spark):
+            rows.write.mode("overwrite").option("compression", CODEC).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
 
     def _end_pending(self) -> None:
@@ -135,6 +165,12 @@ def better_rows(incoming: DataFrame, kept: DataFrame) -> DataFrame:
             .select(*CLEAN_COLUMNS, REPLACES, MONTH))
 
 
+def key_hash() -> Column:
+    """Hash of the business key: equal for equal keys, of whatever type a batch has them."""
+    declared = SC.SCHEMAS["fact_transactions"]
+    return F.xxhash64(*[F.col(k).try_cast(declared[k].dataType) for k in DEDUP_KEYS])
+
+
 def among(months: list) -> Column:
     """Rows of these months (None: without one); a static partition filter."""
     dated = [m for m in months if m is not None]
