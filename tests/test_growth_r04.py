@@ -150,3 +150,9 @@ def test_a_batch_exchanges_hashes_and_rows_of_repeated_keys(spark, tmp_path):
     changes, open_months = clean._changes(late.filter("revenue > 0"), clean._kept(), [dt.date(2030, 1, 1)])
     assert open_months == [dt.date(2030, 1, 1)] and spark.read.parquet(str(tmp_path / "clean" / "shared")).count() == 0
     assert changes.count() == late.filter("revenue > 0").count()
+
+
+def test_constraints_are_checked_one_after_the_other(spark, wh):
+    got = catalog.queries()["constraint_audit"](spark, SF_SMALL)
+    assert "Exchange hashpartitioning" not in plan_of(got)
+    assert rows(got) == rows(A.constraint_audit(wh.tables()))
